@@ -2,6 +2,28 @@
 
 from __future__ import annotations
 
+from plyforge.operators.drift import NAMES
+
+SQL: dict[str, str] = {}
+
+_FIELD = "CASE " + " ".join(f"WHEN key IN ({', '.join(map(repr, names))}) THEN '{field}'" for field, names in NAMES.items()) + " END"
+_KIND = """CASE json_type(payload, '$."' || key || '"') WHEN 'VARCHAR' THEN 'text' WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole'
+    WHEN 'HUGEINT' THEN 'whole' WHEN 'DOUBLE' THEN 'decimal' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'bool' ELSE 'null' END"""
+_PAIRS = f"""SELECT feed, shard_no, key, {_KIND} AS kind FROM (
+    SELECT feed, shard_no, payload, unnest(json_keys(payload)) AS key FROM shard_rows
+    WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END)"""
+
+SQL["p3_profile"] = f"SELECT feed, shard_no, key, kind, count(*) AS n FROM ({_PAIRS}) GROUP BY ALL"
+SQL["p3_found"] = f"""
+    WITH pairs AS ({_PAIRS}),
+    state AS (SELECT feed, shard_no, {_FIELD} AS field_name, min(key) AS key, mode(CASE WHEN kind <> 'null' THEN kind END) AS kind FROM pairs WHERE {_FIELD} IS NOT NULL GROUP BY ALL),
+    now AS (SELECT * FROM (SELECT DISTINCT feed, shard_no FROM shard_rows) CROSS JOIN (VALUES ('result'), ('termination')) AS f(field_name) LEFT JOIN state USING (feed, shard_no, field_name)),
+    both_ AS (SELECT n.feed, n.shard_no, n.field_name, n.key, n.kind, b.key AS key_before, b.kind AS kind_before FROM now n JOIN now b ON n.feed = b.feed AND n.field_name = b.field_name AND n.shard_no = b.shard_no + 1)
+    SELECT feed, shard_no, field_name, 'added' AS change_kind FROM both_ WHERE key_before IS NULL AND key IS NOT NULL
+    UNION ALL SELECT feed, shard_no, field_name, 'removed' FROM both_ WHERE key_before IS NOT NULL AND key IS NULL
+    UNION ALL SELECT feed, shard_no, field_name, 'renamed' FROM both_ WHERE key_before <> key
+    UNION ALL SELECT feed, shard_no, field_name, 'retyped' FROM both_ WHERE key_before IS NOT NULL AND key IS NOT NULL AND kind_before <> kind"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

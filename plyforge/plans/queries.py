@@ -5,7 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plyforge.operators import drift
+from plyforge.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(table(spark, d, "shard_rows")).select("feed", "shard_no", "field_name", "change_kind")
+
+
+@query
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified(table(spark, d, "shard_rows"))
+
+
+@query
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    return drift.profile(table(spark, d, "shard_rows")).select("feed", "shard_no", "key", "kind", "n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
