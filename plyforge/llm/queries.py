@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm import chunking, overlap, term_frequency
+from plyforge.llm import chunking, overlap, stuffing, term_frequency
 from plyforge.sources.tables import table
 
 #: Tokens of games.tokens in DuckDB.
@@ -40,8 +40,16 @@ def p4_frequency(spark: SparkSession, d: str) -> DataFrame:
     return term_frequency.marked(table(spark, d, "games")).withColumnRenamed("term", "token")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, d, "documents")).select("doc_id")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.scores(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p7_found, p7_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
