@@ -51,13 +51,13 @@ LEAST = 8
 HIGH, HIGH_REPEATING, LOW = 3.9, 3.3, 0.9
 MANY = 40
 #: Share of repeated words, links, tags and codes among the content of a pile: at least, and of a repeating post.
-REPEATED, REPEATING = 0.2, 0.35
+REPEATED, REPEATING = 0.15, 0.35
 LINK_WEIGHT = 3
 
 _LINK = r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?|(?:https?://|www\.)[^\s<\]\[]+"
 _MOVE = r"(?<![\w-])(?:\d+\.(?:\.\.)?\s*)?(?:[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?[!?]*(?![\w-])"
 _ITEM = re.compile(
-    rf"(?P<link>{_LINK})|(?P<markup><[^>\n]{{0,200}}>|\[/?[a-zA-Z*][^\]\n]{{0,60}}\])|(?P<tag>#\w+)|(?P<result>(?<![\w-])(?:1-0|0-1|1/2-1/2|½-½)(?![\w-]))"
+    rf"(?P<link>{_LINK})|(?P<markup>\[img[^\]\n]*\][^\[\n]*\[/img\]|:[a-z]+\d*:|<[^>\n]{{0,200}}>|\[/?[a-zA-Z*][^\]\n]{{0,60}}\])|(?P<tag>#\w+)|(?P<result>(?<![\w-])(?:1-0|0-1|1/2-1/2|½-½)(?![\w-]))"
     rf"|(?P<move>{_MOVE})|(?P<spelled>(?<!\w)\w(?:\.\w){{3,}}(?!\w))|(?P<pct>[-+]?\d+(?:[.,]\d+)?\s?%)|(?P<number>\d+(?:[.,:]\d+)*(?!\w))|(?P<code>\w*\d\w*)|(?P<word>[^\W\d_]+(?:-[^\W\d_]+)*)|(?P<end>[.!?]+)|(?P<line>\n+)|(?P<point>[^\w\s])",
     re.IGNORECASE,
 )
