@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.llm import chunking, overlap, stuffing, term_frequency
+from plyforge.llm import chunking, mixing, overlap, packing, stuffing, term_frequency
 from plyforge.sources.tables import table
 
 #: Tokens of games.tokens in DuckDB.
@@ -40,6 +40,24 @@ def p4_frequency(spark: SparkSession, d: str) -> DataFrame:
     return term_frequency.marked(table(spark, d, "games")).withColumnRenamed("term", "token")
 
 
+def p5_windows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.windows(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "pack_sizes")
+    return packing.fills(packing.windows(table(spark, d, "documents"), sizes), sizes)
+
+
+def p6_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.repeats(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.repeats(table(spark, d, "documents"), targets), targets)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed(table(spark, d, "documents")).select("doc_id")
 
@@ -49,7 +67,7 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p7_found, p7_scores)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p6_repeats, p6_shares, p7_found, p7_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
