@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plyforge.sources.tables import materialize
+
 
 def running_offset(df: DataFrame, group: list[str], keys: list[str], weight: str | None = None, name: str = "offset", slices: int = 64, seed: int = 0) -> DataFrame:
     """Add ``name``: the sum of ``weight`` (default: the count) of the rows before this one in its group.
@@ -32,3 +34,19 @@ def running_offset(df: DataFrame, group: list[str], keys: list[str], weight: str
         on = same if on is None else on & same
     joined = ranked.join(starts, on).select(*(ranked[c] for c in df.columns), (ranked["_before"] + starts["_start"]).alias(name))
     return joined
+
+
+def ordered_offset(df: DataFrame, group: list[str], order: list[str], weight: str, name: str = "offset") -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over the rows of the group that come before in the order of ``order``.
+
+    Rows are range-partitioned by ``order``; each partition sums its own rows, and the partition totals are summed in order.
+    ``order`` must identify a row. ``df`` is written to the shared folder once, so that the partitions stay as they are.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*group, "_part").agg(F.sum(weight).alias("_n"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranked = ranged.withColumn("_before", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
+    return ranked.join(starts, [*group, "_part"]).select(*df.columns, (F.col("_before") + F.col("_start")).cast("long").alias(name))

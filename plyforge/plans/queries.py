@@ -1,16 +1,30 @@
-"""Queries of the core: the project's own operators over its tables."""
+"""Queries of the core: the project's own operators over its tables, each over whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plyforge.operators import drift
-from plyforge.sources.tables import table
+from plyforge.functions import fen as P
+from plyforge.functions import movetext as M
+from plyforge.functions.streams import tokens_of
+from plyforge.operators import buckets, decode, drift, encode, rules, segments, shaping, stage1
+from plyforge.operators import vocab as V
+from plyforge.sources import binary, pgn, synthetic
+from plyforge.sources.tables import materialize, shared_dir, table
+from plyforge.streaming import stage1 as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Settings of the Stage-2 and bucket queries, shared with their SQL.
+FILTERS = {"min_elo": 1000, "max_elo": 2400, "min_plies": 20}
+MONTHS = ("2024-03", "2024-09")
+VAL_SHARE, DROPOUT, SEED = 0.05, 0.15, 1234
+BLOCK, BATCH = 512, 32
+TOP_P, MIN_P, TEMPERATURE, U = 0.7013, 0.0503, 0.6, 0.618
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +32,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _text(ids: str) -> Column:
+    return F.array_join(F.col(ids).cast("array<string>"), " ").alias(ids)
+
+
+# Problem 3
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "shard_rows")).select("feed", "shard_no", "field_name", "change_kind")
@@ -33,5 +54,521 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return drift.profile(table(spark, d, "shard_rows")).select("feed", "shard_no", "key", "kind", "n")
 
 
+# Stage 1
+
+
+@query
+def nerf_rate_by_elo(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: share of annotated errors by rating bucket of the mover, from raw text."""
+    raw = stage1.annotated(table(spark, d, "raw_games"), 0)
+    games = stage1.with_labels(stage1.with_plies(raw))
+    rows = games.select("whiteelo", "blackelo", F.explode("labelled").alias("p"))
+    mover = V.elo_bucket(F.when(F.col("p.white"), F.col("whiteelo")).otherwise(F.col("blackelo")))
+    label = F.col("p.computed")
+    return rows.groupBy(mover.alias("bucket")).agg(
+        F.count("*").alias("n_plies"), F.count(label).alias("n_errors"), F.count_if(label == "??").alias("n_blunders"), F.round(F.count(label) / F.count("*"), 6).alias("rate")
+    )
+
+
+@query
+def scan_filter_pushdown(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.annotated(table(spark, d, "raw_games"), 1600).select("raw_id", "site", "whiteelo", "blackelo")
+
+
+@query
+def lex_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_games").select("raw_id", F.posexplode(M.lexemes(F.col("movetext"))).alias("i", "lexeme"))
+
+
+@query
+def movetext_result(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_games").select("raw_id", M.movetext_result(F.col("movetext")).alias("text_result"))
+
+
+@query
+def parse_plies(spark: SparkSession, d: str) -> DataFrame:
+    games = stage1.with_plies(table(spark, d, "raw_games"))
+    return games.select("raw_id", F.posexplode("plies").alias("ply", "p")).select("raw_id", "ply", "p.san", "p.glyph", "p.cp")
+
+
+@query
+def eval_to_cp(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "raw_games").select(F.explode(F.regexp_extract_all("movetext", F.lit(M.EVAL), F.lit(1))).alias("eval")).distinct()
+    return found.select("eval", M.eval_to_cp(F.col("eval")).alias("cp"))
+
+
+@query
+def win_pct(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "games").select(F.explode("cp").alias("cp")).distinct()
+    return found.select("cp", F.round(M.win_pct(F.col("cp")), 6).alias("pct"))
+
+
+@query
+def carry_forward_eval(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.ply_rows(table(spark, d, "raw_games")).select("raw_id", "ply", "cp", "cp_before")
+
+
+@query
+def label_plies(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.ply_rows(table(spark, d, "raw_games")).select("raw_id", "ply", "inline", "computed", "disagrees")
+
+
+@query
+def label_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = stage1.ply_rows(table(spark, d, "raw_games"))
+    return rows.groupBy(F.coalesce("computed", F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def glyph_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    rows = stage1.ply_rows(table(spark, d, "raw_games")).where("disagrees")
+    return rows.groupBy(F.coalesce("inline", F.lit("none")).alias("inline"), F.coalesce("computed", F.lit("none")).alias("computed")).agg(F.count("*").alias("n"))
+
+
+@query
+def split_glyph(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "raw_games").select(F.explode(M.lexemes(F.col("movetext"))).alias("word")).where(~F.col("word").startswith("{")).distinct()
+    san, glyph = M.split_glyph(F.col("word"))
+    return words.select("word", san.alias("san"), glyph.alias("glyph"))
+
+
+@query
+def san_tokens(spark: SparkSession, d: str) -> DataFrame:
+    sans = stage1.ply_rows(table(spark, d, "raw_games")).select("san").distinct()
+    return sans.select("san", F.array_join(M.san_tokens(F.col("san"), F.lit(None).cast("string")), " ").alias("tokens"), F.col("san").rlike(M.LOOSE_SAN).alias("loose"))
+
+
+@query
+def tokens_to_san(spark: SparkSession, d: str) -> DataFrame:
+    sans = stage1.ply_rows(table(spark, d, "raw_games")).select("san").distinct().where(F.col("san").rlike(M.SAN))
+    tokens = M.san_tokens(F.col("san"), F.lit(None).cast("string"), bracketed=False)
+    return sans.select("san", M.tokens_to_san(tokens).alias("back"))
+
+
+@query
+def tokenise_games(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.tokenised(table(spark, d, "raw_games")).withColumn("cp", _text("cp"))
+
+
+@query
+def tokenise_games_computed(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.tokenised(table(spark, d, "raw_games"), 0, 0, "computed").select("raw_id", "tokens")
+
+
+@query
+def quarantine_games(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.parsed(stage1.annotated(table(spark, d, "raw_games"), 0)).where("has_evals AND malformed").select("raw_id")
+
+
+@query
+def stage1_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.stats(table(spark, d, "raw_games"))
+
+
+@query
+def token_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.token_frequency(table(spark, d, "games"))
+
+
+@query
+def token_frequency_top(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.token_frequency(table(spark, d, "games")).orderBy(F.desc("n"), "token").limit(20)
+
+
+@query
+def games_per_month_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The per-source limit in a form with a defined result: the first five games of each month."""
+    raw = table(spark, d, "raw_games").select("raw_id", M.year_month(F.col("utcdate")).alias("month"))
+    return raw.withColumn("rank", F.row_number().over(W.partitionBy("month").orderBy("raw_id"))).where("rank <= 5")
+
+
+# Dictionary and Stage 2
+
+
+@query
+def vocab_table(spark: SparkSession, d: str) -> DataFrame:
+    return V.vocabulary(spark)
+
+
+@query
+def vocab_kind_counts(spark: SparkSession, d: str) -> DataFrame:
+    return V.vocabulary(spark).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("token").alias("n_distinct"), F.min("token_id").alias("first_id"), F.max("token_id").alias("last_id"))
+
+
+@query
+def translate_tokens(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "games").select(F.explode(tokens_of(F.col("tokens"))).alias("token")).distinct()
+    return tokens.select("token", V.surface(F.col("token")).alias("word"))
+
+
+@query
+def encode_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Token to id as a join: every distinct token of the games, its id if it has one."""
+    tokens = table(spark, d, "games").select(F.explode(tokens_of(F.col("tokens"))).alias("token")).distinct().withColumn("word", V.surface(F.col("token")))
+    vocabulary = F.broadcast(V.vocabulary(spark))  # 5,273 rows, fixed
+    return tokens.join(vocabulary, tokens["word"] == vocabulary["token"], "left").select(tokens["token"], "token_id")
+
+
+@query
+def elo_bucket(spark: SparkSession, d: str) -> DataFrame:
+    elos = table(spark, d, "games").select(F.explode(F.array("white_elo", "black_elo")).alias("elo")).distinct()
+    return elos.select("elo", V.elo_bucket(F.col("elo")).alias("training"), V.elo_bucket(F.col("elo"), V.ELO_ANY).alias("serving"))
+
+
+@query
+def end_token_class(spark: SparkSession, d: str) -> DataFrame:
+    rows = encode.encoded(table(spark, d, "games"))
+    return rows.groupBy(F.coalesce("end_token", F.lit("bare")).alias("end_token")).agg(F.count("*").alias("n"))
+
+
+@query
+def encode_games(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL").select("row_id", "split", F.size("ids").alias("length"), _text("ids"))
+
+
+@query
+def decode_games(spark: SparkSession, d: str) -> DataFrame:
+    rows = encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL")
+    return encode.decoded(rows).select("row_id", F.array_join("words", " ").alias("words"))
+
+
+@query
+def elo_dropout_hash(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "games"), dropout=DROPOUT, seed=SEED).select("row_id", "white_token", "black_token")
+
+
+@query
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "games").select("row_id", encode.split_of(F.col("site"), F.col("utc_date"), VAL_SHARE).alias("split"))
+
+
+@query
+def month_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "games").select("row_id", encode.split_of(F.col("site"), F.col("utc_date"), months=MONTHS).alias("split"))
+
+
+@query
+def stage2_filters(spark: SparkSession, d: str) -> DataFrame:
+    return encode.filtered(encode.shard_columns(table(spark, d, "games")), **FILTERS).select("row_id", "white_elo", "black_elo", "n_plies")
+
+
+@query
+def unknown_token_docfreq(spark: SparkSession, d: str) -> DataFrame:
+    return encode.unknown_tokens(table(spark, d, "games"))
+
+
+@query
+def unknown_token_top(spark: SparkSession, d: str) -> DataFrame:
+    return encode.unknown_tokens(table(spark, d, "games"), 20)
+
+
+@query
+def pack_stats(spark: SparkSession, d: str) -> DataFrame:
+    return encode.stats(table(spark, d, "games"), **FILTERS, fraction=VAL_SHARE)
+
+
+@query
+def split_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL")
+    return rows.groupBy("split").agg(F.count("*").alias("n_games"), F.sum(F.size("ids")).alias("n_tokens"))
+
+
+@query
+def game_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return encode.packed(table(spark, d, "games")).select("split", "row_id", "length", "start")
+
+
+@query
+def offset_index(spark: SparkSession, d: str) -> DataFrame:
+    return encode.offsets(encode.packed(table(spark, d, "games")))
+
+
+@query
+def offset_scan(spark: SparkSession, d: str) -> DataFrame:
+    return encode.starts_by_scan(encode.packed(table(spark, d, "games")))
+
+
+@query
+def offsets_valid(spark: SparkSession, d: str) -> DataFrame:
+    corpus = encode.packed(table(spark, d, "games"))
+    return encode.valid_offsets(encode.offsets(corpus), corpus)
+
+
+@query
+def corpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The flat 16-bit corpus, written and read back."""
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    binary.write_corpus(encode.packed(table(spark, d, "games")), path)
+    return binary.read_corpus(spark, path).select("split", _text("ids"))
+
+
+# Length buckets, segments, rows
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL").select("row_id", "split", F.size("ids").alias("length"))
+
+
+@query
+def length_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return _lengths(spark, d).groupBy("length").agg(F.count("*").alias("n"))
+
+
+@query
+def bucket_assign(spark: SparkSession, d: str) -> DataFrame:
+    return _lengths(spark, d).select("row_id", "length", buckets.bucket_of(F.col("length"), BLOCK).alias("cap"))
+
+
+@query
+def bucket_mass(spark: SparkSession, d: str) -> DataFrame:
+    return buckets.bucket_table(_lengths(spark, d), BLOCK, BATCH).withColumn("probability", F.round("probability", 6))
+
+
+@query
+def rows_for_cap(spark: SparkSession, d: str) -> DataFrame:
+    caps = spark.createDataFrame([(c, b, n) for b, n in ((1024, 64), (512, 32)) for c in buckets.caps(b)], "cap int, block int, batch int")
+    of = lambda b, n: buckets.rows_for_cap(F.col("cap"), b, n)
+    return caps.select("cap", "block", F.when(F.col("block") == 1024, of(1024, 64)).otherwise(of(512, 32)).alias("rows"))
+
+
+@query
+def segment_plan(spark: SparkSession, d: str) -> DataFrame:
+    return segments.segment_rows(encode.encoded(table(spark, d, "games"))).drop("ids")
+
+
+@query
+def all_segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    return segments.training_rows(encode.encoded(table(spark, d, "games"))).select("row_id", "seg", _text("x"), _text("y"))
+
+
+@query
+def graded_density(spark: SparkSession, d: str) -> DataFrame:
+    rows = segments.training_rows(encode.encoded(table(spark, d, "games")))
+    graded = F.size(F.filter("y", lambda t: t >= 0))
+    return rows.agg(F.count("*").alias("n_rows"), F.sum(F.size("y")).alias("n_targets"), F.sum(graded).alias("n_graded"))
+
+
+@query
+def pad_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = buckets.padded(segments.training_rows(encode.encoded(table(spark, d, "games"))), BLOCK)
+    return rows.groupBy("cap").agg(F.count("*").alias("n_rows"), F.sum(F.size("x")).alias("n_inputs"), F.sum(F.size(F.filter("y", lambda t: t == -1))).alias("n_ungraded"))
+
+
+@query
+def sample_batch(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialize(segments.chosen_rows(segments.training_rows(encode.encoded(table(spark, d, "games")))), "rows")
+    return buckets.batches(rows, steps=4, block=BLOCK, batch=BATCH).select("step", "slot", "row_id", "cap", F.size("x").alias("width"))
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "games").select("row_id", F.transform(tokens_of(F.col("tokens")), V.surface).alias("words"))
+
+
+@query
+def regroup_moves(spark: SparkSession, d: str) -> DataFrame:
+    moves = segments.move_groups(_words(spark, d))
+    return moves.select("row_id", F.posexplode("groups").alias("move_no", "g")).select("row_id", "move_no", F.array_join("g", " ").alias("words"))
+
+
+# Distributions: the next word given the word before, from all games
+
+
+def _bigrams(spark: SparkSession, d: str) -> DataFrame:
+    w = F.col("words")
+    pairs = _words(spark, d).select(F.explode(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("b"))).alias("p"))
+    counts = pairs.select(F.col("p.a").alias("decode_id"), F.col("p.b").alias("token")).groupBy("decode_id", "token").agg(F.count("*").alias("n"))
+    vocabulary = F.broadcast(V.vocabulary(spark).select("token", F.col("token_id").alias("idx")))  # fixed size
+    return counts.join(vocabulary, "token", "left").select("decode_id", "idx", "token", F.col("n").cast("double").alias("p"), "n")
+
+
+def _masked(spark: SparkSession, d: str) -> DataFrame:
+    rows = _bigrams(spark, d)
+    return shaping.masked(rows, rows.where("idx IS NOT NULL").select("decode_id", "idx", "token"))
+
+
+def _shown(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("decode_id", "token", *more, F.round("p", 6).alias("p"))
+
+
+@query
+def mask_renormalise(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(shaping.tempered(_masked(spark, d), F.lit(1.0)))
+
+
+@query
+def temperature(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(shaping.tempered(_masked(spark, d), F.lit(TEMPERATURE)))
+
+
+@query
+def temperature_schedule(spark: SparkSession, d: str) -> DataFrame:
+    lengths = table(spark, d, "games").select((F.floor(F.coalesce("n_plies", F.lit(0)) / 2) + 1).cast("int").alias("move")).distinct()
+    c = shaping.DEFAULTS
+    return lengths.select("move", shaping.temperature_at(F.col("move"), c["opening"], c["middle"], c["middle_from"], c["end"], c["end_from"]).alias("t"))
+
+
+@query
+def top_p(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(shaping.top_p(shaping.tempered(_masked(spark, d), F.lit(1.0)), TOP_P, ("#",)).where("p > 0"))
+
+
+@query
+def min_p(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(shaping.min_p(shaping.tempered(_masked(spark, d), F.lit(1.0)), MIN_P).where("p > 0"))
+
+
+@query
+def softmax(spark: SparkSession, d: str) -> DataFrame:
+    rows = _bigrams(spark, d).withColumn("logit", F.ln("p"))
+    return _shown(shaping.softmax(rows, 2.0))
+
+
+@query
+def top_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(shaping.ranked(shaping.tempered(_masked(spark, d), F.lit(1.0)), 5), "rank")
+
+
+@query
+def gauges(spark: SparkSession, d: str) -> DataFrame:
+    g = shaping.gauges(shaping.tempered(_masked(spark, d), F.lit(1.0)))
+    return g.select("decode_id", F.round("label_mass", 6).alias("label_mass"), F.round("mate", 6).alias("mate"))
+
+
+@query
+def inverse_sample(spark: SparkSession, d: str) -> DataFrame:
+    return shaping.sampled(shaping.tempered(_masked(spark, d), F.lit(1.0)), F.lit(U)).select("decode_id", "token")
+
+
+def _moves(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct whole moves of all games as sequences, with their frequency: one decode step per first letter of the move."""
+    groups = segments.move_groups(_words(spark, d)).select(F.explode("groups").alias("tokens"))
+    counts = groups.withColumn("decode_id", F.substring(F.element_at("tokens", -1), 1, 1)).groupBy("decode_id", "tokens").agg(F.count("*").cast("double").alias("p"))
+    return counts.withColumn("seq_id", F.array_join("tokens", " "))
+
+
+@query
+def prefix_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(shaping.prefix_marginals(_moves(spark, d), ["x"]))
+
+
+@query
+def sequence_scores(spark: SparkSession, d: str) -> DataFrame:
+    return shaping.sequence_scores(_moves(spark, d)).select("decode_id", "seq_id", F.round("p", 6).alias("p"))
+
+
+@query
+def topk_moves(spark: SparkSession, d: str) -> DataFrame:
+    moves = _moves(spark, d).select("decode_id", M.tokens_to_san(F.filter("tokens", lambda t: ~t.startswith("<"))).alias("san"), "p").groupBy("decode_id", "san").agg(F.sum("p").alias("p"))
+    return shaping.top_moves(moves, 5).select("decode_id", "san", F.col("p").cast("bigint").alias("n"), "rank")
+
+
+# Positions
+
+#: Position strings made of the keys of orders, some of them not valid; the text is plain SQL for both engines.
+FEN_SQL = """concat(
+ CASE o_orderkey % 7 WHEN 0 THEN 'rnbqkbnr' WHEN 1 THEN 'r3k2r' WHEN 2 THEN '4k3' WHEN 3 THEN '1bk5' WHEN 4 THEN 'k6b' WHEN 5 THEN '3qk2P' ELSE '4k2r' END, '/',
+ CASE o_custkey % 5 WHEN 0 THEN 'pppppppp' WHEN 1 THEN '8' WHEN 2 THEN 'p1p2p1p' WHEN 3 THEN '44' ELSE '2n5' END, '/8/8/',
+ CASE o_orderkey % 3 WHEN 0 THEN '8' WHEN 1 THEN '3B4' ELSE 'b7' END, '/8/',
+ CASE o_custkey % 4 WHEN 0 THEN 'PPPPPPPP' WHEN 1 THEN '8' WHEN 2 THEN '2B2x2' ELSE '7B' END, '/',
+ CASE o_orderkey % 6 WHEN 0 THEN 'RNBQKBNR' WHEN 1 THEN 'R3K2R' WHEN 2 THEN '4K3' WHEN 3 THEN 'K6K' WHEN 4 THEN '4K2R' ELSE '7' END, ' ',
+ CASE o_custkey % 9 WHEN 0 THEN 'b' WHEN 1 THEN 'x' WHEN 2 THEN 'b' ELSE 'w' END, ' ',
+ CASE o_orderkey % 8 WHEN 0 THEN 'KQkq' WHEN 1 THEN 'KX' ELSE '-' END, ' ',
+ CASE o_custkey % 11 WHEN 0 THEN 'e3' WHEN 1 THEN 'e6' WHEN 2 THEN 'e9' ELSE '-' END, ' ',
+ CASE o_orderkey % 13 WHEN 0 THEN '-1' WHEN 1 THEN '101' WHEN 2 THEN 'a' ELSE '0' END, ' ',
+ CASE o_custkey % 17 WHEN 0 THEN '0' WHEN 1 THEN '' ELSE '12' END)"""
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.expr(FEN_SQL).alias("fen")).distinct()
+
+
+@query
+def fen_validate(spark: SparkSession, d: str) -> DataFrame:
+    return _positions(spark, d).select("fen", P.fen_error(F.col("fen")).alias("error"))
+
+
+@query
+def fen_material(spark: SparkSession, d: str) -> DataFrame:
+    rows = _positions(spark, d).where(P.fen_error(F.col("fen")).isNull())
+    total, balance = P.material(F.col("fen"))
+    resign, draw = P.end_masses(F.col("fen"))
+    return rows.select("fen", total.alias("material"), balance.alias("balance"), resign.alias("resign"), draw.alias("draw"))
+
+
+@query
+def fen_dead(spark: SparkSession, d: str) -> DataFrame:
+    return _positions(spark, d).where(P.fen_error(F.col("fen")).isNull()).select("fen", P.insufficient_material(F.col("fen")).alias("dead"))
+
+
+@query
+def square_maths(spark: SparkSession, d: str) -> DataFrame:
+    squares = V.vocabulary(spark).where(F.length("token") == 2).where(F.col("token").rlike("^[a-h][1-8]$"))
+    return squares.select("token", P.square_index(F.col("token")).alias("index"), P.square_colour(F.col("token")).alias("colour"))
+
+
+@query
+def legal_moves(spark: SparkSession, d: str) -> DataFrame:
+    return rules.legal_moves(_positions(spark, d).withColumn("id", F.xxhash64("fen"))).drop("id")
+
+
+@query
+def position_status(spark: SparkSession, d: str) -> DataFrame:
+    return rules.status(_positions(spark, d).withColumn("id", F.xxhash64("fen")))
+
+
+@query
+def perft(spark: SparkSession, d: str) -> DataFrame:
+    start = spark.createDataFrame([(rules.START,), ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1",)], "fen string")
+    return rules.perft(start, 2)
+
+
+@query
+def replay_games(spark: SparkSession, d: str) -> DataFrame:
+    games = stage1.with_plies(table(spark, d, "raw_games"))
+    return rules.replay(games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans")), "raw_id", "sans")
+
+
+@query
+def decode_moves(spark: SparkSession, d: str) -> DataFrame:
+    return decode.decode_moves(_positions(spark, d).where(P.fen_error(F.col("fen")).isNull()).withColumn("id", F.xxhash64("fen")), decode.heuristic_model)
+
+
+# Sources, sinks, streams
+
+
+@query
+def pgn_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Raw games as PGN files of wrapped lines, read back."""
+    games = stage1.with_plies(table(spark, d, "raw_games"))
+    headers = F.create_map(F.lit("Event"), F.lit("rated"), F.lit("Site"), F.col("site"), F.lit("Id"), F.col("raw_id").cast("string"), F.lit("Result"), F.col("result"))
+    text = pgn.to_pgn(headers, F.transform("plies", lambda p: p["san"]), F.col("result"), 80)
+    path = f"{shared_dir(spark)}/pgn-{uuid.uuid4().hex}"
+    games.select(F.concat(text, F.lit("\n")).alias("value")).write.text(path)
+    back = pgn.read_pgn(spark, path)
+    return back.select(F.col("headers")["Id"].cast("long").alias("raw_id"), F.col("headers")["Site"].alias("site"), F.size("moves").alias("n_moves"), "result")
+
+
+@query
+def stream_stage1(spark: SparkSession, d: str) -> DataFrame:
+    """Stage 1 as a stream over the same files; must give the rows of the batch."""
+    raw = table(spark, d, "raw_games")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    raw.write.parquet(f"{base}/in")
+    streaming.run_available(spark, f"{base}/in", raw, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").withColumn("cp", _text("cp"))
+
+
+@query
+def synthetic_games(spark: SparkSession, d: str) -> DataFrame:
+    made = synthetic.games(spark, 500)
+    return stage1.tokenised(made, 0, 0).select("raw_id", "n_plies", "n_disagreements")
+
+
+@query
+def shard_order(spark: SparkSession, d: str) -> DataFrame:
+    """Rows numbered in the order of file and place in the file."""
+    return table(spark, d, "games").select("row_id", F.col("_metadata.row_index").alias("row_index"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
