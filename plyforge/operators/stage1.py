@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import movetext as M
 from plyforge.functions.streams import tokens_of
+from plyforge.operators import fast
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -58,20 +59,17 @@ def parsed(raw: DataFrame) -> DataFrame:
     return once(games, has_evals=F.exists(p, lambda x: x["eval"].isNotNull()), malformed=bad)
 
 
-def tokenised(raw: DataFrame, min_elo: int = 1600, min_plies: int = 20, labels: str = "glyph", keep: tuple[str, ...] = ("raw_id",), quarantined: bool = False) -> DataFrame:
+def _typed(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def tokenised(raw: DataFrame, min_elo: int = 1600, min_plies: int = 20, labels: str = "glyph", keep: tuple[str, ...] = ("raw_id",), quarantined: bool = False, engine: str = "arrow") -> DataFrame:
     """The tokenised games; with ``quarantined`` also the malformed ones, marked, without tokens.
 
-    ``labels``: ``glyph`` (as written), ``computed`` (from the evaluations) or ``none``.
+    ``labels``: ``glyph`` (as written), ``computed`` (from the evaluations) or ``none``. ``engine``: ``arrow`` or ``native``, with equal
+    results; filters and columns reach the scan in both.
     """
-    games = parsed(annotated(raw, min_elo)).where("has_evals")
-    if not quarantined:
-        games = games.where(~F.col("malformed"))
-    label = {"glyph": lambda p: p["inline"], "computed": lambda p: p["computed"], "none": lambda p: F.lit(None).cast("string")}[labels]
-    q = F.col("labelled")
-    games = with_labels(games)
-    words = F.flatten(F.transform(q, lambda p: M.san_tokens(p["san"], label(p))))
-    out = games.select(
-        *keep,
+    headers = [
         F.coalesce("site", F.lit("")).alias("site"),
         F.coalesce(F.col("utcdate").cast("string"), F.lit("")).alias("utc_date"),
         F.col("whiteelo").cast("smallint").alias("white_elo"),
@@ -80,18 +78,37 @@ def tokenised(raw: DataFrame, min_elo: int = 1600, min_plies: int = 20, labels:
         "result",
         "termination",
         "eco",
-        F.size(q).cast("smallint").alias("n_plies"),
-        F.array_join(words, " ").alias("tokens"),
-        F.transform(q, lambda p: F.coalesce(p["cp"], F.lit(M.NO_EVAL))).alias("cp"),
-        F.size(F.filter(q, lambda p: p["disagrees"])).cast("smallint").alias("n_disagreements"),
-        *(["malformed"] if quarantined else []),
-    )
-    return out.where((F.col("n_plies") >= min_plies) | (F.col("malformed") if quarantined else F.lit(False)))
+    ]
+    if engine == "arrow":
+        rows = annotated(raw, min_elo).select(*keep, *headers, "movetext")
+        made = "n_plies smallint, tokens string, cp array<int>, n_disagreements smallint, malformed boolean"
+        out = rows.mapInArrow(fast.tokeniser(labels), f"{_typed(rows.drop('movetext'))}, {made}")
+    else:
+        games = parsed(annotated(raw, min_elo)).where("has_evals")
+        label = {"glyph": lambda p: p["inline"], "computed": lambda p: p["computed"], "none": lambda p: F.lit(None).cast("string")}[labels]
+        q = F.col("labelled")
+        words = F.flatten(F.transform(q, lambda p: M.san_tokens(p["san"], label(p))))
+        out = with_labels(games).select(
+            *keep,
+            *headers,
+            F.size(q).cast("smallint").alias("n_plies"),
+            F.when(~F.col("malformed"), F.array_join(words, " ")).alias("tokens"),
+            F.transform(q, lambda p: F.coalesce(p["cp"], F.lit(M.NO_EVAL))).alias("cp"),
+            F.size(F.filter(q, lambda p: p["disagrees"])).cast("smallint").alias("n_disagreements"),
+            "malformed",
+        )
+    if quarantined:
+        return out.where((F.col("n_plies") >= min_plies) | F.col("malformed"))
+    return out.where((F.col("n_plies") >= min_plies) & ~F.col("malformed")).drop("malformed")
 
 
-def ply_rows(raw: DataFrame, key: str = "raw_id") -> DataFrame:
+def ply_rows(raw: DataFrame, keep: tuple[str, ...] = ("raw_id",), engine: str = "arrow") -> DataFrame:
     """One row per ply of every game that has moves: its SAN, evaluations before and after, and both labels."""
-    return with_labels(with_plies(raw)).select(key, F.explode("labelled").alias("p")).select(key, "p.*")
+    if engine == "arrow":
+        rows = raw.select(*keep, "movetext")
+        made = "ply int, san string, cp int, cp_before int, white boolean, inline string, computed string, disagrees boolean"
+        return rows.mapInArrow(fast.plies, f"{_typed(rows.drop('movetext'))}, {made}")
+    return with_labels(with_plies(raw)).select(*keep, F.explode("labelled").alias("p")).select(*keep, "p.*")
 
 
 def stats(raw: DataFrame, min_elo: int = 1600, min_plies: int = 20) -> DataFrame:

@@ -98,7 +98,8 @@ SQL["san_tokens"] = f"WITH {_PLIES} SELECT san, CASE WHEN regexp_full_match(san,
 SQL["tokens_to_san"] = f"WITH {_PLIES} SELECT DISTINCT san, san AS back FROM plies WHERE regexp_full_match(san, '{_SAN}')"
 SQL["tokenise_games"] = f"""WITH {_PLIES}, {_GAMES} SELECT raw_id, coalesce(site, '') AS site, coalesce(CAST(utcdate AS VARCHAR), '') AS utc_date, whiteelo AS white_elo, blackelo AS black_elo, timecontrol AS time_control, result, termination, eco,
     n_plies, tokens, cp, n_disagreements FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND NOT malformed AND n_plies >= 20 AND whiteelo >= 1600 AND blackelo >= 1600"""
-SQL["stream_stage1"] = SQL["tokenise_games"]
+SQL["stream_stage1"] = SQL["tokenise_games_native"] = SQL["tokenise_games"]
+SQL["label_plies_native"] = SQL["label_plies"]
 SQL["tokenise_games_computed"] = f"WITH {_PLIES}, {_GAMES} SELECT raw_id, tokens_computed AS tokens FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND NOT malformed AND whiteelo >= 0 AND blackelo >= 0"
 SQL["quarantine_games"] = f"WITH {_PLIES}, {_GAMES} SELECT raw_id FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND malformed AND whiteelo >= 0 AND blackelo >= 0"
 SQL["stage1_stats"] = f"""WITH {_PLIES}, {_GAMES}, kept AS (SELECT * FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND whiteelo >= 1600 AND blackelo >= 1600 AND (malformed OR n_plies >= 20)),

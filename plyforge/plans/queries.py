@@ -15,7 +15,7 @@ from plyforge.functions.streams import tokens_of
 from plyforge.operators import buckets, decode, drift, encode, rules, segments, shaping, stage1
 from plyforge.operators import vocab as V
 from plyforge.sources import binary, pgn, synthetic
-from plyforge.sources.tables import materialize, shared_dir, table
+from plyforge.sources.tables import materialize, shared_dir, spread, table
 from plyforge.streaming import stage1 as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,11 +60,10 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nerf_rate_by_elo(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: share of annotated errors by rating bucket of the mover, from raw text."""
-    raw = stage1.annotated(table(spark, d, "raw_games"), 0)
-    games = stage1.with_labels(stage1.with_plies(raw))
-    rows = games.select("whiteelo", "blackelo", F.explode("labelled").alias("p"))
-    mover = V.elo_bucket(F.when(F.col("p.white"), F.col("whiteelo")).otherwise(F.col("blackelo")))
-    label = F.col("p.computed")
+    raw = stage1.annotated(spread(table(spark, d, "raw_games")), 0)
+    rows = stage1.ply_rows(raw, ("whiteelo", "blackelo"))
+    mover = V.elo_bucket(F.when(F.col("white"), F.col("whiteelo")).otherwise(F.col("blackelo")))
+    label = F.col("computed")
     return rows.groupBy(mover.alias("bucket")).agg(
         F.count("*").alias("n_plies"), F.count(label).alias("n_errors"), F.count_if(label == "??").alias("n_blunders"), F.round(F.count(label) / F.count("*"), 6).alias("rate")
     )
@@ -87,7 +86,7 @@ def movetext_result(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parse_plies(spark: SparkSession, d: str) -> DataFrame:
-    games = stage1.with_plies(table(spark, d, "raw_games"))
+    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
     return games.select("raw_id", F.posexplode("plies").alias("ply", "p")).select("raw_id", "ply", "p.san", "p.glyph", "p.cp")
 
 
@@ -105,23 +104,23 @@ def win_pct(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def carry_forward_eval(spark: SparkSession, d: str) -> DataFrame:
-    return stage1.ply_rows(table(spark, d, "raw_games")).select("raw_id", "ply", "cp", "cp_before")
+    return stage1.ply_rows(spread(table(spark, d, "raw_games"))).select("raw_id", "ply", "cp", "cp_before")
 
 
 @query
 def label_plies(spark: SparkSession, d: str) -> DataFrame:
-    return stage1.ply_rows(table(spark, d, "raw_games")).select("raw_id", "ply", "inline", "computed", "disagrees")
+    return stage1.ply_rows(spread(table(spark, d, "raw_games"))).select("raw_id", "ply", "inline", "computed", "disagrees")
 
 
 @query
 def label_histogram(spark: SparkSession, d: str) -> DataFrame:
-    rows = stage1.ply_rows(table(spark, d, "raw_games"))
+    rows = stage1.ply_rows(spread(table(spark, d, "raw_games")))
     return rows.groupBy(F.coalesce("computed", F.lit("none")).alias("label")).agg(F.count("*").alias("n"))
 
 
 @query
 def glyph_disagreements(spark: SparkSession, d: str) -> DataFrame:
-    rows = stage1.ply_rows(table(spark, d, "raw_games")).where("disagrees")
+    rows = stage1.ply_rows(spread(table(spark, d, "raw_games"))).where("disagrees")
     return rows.groupBy(F.coalesce("inline", F.lit("none")).alias("inline"), F.coalesce("computed", F.lit("none")).alias("computed")).agg(F.count("*").alias("n"))
 
 
@@ -134,25 +133,25 @@ def split_glyph(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def san_tokens(spark: SparkSession, d: str) -> DataFrame:
-    sans = stage1.ply_rows(table(spark, d, "raw_games")).select("san").distinct()
+    sans = stage1.ply_rows(spread(table(spark, d, "raw_games"))).select("san").distinct()
     return sans.select("san", F.array_join(M.san_tokens(F.col("san"), F.lit(None).cast("string")), " ").alias("tokens"), F.col("san").rlike(M.LOOSE_SAN).alias("loose"))
 
 
 @query
 def tokens_to_san(spark: SparkSession, d: str) -> DataFrame:
-    sans = stage1.ply_rows(table(spark, d, "raw_games")).select("san").distinct().where(F.col("san").rlike(M.SAN))
+    sans = stage1.ply_rows(spread(table(spark, d, "raw_games"))).select("san").distinct().where(F.col("san").rlike(M.SAN))
     tokens = M.san_tokens(F.col("san"), F.lit(None).cast("string"), bracketed=False)
     return sans.select("san", M.tokens_to_san(tokens).alias("back"))
 
 
 @query
 def tokenise_games(spark: SparkSession, d: str) -> DataFrame:
-    return stage1.tokenised(table(spark, d, "raw_games")).withColumn("cp", _text("cp"))
+    return stage1.tokenised(spread(table(spark, d, "raw_games"))).withColumn("cp", _text("cp"))
 
 
 @query
 def tokenise_games_computed(spark: SparkSession, d: str) -> DataFrame:
-    return stage1.tokenised(table(spark, d, "raw_games"), 0, 0, "computed").select("raw_id", "tokens")
+    return stage1.tokenised(spread(table(spark, d, "raw_games")), 0, 0, "computed").select("raw_id", "tokens")
 
 
 @query
@@ -160,9 +159,20 @@ def quarantine_games(spark: SparkSession, d: str) -> DataFrame:
     return stage1.parsed(stage1.annotated(table(spark, d, "raw_games"), 0)).where("has_evals AND malformed").select("raw_id")
 
 
+@query
+def tokenise_games_native(spark: SparkSession, d: str) -> DataFrame:
+    """The same as ``tokenise_games`` in native expressions alone."""
+    return stage1.tokenised(spread(table(spark, d, "raw_games")), engine="native").withColumn("cp", _text("cp"))
+
+
+@query
+def label_plies_native(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.ply_rows(spread(table(spark, d, "raw_games")), engine="native").select("raw_id", "ply", "inline", "computed", "disagrees")
+
+
 @query
 def stage1_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stage1.stats(table(spark, d, "raw_games"))
+    return stage1.stats(spread(table(spark, d, "raw_games")))
 
 
 @query
@@ -217,24 +227,24 @@ def elo_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def end_token_class(spark: SparkSession, d: str) -> DataFrame:
-    rows = encode.encoded(table(spark, d, "games"))
+    rows = encode.encoded(spread(table(spark, d, "games")))
     return rows.groupBy(F.coalesce("end_token", F.lit("bare")).alias("end_token")).agg(F.count("*").alias("n"))
 
 
 @query
 def encode_games(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL").select("row_id", "split", F.size("ids").alias("length"), _text("ids"))
+    return encode.encoded(spread(table(spark, d, "games"))).where("ids IS NOT NULL").select("row_id", "split", F.size("ids").alias("length"), _text("ids"))
 
 
 @query
 def decode_games(spark: SparkSession, d: str) -> DataFrame:
-    rows = encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL")
+    rows = encode.encoded(spread(table(spark, d, "games"))).where("ids IS NOT NULL")
     return encode.decoded(rows).select("row_id", F.array_join("words", " ").alias("words"))
 
 
 @query
 def elo_dropout_hash(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "games"), dropout=DROPOUT, seed=SEED).select("row_id", "white_token", "black_token")
+    return encode.encoded(spread(table(spark, d, "games")), dropout=DROPOUT, seed=SEED).select("row_id", "white_token", "black_token")
 
 
 @query
@@ -269,28 +279,28 @@ def pack_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL")
+    rows = encode.encoded(spread(table(spark, d, "games"))).where("ids IS NOT NULL")
     return rows.groupBy("split").agg(F.count("*").alias("n_games"), F.sum(F.size("ids")).alias("n_tokens"))
 
 
 @query
 def game_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return encode.packed(table(spark, d, "games")).select("split", "row_id", "length", "start")
+    return encode.packed(spread(table(spark, d, "games"))).select("split", "row_id", "length", "start")
 
 
 @query
 def offset_index(spark: SparkSession, d: str) -> DataFrame:
-    return encode.offsets(encode.packed(table(spark, d, "games")))
+    return encode.offsets(encode.packed(spread(table(spark, d, "games"))))
 
 
 @query
 def offset_scan(spark: SparkSession, d: str) -> DataFrame:
-    return encode.starts_by_scan(encode.packed(table(spark, d, "games")))
+    return encode.starts_by_scan(encode.packed(spread(table(spark, d, "games"))))
 
 
 @query
 def offsets_valid(spark: SparkSession, d: str) -> DataFrame:
-    corpus = encode.packed(table(spark, d, "games"))
+    corpus = encode.packed(spread(table(spark, d, "games")))
     return encode.valid_offsets(encode.offsets(corpus), corpus)
 
 
@@ -298,7 +308,7 @@ def offsets_valid(spark: SparkSession, d: str) -> DataFrame:
 def corpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The flat 16-bit corpus, written and read back."""
     path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    binary.write_corpus(encode.packed(table(spark, d, "games")), path)
+    binary.write_corpus(encode.packed(spread(table(spark, d, "games"))), path)
     return binary.read_corpus(spark, path).select("split", _text("ids"))
 
 
@@ -306,7 +316,7 @@ def corpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lengths(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encoded(table(spark, d, "games")).where("ids IS NOT NULL").select("row_id", "split", F.size("ids").alias("length"))
+    return encode.encoded(spread(table(spark, d, "games"))).where("ids IS NOT NULL").select("row_id", "split", F.size("ids").alias("length"))
 
 
 @query
@@ -333,35 +343,35 @@ def rows_for_cap(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def segment_plan(spark: SparkSession, d: str) -> DataFrame:
-    return segments.segment_rows(encode.encoded(table(spark, d, "games"))).drop("ids")
+    return segments.segment_rows(encode.encoded(spread(table(spark, d, "games")))).drop("ids")
 
 
 @query
 def all_segment_rows(spark: SparkSession, d: str) -> DataFrame:
-    return segments.training_rows(encode.encoded(table(spark, d, "games"))).select("row_id", "seg", _text("x"), _text("y"))
+    return segments.training_rows(encode.encoded(spread(table(spark, d, "games")))).select("row_id", "seg", _text("x"), _text("y"))
 
 
 @query
 def graded_density(spark: SparkSession, d: str) -> DataFrame:
-    rows = segments.training_rows(encode.encoded(table(spark, d, "games")))
+    rows = segments.training_rows(encode.encoded(spread(table(spark, d, "games"))))
     graded = F.size(F.filter("y", lambda t: t >= 0))
     return rows.agg(F.count("*").alias("n_rows"), F.sum(F.size("y")).alias("n_targets"), F.sum(graded).alias("n_graded"))
 
 
 @query
 def pad_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = buckets.padded(segments.training_rows(encode.encoded(table(spark, d, "games"))), BLOCK)
+    rows = buckets.padded(segments.training_rows(encode.encoded(spread(table(spark, d, "games")))), BLOCK)
     return rows.groupBy("cap").agg(F.count("*").alias("n_rows"), F.sum(F.size("x")).alias("n_inputs"), F.sum(F.size(F.filter("y", lambda t: t == -1))).alias("n_ungraded"))
 
 
 @query
 def sample_batch(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialize(segments.chosen_rows(segments.training_rows(encode.encoded(table(spark, d, "games")))), "rows")
+    rows = materialize(segments.chosen_rows(segments.training_rows(encode.encoded(spread(table(spark, d, "games"))))), "rows")
     return buckets.batches(rows, steps=4, block=BLOCK, batch=BATCH).select("step", "slot", "row_id", "cap", F.size("x").alias("width"))
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "games").select("row_id", F.transform(tokens_of(F.col("tokens")), V.surface).alias("words"))
+    return spread(table(spark, d, "games")).select("row_id", F.transform(tokens_of(F.col("tokens")), V.surface).alias("words"))
 
 
 @query
@@ -524,7 +534,7 @@ def perft(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def replay_games(spark: SparkSession, d: str) -> DataFrame:
-    games = stage1.with_plies(table(spark, d, "raw_games"))
+    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
     return rules.replay(games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans")), "raw_id", "sans")
 
 
@@ -539,7 +549,7 @@ def decode_moves(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pgn_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Raw games as PGN files of wrapped lines, read back."""
-    games = stage1.with_plies(table(spark, d, "raw_games"))
+    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
     headers = F.create_map(F.lit("Event"), F.lit("rated"), F.lit("Site"), F.col("site"), F.lit("Id"), F.col("raw_id").cast("string"), F.lit("Result"), F.col("result"))
     text = pgn.to_pgn(headers, F.transform("plies", lambda p: p["san"]), F.col("result"), 80)
     path = f"{shared_dir(spark)}/pgn-{uuid.uuid4().hex}"
