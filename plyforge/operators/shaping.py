@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from plyforge.operators import vocab as V
 
-_STEP = W.partitionBy("decode_id")
+def _step():
+    return W.partitionBy("decode_id")
+
+
 SPECIAL = (*V.LABEL_WORDS.values(), *V.ENDINGS)
 
 # Fixed values of the default configuration.
@@ -38,18 +41,18 @@ def tempered(dist: DataFrame, temperature: Column) -> DataFrame:
     """p^(1/T), renormalised; without any mass, uniform over the tokens that are neither labels nor endings."""
     q = F.when(F.col("p") > 0, F.when(temperature == 1, F.col("p")).otherwise(F.pow(F.col("p"), 1 / temperature))).otherwise(0.0)
     d = dist.withColumn("q", q).withColumn("plain", (~F.col("token").isin(*SPECIAL)).cast("double"))
-    total, plain = F.sum("q").over(_STEP), F.sum("plain").over(_STEP)
+    total, plain = F.sum("q").over(_step()), F.sum("plain").over(_step())
     return d.withColumn("p", F.when(total > 0, F.col("q") / total).otherwise(F.col("plain") / plain)).drop("q", "plain")
 
 
 def softmax(dist: DataFrame, temperature: float = 1.0, logit: str = "logit") -> DataFrame:
-    e = F.exp((F.col(logit) - F.max(logit).over(_STEP)) / temperature)
-    return dist.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(_STEP)).drop("e")
+    e = F.exp((F.col(logit) - F.max(logit).over(_step())) / temperature)
+    return dist.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(_step())).drop("e")
 
 
 def _renormalised(dist: DataFrame, keep: str) -> DataFrame:
     q = F.when(F.col(keep), F.col("p")).otherwise(0.0)
-    total = F.sum("q").over(_STEP)
+    total = F.sum("q").over(_step())
     return dist.withColumn("q", q).withColumn("p", F.when(total > 0, F.col("q") / total).otherwise(F.col("p"))).drop("q", keep)
 
 
@@ -58,7 +61,7 @@ def top_p(dist: DataFrame, share: float, exempt: Iterable[str] = ()) -> DataFram
     if not 0 < share < 1:
         return dist
     free = F.col("token").isin(*exempt) if exempt else F.lit(False)
-    order = _STEP.orderBy(F.desc("p"), "idx").rowsBetween(W.unboundedPreceding, -1)
+    order = _step().orderBy(F.desc("p"), "idx").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(free, 0.0).otherwise(F.col("p"))).over(order), F.lit(0.0))
     return _renormalised(dist.withColumn("keep", (F.col("p") > 0) & (free | (before < share))), "keep")
 
@@ -68,13 +71,13 @@ def min_p(dist: DataFrame, floor: float, exempt: Iterable[str] = ()) -> DataFram
     if floor <= 0:
         return dist
     free = F.col("token").isin(*exempt) if exempt else F.lit(False)
-    best = F.row_number().over(_STEP.orderBy(free.cast("int"), F.desc("p"), "idx")) == 1
+    best = F.row_number().over(_step().orderBy(free.cast("int"), F.desc("p"), "idx")) == 1
     return _renormalised(dist.withColumn("keep", (F.col("p") >= floor) | free | (best & ~free)), "keep")
 
 
 def sampled(dist: DataFrame, u: Column) -> DataFrame:
     """One row per step: the first token, in order of ``idx``, at which the running sum reaches ``u``; else the last with any mass."""
-    run = F.sum("p").over(_STEP.orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum("p").over(_step().orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
     d = dist.withColumn("u", u).withColumn("run", run)
     hit = F.min(F.when(F.col("run") >= F.col("u"), F.struct("idx", "token", "p")))
     last = F.max(F.when(F.col("p") > 0, F.struct("idx", "token", "p")))
@@ -88,7 +91,7 @@ def gauges(dist: DataFrame) -> DataFrame:
 
 
 def ranked(dist: DataFrame, top: int) -> DataFrame:
-    return dist.withColumn("rank", F.row_number().over(_STEP.orderBy(F.desc("p"), "idx"))).where(F.col("rank") <= top)
+    return dist.withColumn("rank", F.row_number().over(_step().orderBy(F.desc("p"), "idx"))).where(F.col("rank") <= top)
 
 
 def prefix_marginals(sequences: DataFrame, prefix: list[str]) -> DataFrame:
@@ -96,7 +99,7 @@ def prefix_marginals(sequences: DataFrame, prefix: list[str]) -> DataFrame:
     n = len(prefix)
     fits = (F.size("tokens") > n) & (F.slice("tokens", 1, n) == F.array(*map(F.lit, prefix)) if n else F.size("tokens") > 0)
     nxt = sequences.where(fits).groupBy("decode_id", F.get("tokens", F.lit(n)).alias("token")).agg(F.sum("p").alias("p"))
-    return nxt.withColumn("p", F.col("p") / F.sum("p").over(_STEP))
+    return nxt.withColumn("p", F.col("p") / F.sum("p").over(_step()))
 
 
 def sequence_scores(sequences: DataFrame) -> DataFrame:
@@ -109,5 +112,5 @@ def sequence_scores(sequences: DataFrame) -> DataFrame:
 
 def top_moves(scored: DataFrame, k: int, san: str = "san") -> DataFrame:
     """The ``k`` best moves of each step, and every mate."""
-    r = F.row_number().over(_STEP.orderBy(F.desc("p"), san))
+    r = F.row_number().over(_step().orderBy(F.desc("p"), san))
     return scored.withColumn("rank", r).where((F.col("rank") <= k) | F.contains(san, F.lit("#")))
