@@ -19,7 +19,7 @@ cut into salted blocks. Nothing is capped. The result of ``overlap_pairs`` lists
 class; ``overlap_rows`` and ``overlap_report`` are not.
 
 Defined results: null, empty and short streams match under (b) only; a site without a code or a date that is no calendar day
-never matches under (b); rows whose split is null or unknown belong to no side; repeated rows count each on their own; empty
+never matches under (b); rows whose split is null or unknown belong to no side, and rows without an id are left out; repeated rows count each on their own; empty
 tables give no rows; other columns of the input are never read.
 """
 
@@ -203,7 +203,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sides(games: DataFrame) -> DataFrame:
     side = F.when(F.col("split_name") == "train", 0).when(F.col("split_name").isin("val", "test"), 1)
-    return games.select("row_id", side.alias("side"), "tokens", "site", "utc_date").where(F.col("side").isNotNull())
+    return games.select("row_id", side.alias("side"), "tokens", "site", "utc_date").where(F.col("side").isNotNull() & F.col("row_id").isNotNull())
 
 
 def _classes(games: DataFrame) -> tuple[DataFrame, DataFrame]:
