@@ -64,8 +64,8 @@ def cut(tokens: list[str], limit: int = LIMIT, overlap: int = OVERLAP, least: in
         top = start + limit
         low = min(done + least, top)
         i, j = np.searchsorted(ends, low), np.searchsorted(ends, top, "right")
-        if i == j:  # none between the least length and the limit: any that goes on
-            i, low = np.searchsorted(ends, done, "right"), done + 1
+        if i == j:  # none between the least length and the limit: the last one with which the next piece starts later
+            i, low = np.searchsorted(ends, max(done, start + reach), "right"), top + 1
         if i == j:
             at, kind = top, "hard"
         else:

@@ -12,7 +12,7 @@ of each post; posts of abnormally high perplexity (word piles, lists of links, t
    words, a quarter of the words, few repeats). Counts live in a table of fixed size (about 1.6 million counters, trigrams
    hashed), summed over all data.
 4. *Scoring*: mean surprisal in bits of the more surprising half of the post, so that some sentences before a word pile do not
-   hide it. Moves, results and table rows do not count.
+   hide it. Moves, results, table rows and a word said again at once ("no no no") do not count.
 5. *Exact check* on posts of abnormal perplexity: more than half of the text (a link counts as three words) lies in piles,
    segments without grammar, and repeats, links, tags or codes make up enough of it.
 
@@ -36,22 +36,22 @@ from plyforge.sources.tables import materialize
 
 #: Closed-class words of the languages of the collection; the list is a parameter.
 FUNCTION_WORDS = frozenset(
-    """a about after all and any are as at be because before between but by did do does for from had has have how i if in into is it like me more my no nothing
+    """a about after all and any are around as at be because before between but by did do does each for from had has have how i if in into is it like me more my no nothing
     not of on one only or our out so some than that the their them then there they this those to until up was we were what when who why will with would you your
     aber als am an auch auf bei das dass dem den der des die durch ein eine er etwas für gab hat ich ist jede jemand jetzt man mein mir mit nach nicht nichts
     noch nur ob oder ohne schon sie und uns unser vom von war warum wenn wer wie wird wollte wurde zu
     antes como con cuando de del después el es esta fue la las lo los otra para pero por porque que qué se si sin una unas ya
-    au aux avec ce chez dans du elle en est était être et je le les mais ne notre ou par pas peut plus pour pourquoi quelqu quelle qui sans son sur tous tout un une""".split()
+    au aux avec ce chez dans du elle en environ est était être et je le les mais ne notre nous ou par pas peut plus pour pourquoi quelqu quelle qui sans son sur tous tout un une""".split()
 )
 
 #: Content words back to which a word counts as repeated.
 WINDOW = 16
 LEAST = 8
 #: Bits above which a post is abnormal: alone, or as a post of ``MANY`` items or more that repeats itself.
-HIGH, HIGH_REPEATING, LOW = 3.9, 3.3, 0.9
-MANY = 40
+HIGH, HIGH_REPEATING, LOW = 3.9, 2.7, 0.9
+MANY = 24
 #: Share of repeated words, links, tags and codes among the content of a pile: at least, and of a repeating post.
-REPEATED, REPEATING = 0.15, 0.35
+REPEATED, REPEATING = 0.12, 0.3
 LINK_WEIGHT = 3
 
 _LINK = r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?|(?:https?://|www\.)[^\s<\]\[]+"
@@ -123,13 +123,17 @@ def classes(text: str) -> list[str]:
     """Function words and word classes of a text, in order."""
     out: list[str] = []
     seen: deque[str] = deque(maxlen=WINDOW)
+    before = ""
     for m in _ITEM.finditer(text):
         kind = m.lastgroup
         if kind == "markup":
             continue
+        before, last = m[0].lower(), before
         if kind == "word":
-            word = m[0]
-            low = word.lower()
+            word, low = m[0], before
+            if low == last:
+                out.append("Echo")
+                continue
             if low in FUNCTION_WORDS:
                 out.append(low)
                 continue
@@ -147,7 +151,7 @@ def classes(text: str) -> list[str]:
     return out
 
 
-_CLASSES = ("Word", "WordAgain", "Name", "NameAgain", "Link", "Tag", "Pct", "Number", "Code", "Move", "Result", "Point", ",", ";", ":", "End", "Line")
+_CLASSES = ("Word", "WordAgain", "Name", "NameAgain", "Link", "Tag", "Pct", "Number", "Code", "Move", "Result", "Echo", "Point", ",", ";", ":", "End", "Line")
 _ID = {x: i + 1 for i, x in enumerate(_CLASSES)} | {w: i + 1 + len(_CLASSES) for i, w in enumerate(sorted(FUNCTION_WORDS))}
 _SIZE = 512  # ids, with 0 for the start of a segment
 assert len(_ID) < _SIZE
@@ -168,7 +172,7 @@ _AGAIN = _flags("WordAgain", "NameAgain")
 _OTHER = _flags("Link", "Tag", "Pct", "Code")
 _PLAIN = _flags("Number", "Result", "Move", "Point")
 _BREAKS = _flags("End", "Line")
-_SKIPPED = _flags("Move", "Result")
+_SKIPPED = _flags("Move", "Result", "Echo")
 
 
 class _Posts:
@@ -194,17 +198,22 @@ class _Posts:
         """Per segment, the items that have a flag."""
         return np.add.reduceat((flags[self.flat] if weight is None else weight).astype(np.float64), self.start) if len(self.flat) else np.zeros(0)
 
-    def prose(self) -> np.ndarray:
-        function, words = self.sum(_FUNCTION), self.sum(_WORD)
+    def distinct_function(self) -> np.ndarray:
         at = _FUNCTION[self.flat]
         pairs = np.unique(self.segment[at].astype(np.int64) * _SIZE + self.flat[at])
-        distinct = np.bincount(pairs // _SIZE, minlength=len(self.start))
-        return (self.size >= 5) & (distinct >= 2) & (function * 4 >= words) & (self.sum(_AGAIN) * 3 <= words) & (self.sum(_OTHER) * 3 <= words)
+        return np.bincount(pairs // _SIZE, minlength=len(self.start))
+
+    def prose(self) -> np.ndarray:
+        """Reads as a sentence: two different function words, a quarter of the words, few repeats, no majority of links and tags."""
+        function, words = self.sum(_FUNCTION), self.sum(_WORD)
+        return (self.size >= 5) & (self.distinct_function() >= 2) & (function * 4 >= words) & (self.sum(_AGAIN) * 3 <= words) & (self.sum(_OTHER) * 3 <= words)
 
     def pile(self) -> np.ndarray:
+        """No sentence: too few function words, or repeats with at most one of them, or links, tags and codes."""
         function, words, other = self.sum(_FUNCTION), self.sum(_WORD), self.sum(_OTHER)
         content = words + other
-        return (content > 0) & ((function * 4 < words) | (self.sum(_AGAIN) * 3 >= content) | (other * 3 >= content))
+        repeats = (self.sum(_AGAIN) * 3 >= content) & (self.distinct_function() < 2)
+        return (content > 0) & ((function * 5 < words) | repeats | (other * 3 >= content))
 
     def grams(self) -> tuple[np.ndarray, ...]:
         """Places of each item's trigram, bigram, context pair, unigram and context item."""
@@ -257,25 +266,25 @@ def _score(table):
             size = posts.size.astype(np.float64)
             mean = posts.sum(None, _surprisal(posts, counts)) / np.maximum(size, 1)
             items = np.bincount(owner, size, n)
+            links = posts.sum(_flags("Link"))
+            weight = size + (LINK_WEIGHT - 1) * links
+            weighed = np.bincount(owner, weight, n)
             order = np.lexsort((-mean, owner))
             o, z = owner[order], size[order]
             before = np.cumsum(z) - z
             before -= before[np.searchsorted(o, o)]
             take = np.clip(items[o] / 2 - before, 0, z)
             half = np.bincount(o, take * mean[order], n) / np.maximum(np.bincount(o, take, n), 1e-9)
-            links = posts.sum(_flags("Link"))
-            weight = size + (LINK_WEIGHT - 1) * links
-            pile = posts.pile()
-            piled = np.bincount(owner, weight * pile, n) / np.maximum(np.bincount(owner, weight, n), 1)
+            piled = np.bincount(owner, weight * posts.pile(), n) / np.maximum(weighed, 1)
             content = np.bincount(owner, posts.sum(_WORD & ~_FUNCTION) + posts.sum(_OTHER), n)
             repeated = np.bincount(owner, posts.sum(_AGAIN | _OTHER), n) / np.maximum(content, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items.astype(np.int64)), pa.array(half), pa.array(piled), pa.array(repeated)], ["key", "n_items", "bits", "piled", "repeated"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weighed.astype(np.int64)), pa.array(half), pa.array(piled), pa.array(repeated)], ["key", "n_items", "bits", "piled", "repeated"])
 
     return run
 
 
 def scores(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``key, n_items, bits, piled, repeated``: items of own text, surprisal of the post, share of it in piles, share of repeated content."""
+    """``key, n_items, bits, piled, repeated``: items of own text (a link as three), surprisal of the post, share of it in piles, share of repeated content."""
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("text"))
     items = materialize(rows.mapInArrow(_classify, f"key {kind}, items array<smallint>"), "p7-items")
