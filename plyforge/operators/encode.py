@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plyforge.functions import movetext as M
 from plyforge.functions.movetext import year_month
 from plyforge.functions.streams import tokens_of
 from plyforge.operators import vocab as V
@@ -101,8 +103,9 @@ def starts_by_scan(corpus: DataFrame) -> DataFrame:
 def stats(games: DataFrame, min_elo: int = 0, max_elo: int = 0, min_plies: int = 0, **options) -> DataFrame:
     """The Stage-2 report in one row."""
     seen = games.count()  # from the footers
-    e = encoded(filtered(games, min_elo, max_elo, min_plies), **options)
-    ok, n = F.col("ids").isNotNull(), F.size("ids")
+    e = once(encoded(filtered(games, min_elo, max_elo, min_plies), **options), n=F.size("ids")).select("split", "end_token", "n")
+    n = F.col("n")
+    ok = n.isNotNull()
     ended = lambda *names: F.count_if(ok & F.col("end_token").isin(*names))
     of = lambda s, x: F.coalesce(F.sum(F.when(ok & (F.col("split") == s), x)), F.lit(0)).cast("long")
     r = e.agg(
@@ -133,3 +136,20 @@ def unknown_tokens(games: DataFrame, top: int | None = None) -> DataFrame:
 
 def decoded(corpus: DataFrame) -> DataFrame:
     return corpus.select("row_id", V.reverse_lookup("ids").alias("words"))
+
+
+def inspected(corpus: DataFrame, games: int = 3, words: int = 40) -> DataFrame:
+    """A look at a corpus: the first games of each split, their first words. (A top-k per split: ranks are cut off within the sort.)"""
+    rank = F.row_number().over(W.partitionBy("split").orderBy("row_id"))
+    first = corpus.select("split", "row_id", "ids").withColumn("rank", rank).where(F.col("rank") <= games)
+    return first.select("split", "row_id", F.size("ids").alias("length"), F.array_join(F.slice(V.reverse_lookup("ids"), 1, words), " ").alias("words"))
+
+
+def vocabulary_check(sans: DataFrame, column: str = "san") -> DataFrame:
+    """Counts over moves: all, those that are no SAN (``broken``), those with a token outside the dictionary (``missing``), and those that do not come back from their tokens."""
+    s = once(sans.select(F.col(column).alias("san")), words=M.san_tokens(F.col("san"), F.lit(None).cast("string"), bracketed=False))
+    s = s.withColumn("numbers", V.lookup("words"))
+    known = F.forall("numbers", lambda i: i.isNotNull())
+    return s.agg(
+        F.count("*").alias("checked"), F.count_if(F.col("words").isNull()).alias("broken"), F.count_if(~known).alias("missing"), F.count_if(M.tokens_to_san(F.col("words")) != F.col("san")).alias("lossy")
+    )

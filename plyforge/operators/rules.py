@@ -80,6 +80,51 @@ class Board:
         self.ep = None if ep == "-" else _square(ep)
         self.half, self.full = int(half), int(full)
 
+    # editing; rights and the en passant square are kept only where the pieces still allow them
+
+    @classmethod
+    def empty(cls) -> Board:
+        return cls("8/8/8/8/8/8/8/8 w - - 0 1")
+
+    def get(self, square: str) -> str | None:
+        return self.squares[_square(square)] or None
+
+    def find(self, piece: str) -> list[str]:
+        return [_name(s) for s, p in enumerate(self.squares) if p == piece]
+
+    def put(self, piece: str, square: str) -> bool:
+        """Whether the piece could be put there: no second king of a side, no pawn on the first or last rank."""
+        if piece not in "pnbrqkPNBRQK" or (piece in "kK" and self.find(piece) not in ([], [square])) or (piece in "pP" and square[1] in "18"):
+            return False
+        self.squares[_square(square)] = piece
+        self._settle()
+        return True
+
+    def remove(self, square: str) -> str | None:
+        gone, self.squares[_square(square)] = self.get(square), ""
+        self._settle()
+        return gone
+
+    def set_turn(self, turn: str) -> bool:
+        """Pass the move; not while in check."""
+        if turn != self.turn:
+            if self.in_check():
+                return False
+            self.turn, self.ep = turn, None
+        return True
+
+    def set_rights(self, rights: str) -> bool:
+        """Whether all the rights asked for are possible."""
+        self.rights = "".join(r for r in "KQkq" if r in rights)
+        self._settle()
+        return set(self.rights) == set(rights)
+
+    def _settle(self) -> None:
+        home = {"K": ("K", 4, "R", 7), "Q": ("K", 4, "R", 0), "k": ("k", 60, "r", 63), "q": ("k", 60, "r", 56)}
+        self.rights = "".join(r for r in self.rights if self.squares[home[r][1]] == home[r][0] and self.squares[home[r][3]] == home[r][2])
+        if self.ep is not None and self.squares[self.ep + (8 if self.turn == "b" else -8)] != ("P" if self.turn == "b" else "p"):
+            self.ep = None
+
     def _mine(self, piece: str) -> bool:
         return bool(piece) and piece.isupper() == (self.turn == "w")
 
@@ -307,6 +352,17 @@ def replay(df: DataFrame, key: str, sans: str) -> DataFrame:
     return rows.mapInArrow(_replays, f"key {rows.schema['key'].dataType.simpleString()}, n_moves int, n_legal int, last_fen string, most_repeated int").withColumnRenamed("key", key)
 
 
+def position_after(df: DataFrame, key: str, sans: str, ply: int) -> DataFrame:
+    """The position of each game after its first ``ply`` moves, or after the last legal one before."""
+    return replay(df.withColumn(sans, F.slice(sans, 1, ply)), key, sans).select(key, F.col("n_legal").alias("ply"), F.col("last_fen").alias("fen"))
+
+
+def move_kinds(moves: DataFrame) -> DataFrame:
+    """Moves with one boolean per kind."""
+    has = lambda f: F.contains("flags", F.lit(f))
+    return moves.withColumns({"is_capture": has("c") | has("e"), "is_promotion": has("p"), "is_en_passant": has("e"), "is_short_castle": has("k"), "is_long_castle": has("q"), "is_double_step": has("b")})
+
+
 def _successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         root, fens, n = [], [], []

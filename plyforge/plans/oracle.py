@@ -104,8 +104,8 @@ SQL["tokenise_games_computed"] = f"WITH {_PLIES}, {_GAMES} SELECT raw_id, tokens
 SQL["quarantine_games"] = f"WITH {_PLIES}, {_GAMES} SELECT raw_id FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND malformed AND whiteelo >= 0 AND blackelo >= 0"
 SQL["stage1_stats"] = f"""WITH {_PLIES}, {_GAMES}, kept AS (SELECT * FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND whiteelo >= 1600 AND blackelo >= 1600 AND (malformed OR n_plies >= 20)),
     good AS (SELECT * FROM kept WHERE NOT malformed), tok AS (SELECT unnest(string_split(tokens, ' ')) AS t FROM good)
-    SELECT (SELECT count(*) FROM good) AS games, (SELECT coalesce(sum(n_plies), 0) FROM good) AS plies, (SELECT count(*) FROM tok) AS tokens, (SELECT count(DISTINCT t) FROM tok) AS distinct_tokens,
-    (SELECT count(*) FROM kept WHERE malformed) AS parse_errors, (SELECT coalesce(sum(n_disagreements), 0) FROM good) AS disagreement_plies"""
+    SELECT (SELECT count(*) FROM good) AS games, (SELECT CAST(coalesce(sum(n_plies), 0) AS BIGINT) FROM good) AS plies, (SELECT count(*) FROM tok) AS tokens, (SELECT count(DISTINCT t) FROM tok) AS distinct_tokens,
+    (SELECT count(*) FROM kept WHERE malformed) AS parse_errors, (SELECT CAST(coalesce(sum(n_disagreements), 0) AS BIGINT) FROM good) AS disagreement_plies"""
 SQL["games_per_month_limit"] = "SELECT * FROM (SELECT raw_id, month, row_number() OVER (PARTITION BY month ORDER BY raw_id) AS rank FROM (SELECT raw_id, replace(substr(coalesce(utcdate, ''), 1, 7), '.', '-') AS month FROM raw_games)) WHERE rank <= 5"
 
 # Token streams, dictionary, Stage 2
@@ -137,7 +137,7 @@ _ENC = f"""{_VOCAB}, {_TOK},
     framed AS (SELECT g.row_id, g.site, g.utc_date, g.white_elo, g.black_elo, g.n_plies, coalesce(bad, false) AS bad, coalesce(move_ids, []) AS move_ids, {_END} AS end_token, {_bucket('coalesce(white_elo, 0)')} AS white_token, {_bucket('coalesce(black_elo, 0)')} AS black_token,
         CASE WHEN {_fraction("coalesce(site, '')")} < {VAL_SHARE} THEN 'val' ELSE 'train' END AS split FROM games g LEFT JOIN per USING (row_id)),
     encoded AS (SELECT f.*, list_concat([5252, w.token_id, b.token_id], move_ids, CASE WHEN e.token_id IS NULL THEN [5253] ELSE [e.token_id, 5253] END) AS ids FROM framed f JOIN vocab w ON w.word = white_token JOIN vocab b ON b.word = black_token LEFT JOIN vocab e ON e.word = end_token WHERE NOT bad),
-    corpus AS (SELECT row_id, split, len(ids) AS length, ids, coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM encoded)"""
+    corpus AS (SELECT row_id, split, len(ids) AS length, ids, CAST(coalesce(sum(len(ids)) OVER (PARTITION BY split ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM encoded)"""
 
 SQL["token_frequency"] = f"WITH {_TOK} SELECT token, count(*) AS n FROM tok GROUP BY 1"
 SQL["token_frequency_top"] = f"WITH {_TOK} SELECT token, count(*) AS n FROM tok GROUP BY 1 ORDER BY n DESC, token LIMIT 20"
@@ -160,14 +160,20 @@ SQL["unknown_token_docfreq"] = f"WITH {_ENC} SELECT token, count(DISTINCT row_id
 SQL["unknown_token_top"] = SQL["unknown_token_docfreq"] + " ORDER BY n_games DESC, token LIMIT 20"
 SQL["pack_stats"] = f"""WITH {_ENC}, kept AS (SELECT * FROM framed WHERE {_FILTER}), good AS (SELECT c.*, k.end_token FROM corpus c JOIN kept k USING (row_id))
     SELECT (SELECT count(*) FROM games) AS games_seen, (SELECT count(*) FROM games) - (SELECT count(*) FROM kept) AS games_filtered, count(*) AS games_packed, (SELECT count(*) FROM kept WHERE bad) AS games_unknown_token,
-    count(*) FILTER (split = 'train') AS train_games, count(*) FILTER (split = 'val') AS val_games, coalesce(sum(length) FILTER (split = 'train'), 0) AS train_tokens, coalesce(sum(length) FILTER (split = 'val'), 0) AS val_tokens,
+    count(*) FILTER (split = 'train') AS train_games, count(*) FILTER (split = 'val') AS val_games, CAST(coalesce(sum(length) FILTER (split = 'train'), 0) AS BIGINT) AS train_tokens, CAST(coalesce(sum(length) FILTER (split = 'val'), 0) AS BIGINT) AS val_tokens,
     round_even(sum(length) / greatest(1, count(*)), 1) AS tokens_per_game, count(*) FILTER (end_token LIKE '%resign>') AS games_end_resign, count(*) FILTER (end_token LIKE '%flag>') AS games_end_flag, count(*) FILTER (end_token = '<draw>') AS games_end_draw,
     count(*) FILTER (end_token IS NULL) AS games_end_bare, max(length) AS max_game_tokens, count(*) FILTER (length > 513) AS games_over_513, count(*) FILTER (length > 1025) AS games_over_1025 FROM good"""
-SQL["split_stats"] = f"WITH {_ENC} SELECT split, count(*) AS n_games, sum(length) AS n_tokens FROM corpus GROUP BY 1"
+SQL["split_stats"] = f"WITH {_ENC} SELECT split, count(*) AS n_games, CAST(sum(length) AS BIGINT) AS n_tokens FROM corpus GROUP BY 1"
 SQL["game_offsets"] = f"WITH {_ENC} SELECT split, row_id, length, start FROM corpus"
-SQL["offset_index"] = f"WITH {_ENC} SELECT split, start FROM corpus UNION ALL SELECT split, sum(length) FROM corpus GROUP BY 1"
+SQL["offset_index"] = f"WITH {_ENC} SELECT split, start FROM corpus UNION ALL SELECT split, CAST(sum(length) AS BIGINT) FROM corpus GROUP BY 1"
 SQL["offset_scan"] = SQL["offset_index"]
 SQL["offsets_valid"] = f"WITH {_ENC} SELECT split, min(start) = 0 AND bool_and(coalesce(next = start + length, true)) AS valid FROM (SELECT *, lead(start) OVER (PARTITION BY split ORDER BY start) AS next FROM corpus) GROUP BY 1"
+SQL["inspect_corpus"] = f"""WITH {_ENC}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) AS rank FROM corpus) WHERE rank <= 3)
+    SELECT split, row_id, length, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT split, row_id, length, unnest(ids[1:40]) AS token_id, generate_subscripts(ids[1:40], 1) AS i FROM top) JOIN vocab USING (token_id) GROUP BY ALL"""
+SQL["vocab_check"] = f"""WITH {_PLIES}, {_VOCAB}, s AS (SELECT raw_id, ply, san, regexp_full_match(san, '{_SAN}') AS ok FROM plies),
+    parts AS (SELECT raw_id, ply, unnest(string_split({_tokens('CAST(NULL AS VARCHAR)')}, ' ')) AS token FROM s WHERE ok),
+    miss AS (SELECT DISTINCT raw_id, ply FROM parts LEFT JOIN vocab ON word = {_word('token')} WHERE word IS NULL)
+    SELECT (SELECT count(*) FROM s) AS checked, (SELECT count(*) FROM s WHERE NOT ok) AS broken, (SELECT count(*) FROM miss) AS missing, CAST(0 AS BIGINT) AS lossy"""
 SQL["corpus_roundtrip"] = f"WITH {_ENC} SELECT split, array_to_string(ids, ' ') AS ids FROM corpus"
 
 # Buckets and segments
@@ -182,7 +188,7 @@ def _rows(cap: str, block: int, batch: int) -> str:
 
 SQL["length_histogram"] = f"WITH {_ENC} SELECT length, count(*) AS n FROM corpus GROUP BY 1"
 SQL["bucket_assign"] = f"WITH {_ENC} SELECT row_id, length, {_CAP} AS cap FROM corpus"
-SQL["bucket_mass"] = f"""WITH {_ENC}, b AS (SELECT split, {_CAP} AS cap, count(*) AS n_games, sum(length) AS n_tokens FROM corpus GROUP BY 1, 2)
+SQL["bucket_mass"] = f"""WITH {_ENC}, b AS (SELECT split, {_CAP} AS cap, count(*) AS n_games, CAST(sum(length) AS BIGINT) AS n_tokens FROM corpus GROUP BY 1, 2)
     SELECT split, cap, CASE WHEN cap IS NULL THEN NULL ELSE {_rows('cap', BLOCK, BATCH)} END AS rows, n_games, n_tokens, round(CASE WHEN cap IS NOT NULL THEN n_tokens / sum(n_tokens) FILTER (cap IS NOT NULL) OVER (PARTITION BY split) END, 6) AS probability FROM b"""
 SQL["rows_for_cap"] = f"""SELECT c AS cap, 1024 AS block, {_rows('c', 1024, 64)} AS rows FROM (SELECT unnest([64, 128, 256, 384, 512, 768, 1024]) AS c)
     UNION ALL SELECT c, 512, {_rows('c', 512, 32)} FROM (SELECT unnest([64, 128, 256, 384, 512]) AS c)"""
@@ -202,8 +208,8 @@ _SEG = f"""{_ENC},
 
 SQL["segment_plan"] = f"WITH {_SEG} SELECT row_id, seg, lo, hi, label_at FROM segs"
 SQL["all_segment_rows"] = f"WITH {_SEG} SELECT row_id, seg, x, y FROM trained"
-SQL["graded_density"] = f"WITH {_SEG} SELECT count(*) AS n_rows, sum(length) AS n_targets, sum(length - ungraded) AS n_graded FROM trained"
-SQL["pad_rows"] = f"WITH {_SEG} SELECT cap, count(*) AS n_rows, count(*) * cap AS n_inputs, sum(ungraded + cap - len) AS n_ungraded FROM (SELECT length AS len, ungraded, {_CAP.replace('length - 1', 'length')} AS cap FROM trained) WHERE cap IS NOT NULL GROUP BY cap"
+SQL["graded_density"] = f"WITH {_SEG} SELECT count(*) AS n_rows, CAST(sum(length) AS BIGINT) AS n_targets, CAST(sum(length - ungraded) AS BIGINT) AS n_graded FROM trained"
+SQL["pad_rows"] = f"WITH {_SEG} SELECT cap, count(*) AS n_rows, count(*) * cap AS n_inputs, CAST(sum(ungraded + cap - len) AS BIGINT) AS n_ungraded FROM (SELECT length AS len, ungraded, {_CAP.replace('length - 1', 'length')} AS cap FROM trained) WHERE cap IS NOT NULL GROUP BY cap"
 
 _WORDS = f"{_TOK}, ws AS (SELECT row_id, i, {_word('token')} AS word FROM tok), opens AS (SELECT *, word IN ({_in(V.MODIFIERS + tuple(V.LABEL_WORDS.values()))}) AS open FROM ws)"
 _GROUPS = f"""{_WORDS}, g AS (SELECT *, coalesce(sum(CASE WHEN open THEN 0 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS move_no FROM opens),
@@ -230,7 +236,7 @@ _SEQ = f"{_GROUPS}, seqs AS (SELECT tokens, substr(tokens[-1], 1, 1) AS decode_i
 SQL["prefix_marginals"] = f"WITH {_SEQ} SELECT decode_id, token, round(n / sum(n) OVER (PARTITION BY decode_id), 6) AS p FROM (SELECT decode_id, tokens[2] AS token, sum(n) AS n FROM seqs WHERE len(tokens) > 1 AND tokens[1] = 'x' GROUP BY 1, 2)"
 SQL["sequence_scores"] = f"WITH {_SEQ} SELECT decode_id, array_to_string(tokens, ' ') AS seq_id, round(n / sum(n) OVER (PARTITION BY decode_id), 6) AS p FROM seqs"
 _SAN_OF = "concat(CASE WHEN starts_with(core, 'O-O') THEN core ELSE concat(left(core, length(core) - 2), CASE WHEN list_contains(tokens, 'x') THEN 'x' ELSE '' END, right(core, 2), coalesce(list_filter(tokens, lambda t: starts_with(t, '='))[-1], '')) END, coalesce(list_filter(tokens, lambda t: t IN ('+', '#'))[-1], ''))"
-SQL["topk_moves"] = f"""WITH {_SEQ}, sans AS (SELECT decode_id, {_SAN_OF} AS san, sum(n) AS n FROM (SELECT *, tokens[-1] AS core FROM seqs) GROUP BY 1, 2)
+SQL["topk_moves"] = f"""WITH {_SEQ}, sans AS (SELECT decode_id, {_SAN_OF} AS san, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, tokens[-1] AS core FROM seqs) GROUP BY 1, 2)
     SELECT decode_id, san, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY decode_id ORDER BY n DESC, san) AS rank FROM sans) WHERE rank <= 5 OR contains(san, '#')"""
 
 # Positions

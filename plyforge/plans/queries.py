@@ -304,6 +304,16 @@ def offsets_valid(spark: SparkSession, d: str) -> DataFrame:
     return encode.valid_offsets(encode.offsets(corpus), corpus)
 
 
+@query
+def inspect_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return encode.inspected(encode.encoded(spread(table(spark, d, "games"))).where("ids IS NOT NULL"))
+
+
+@query
+def vocab_check(spark: SparkSession, d: str) -> DataFrame:
+    return encode.vocabulary_check(stage1.ply_rows(spread(table(spark, d, "raw_games"))))
+
+
 @query
 def corpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The flat 16-bit corpus, written and read back."""
@@ -538,6 +548,18 @@ def replay_games(spark: SparkSession, d: str) -> DataFrame:
     return rules.replay(games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans")), "raw_id", "sans")
 
 
+@query
+def review_positions(spark: SparkSession, d: str) -> DataFrame:
+    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
+    return rules.position_after(games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans")), "raw_id", "sans", 2)
+
+
+@query
+def move_kinds(spark: SparkSession, d: str) -> DataFrame:
+    moves = rules.move_kinds(rules.legal_moves(_positions(spark, d).withColumn("id", F.xxhash64("fen"))))
+    return moves.groupBy("piece").agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("is_capture", "is_promotion", "is_en_passant", "is_short_castle", "is_long_castle", "is_double_step")))
+
+
 @query
 def decode_moves(spark: SparkSession, d: str) -> DataFrame:
     return decode.decode_moves(_positions(spark, d).where(P.fen_error(F.col("fen")).isNull()).withColumn("id", F.xxhash64("fen")), decode.heuristic_model)

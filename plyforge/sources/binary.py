@@ -1,6 +1,6 @@
 """The flat corpus format: per partition a file of little-endian 16-bit ids and a file of 64-bit game starts with the total at the end.
 
-A Python data source, ``token_bin``: writing takes ``split string, row_id bigint, start bigint, ids array<int>``; every task writes its
+A Python data source, ``token_bin``, for a folder that every node mounts: writing takes ``split string, row_id bigint, start bigint, ids array<int>``; every task writes its
 own pair of files, and a file name appears only when the job commits. Reading gives the games back, one task per file.
 """
 

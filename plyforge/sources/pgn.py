@@ -62,6 +62,11 @@ def read_pgn(spark: SparkSession, path: str) -> DataFrame:
     return parse_pgn(records.select(F.concat(F.lit("[Event "), "value").alias("value")))
 
 
+def safe_comment(text: Column) -> Column:
+    """A comment that cannot end early: braces become brackets."""
+    return F.translate(text, "{}", "[]")
+
+
 def movetext(sans: Column, result: Column) -> Column:
     """``1. e4 e5 2. Nf3 … 1-0`` of an array of moves."""
     numbered = F.transform(sans, lambda s, i: F.when(i % 2 == 0, F.concat(F.floor(i / 2).cast("int") + 1, F.lit(". "), s)).otherwise(s))

@@ -324,3 +324,35 @@ def test_drift_empty_and_clashing(spark):
     extra = shards(spark, [("f", 1, '{"result": "1-0"}'), ("f", 2, "{}")]).withColumns({c: F.lit(1) for c in ("key", "kind", "value", "v", "field_name", "n")})
     assert [tuple(r) for r in drift.changes(extra).select("shard_no", "change_kind").collect()] == [(2, "removed")]
     assert drift.unified(extra).count() == 2
+
+
+def test_board_editing():
+    b = rules.Board.empty()
+    assert b.put("K", "e1") and not b.put("K", "e2") and not b.put("P", "a8") and b.put("R", "h1") and b.put("k", "e8")
+    assert b.set_rights("K") and not b.set_rights("KQ") and b.rights == "K"
+    assert b.remove("h1") == "R" and b.rights == "" and b.get("h1") is None and b.find("k") == ["e8"]
+    assert b.set_turn("b") and b.turn == "b" and b.put("R", "e4") and not b.set_turn("w")  # black is in check
+    assert rules.Board().ascii().splitlines()[0] == "r n b q k b n r"
+
+
+def test_stream_deduplicates(spark, tmp_path):
+    from plyforge.streaming import stage1 as streaming
+
+    rows = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2024-01-01 00:00:00'), ('a', timestamp_ntz'2024-01-02 00:00:00'), ('b', timestamp_ntz'2024-01-01 00:00:00') AS t(site, ingested_at)").withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = streaming.deduplicated(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.site for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_stream_resumes(spark, tmp_path):
+    from plyforge.streaming import stage1 as streaming
+
+    games = raw(spark)
+    at = [str(tmp_path / x) for x in ("in", "out", "c")]
+    for k in range(2):
+        games.where(F.col("raw_id") % 2 == k).write.mode("append").parquet(at[0])
+        streaming.run_available(spark, at[0], games, at[1], at[2], min_elo=0, min_plies=0)
+    want = sorted(map(tuple, stage1.tokenised(games, 0, 0).select("raw_id", "tokens").collect()))
+    assert sorted(map(tuple, spark.read.parquet(at[1]).select("raw_id", "tokens").collect())) == want
