@@ -19,7 +19,7 @@ cut into salted blocks. Nothing is capped. The result of ``overlap_pairs`` lists
 class; ``overlap_rows`` and ``overlap_report`` are not.
 
 Defined results: null, empty and short streams match under (b) only; a site without a code or a date that is no calendar day
-never matches under (b); rows whose split is null or unknown belong to no side, and rows without an id are left out; repeated rows count each on their own; empty
+never matches under (b); rows whose split is null or unknown belong to no side, and rows without an id are left out; repeated rows count each on their own, also under one id; empty
 tables give no rows; other columns of the input are never read.
 """
 
@@ -73,6 +73,10 @@ def clean(text: str | None) -> list[str]:
     return [t for t in split_tokens(text) if t not in _LABELS]
 
 
+def _digest(stream: list[str]) -> bytes:
+    return hashlib.md5("\0".join(stream).encode("utf-8", "surrogatepass")).digest()
+
+
 def _shingles(streams: list[list[str]], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, stream number and position of every shingle of all streams."""
     size = np.fromiter(map(len, streams), np.int64, len(streams))
@@ -125,7 +129,7 @@ def _encode(table, bits: int):
         for batch in batches:
             streams = [clean(t) for t in batch.column(2).to_pylist()]
             long = [len(s) >= LEAST_TOKENS for s in streams]
-            digest = [hashlib.md5("\0".join(s).encode("utf-8", "surrogatepass")).digest() if ok else None for s, ok in zip(streams, long)]
+            digest = [_digest(s) if ok else None for s, ok in zip(streams, long)]
             size = np.fromiter(map(len, streams), np.int64, len(streams))
             kept = [s if ok else [] for s, ok in zip(streams, long)]
             h, row, pos = _shingles(kept, hashes)
@@ -196,8 +200,10 @@ def similar(a: list[str], b: list[str]) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (map(clean, batch.column(k).to_pylist()) for k in (2, 3))
-        ok = pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_())
+        a, b = (list(map(clean, batch.column(k).to_pylist())) for k in (2, 3))
+        # where an id is used twice, the text must be the one that was matched
+        own = [x == _digest(s) and y == _digest(t) for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), a, b)]
+        ok = pa.array([o and similar(x, y) for o, x, y in zip(own, a, b)], pa.bool_())
         yield pa.RecordBatch.from_arrays([c.filter(ok) for c in batch.columns[:2]], ["key_a", "key_b"])
 
 
@@ -227,7 +233,7 @@ def _classes(games: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = materialize(games.select("row_id", "tokens").join(wanted, "row_id", "left_semi"), "p1-texts")
     text = lambda x: texts.select(F.col("row_id").alias(f"rep_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     compared = candidates.join(text("a"), "rep_a").join(text("b"), "rep_b").select("stream_a", "stream_b", "tokens_a", "tokens_b")
-    near_pairs = compared.mapInArrow(_verify, "key_a binary, key_b binary")
+    near_pairs = compared.mapInArrow(_verify, "key_a binary, key_b binary").distinct()
 
     members = base.select(F.explode(F.array("stream", "game_day")).alias("key"), "side", "row_id").where(F.col("key").isNotNull())
     days = base.where(F.col("game_day").isNotNull()).groupBy("game_day").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))

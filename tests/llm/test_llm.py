@@ -133,6 +133,12 @@ def test_overlap_rows_and_hot_class(spark, monkeypatch):
     assert [(r.split_name, r.host, r.n_rows, r.n_overlapping) for r in report] == [("val", "unknown", 11, 10)]
 
 
+def test_overlap_with_an_id_used_twice(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, "train", a, None, None), (1, "train", b, None, None), (2, "val", b + " more", None, None), (3, "val", a, None, None), (3, "val", a, None, None)]
+    assert {tuple(r) for r in overlap.overlap_pairs(games(spark, rows)).collect()} == {(1, 2), (1, 3)}
+
+
 def test_overlap_empty(spark):
     for rows in ([], [(1, "train", "a b", None, None)], [(1, "val", None, None, None)], [(None, None, None, None, None)]):
         df = games(spark, rows)
