@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.streams import LABELS, split_tokens
-from plyforge.sources.tables import materialize
+from plyforge.sources.tables import gathered, materialize
 
 SHINGLE = 3
 LEAST_TOKENS = 40
@@ -113,7 +113,7 @@ def _count_table(bits: int):
 
 def rarity_table(games: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
     """Counts of the evaluation rows' shingles in ``2**bits`` slots: an array of fixed size, whatever the input."""
-    rows = games.where(F.col("side") == 1).select("tokens").mapInArrow(_count_table(bits), "slot int, n long")
+    rows = gathered(games.where(F.col("side") == 1).select("tokens")).mapInArrow(_count_table(bits), "slot int, n long")
     found = rows.groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     table = np.zeros(1 << bits, np.int32)
     table[found.column("slot").to_numpy()] = found.column("n").to_numpy()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.sources.tables import materialize
+from plyforge.sources.tables import gathered, materialize
 
 #: Closed-class words of the languages of the collection; the list is a parameter.
 FUNCTION_WORDS = frozenset(
@@ -288,7 +288,7 @@ def scores(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFram
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("text"))
     items = materialize(rows.mapInArrow(_classify, f"key {kind}, items array<smallint>"), "p7-items")
-    counts = items.select("items").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = gathered(items.select("items")).mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(_AT[-1], np.int64)
     table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(table)
