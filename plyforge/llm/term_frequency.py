@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.streams import split_tokens
+from plyforge.sources.tables import materialize
 
 #: Pairs sorted at once in a task: about 40 bytes each.
 BLOCK_PAIRS = 2_000_000
@@ -93,6 +94,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_frequency(df: DataFrame, column: str = "tokens", split: Callable[[str | None], list[str]] = split_tokens) -> DataFrame:
     """``term, n_occurrences, n_records`` of every distinct term of ``column``."""
     runs = df.select(F.col(f"`{column}`").alias("text")).mapInArrow(_local(split), "term string, first_record long, n_occurrences long, n_records long")
+    runs = materialize(runs, "p4-runs")  # small; else the sampling for the ranges would scan the table a second time
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return runs.repartitionByRange(parts, "term").sortWithinPartitions("term", "first_record").mapInArrow(_merge, "term string, n_occurrences long, n_records long")
 
