@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,9 +55,11 @@ LINK_WEIGHT = 3
 
 _LINK = r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?|(?:https?://|www\.)[^\s<\]\[]+"
 _MOVE = r"(?<![\w-])(?:\d+\.(?:\.\.)?\s*)?(?:[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?[!?]*(?![\w-])"
+#: Plain words first: most items are words, and the others begin in ways that are told apart at once.
 _ITEM = re.compile(
+    r"[^\S\n]*(?:(?!https?://|www\.|O-O|\w(?:\.\w){3})(?P<word>[^\W\d_]+(?:-[^\W\d_]+)*)(?!\w)|"
     rf"(?P<link>{_LINK})|(?P<markup>\[img[^\]\n]*\][^\[\n]*\[/img\]|:[a-z]+\d*:|<[^>\n]{{0,200}}>|\[/?[a-zA-Z*][^\]\n]{{0,60}}\])|(?P<tag>#\w+)|(?P<result>(?<![\w-])(?:1-0|0-1|1/2-1/2|½-½)(?![\w-]))"
-    rf"|(?P<move>{_MOVE})|(?P<spelled>(?<!\w)\w(?:\.\w){{3,}}(?!\w))|(?P<pct>[-+]?\d+(?:[.,]\d+)?\s?%)|(?P<number>\d+(?:[.,:]\d+)*(?!\w))|(?P<code>\w*\d\w*)|(?P<word>[^\W\d_]+(?:-[^\W\d_]+)*)|(?P<end>[.!?]+)|(?P<line>\n+)|(?P<point>[^\w\s])",
+    rf"|(?P<move>{_MOVE})|(?P<spelled>(?<!\w)\w(?:\.\w){{3,}}(?!\w))|(?P<pct>[-+]?\d+(?:[.,]\d+)?\s?%)|(?P<number>\d+(?:[.,:]\d+)*(?!\w))|(?P<code>\w*\d\w*)|(?P<rest>[^\W\d_]+(?:-[^\W\d_]+)*)|(?P<end>[.!?]+)|(?P<line>\n+)|(?P<point>[^\w\s]))",
     re.IGNORECASE,
 )
 _BREAK = re.compile(r"<br\s*/?>|</?p>|</?div[^>]*>|</?li>", re.IGNORECASE)
@@ -119,35 +120,42 @@ def own_text(text: str) -> str:
     return text
 
 
+class _Forms(dict):
+    """word -> (lower case, whether a function word, class); emptied when it grows past a bound."""
+
+    def __missing__(self, word: str) -> tuple[str, bool, str]:
+        if len(self) > 200_000:
+            self.clear()
+        low = word.lower()
+        found = self[word] = (low, low in FUNCTION_WORDS, "Name" if word[0].isupper() else "Word")
+        return found
+
+
+_FORMS = _Forms()
+_NAMED = {"link": "Link", "tag": "Tag", "result": "Result", "move": "Move", "spelled": "Code", "pct": "Pct", "number": "Number", "code": "Code", "end": "End", "line": "Line"}
+
+
 def classes(text: str) -> list[str]:
     """Function words and word classes of a text, in order."""
     out: list[str] = []
-    seen: deque[str] = deque(maxlen=WINDOW)
-    before = ""
+    place: dict[str, int] = {}  # of a content word, counted in content words
+    n, last = 0, ""
     for m in _ITEM.finditer(text):
         kind = m.lastgroup
-        if kind == "markup":
-            continue
-        before, last = m[0].lower(), before
-        if kind == "word":
-            word, low = m[0], before
+        if kind == "word" or kind == "rest":
+            low, function, name = _FORMS[m.group(kind)]
             if low == last:
                 out.append("Echo")
-                continue
-            if low in FUNCTION_WORDS:
+            elif function:
                 out.append(low)
-                continue
-            again = low in seen
-            seen.append(low)
-            out.append(("Name" if word[0].isupper() else "Word") + ("Again" if again else ""))
-        elif kind == "end":
-            out.append("End")
-        elif kind == "line":
-            out.append("Line")
-        elif kind == "point":
-            out.append(m[0] if m[0] in ",;:" else "Point")
-        else:
-            out.append("Code" if kind == "spelled" else kind.capitalize())
+            else:
+                n += 1
+                out.append(name + "Again" if n - place.get(low, -WINDOW) <= WINDOW else name)
+                place[low] = n
+            last = low
+        elif kind != "markup":
+            last = ""
+            out.append(_NAMED.get(kind) or (m.group(kind) if m.group(kind) in ",;:" else "Point"))
     return out
 
 
