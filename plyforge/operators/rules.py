@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.functions.fen import fen_error
+from plyforge.operators.stage1 import once
+from plyforge.sources.tables import even
+
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
 
 
@@ -302,12 +306,15 @@ def _move_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 11, [batch.schema.field(0).type] + [pa.string()] * 10)], names)
 
 
+def valid(df: DataFrame, fen: str = "fen") -> DataFrame:
+    """The rows with a valid position. The test stays where it is: pushed below a ``distinct`` it would be made for every repetition."""
+    return once(df, _error=fen_error(F.col(fen))).where("_error IS NULL").drop("_error")
+
+
 def legal_moves(df: DataFrame, key: str = "id", fen: str = "fen") -> DataFrame:
     """One row per legal move of every valid position."""
-    from plyforge.functions.fen import fen_error
-
-    rows = df.where(fen_error(F.col(fen)).isNull()).select(F.col(key).alias("key"), F.col(fen).alias("fen"))
-    return rows.mapInArrow(_move_rows, _MOVE_SCHEMA.format(kind=rows.schema["key"].dataType.simpleString())).withColumnRenamed("key", key)
+    rows = valid(df, fen).select(F.col(key).alias("key"), F.col(fen).alias("fen"))
+    return even(rows).mapInArrow(_move_rows, _MOVE_SCHEMA.format(kind=rows.schema["key"].dataType.simpleString())).withColumnRenamed("key", key)
 
 
 def _statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +326,9 @@ def _statuses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def status(df: DataFrame, key: str = "id", fen: str = "fen") -> DataFrame:
     """Check, mate, stalemate and draws of every valid position."""
-    from plyforge.functions.fen import fen_error
-
-    rows = df.where(fen_error(F.col(fen)).isNull()).select(F.col(key).alias("key"), F.col(fen).alias("fen"))
+    rows = valid(df, fen).select(F.col(key).alias("key"), F.col(fen).alias("fen"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_statuses, f"key {kind}, check boolean, checkmate boolean, stalemate boolean, insufficient_material boolean, fifty_moves boolean, draw boolean").withColumnRenamed("key", key)
+    return even(rows).mapInArrow(_statuses, f"key {kind}, check boolean, checkmate boolean, stalemate boolean, insufficient_material boolean, fifty_moves boolean, draw boolean").withColumnRenamed("key", key)
 
 
 def _replays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +385,7 @@ def perft(positions: DataFrame, depth: int, fen: str = "fen") -> DataFrame:
     at = positions.select(F.col(fen).alias("root"), F.col(fen).alias("fen"), F.lit(1).cast("long").alias("n"))
     out = None
     for d in range(1, depth + 1):
-        at = at.mapInArrow(_successors, "root string, fen string, n long").groupBy("root", "fen").agg(F.sum("n").alias("n"))
+        at = even(at).mapInArrow(_successors, "root string, fen string, n long").groupBy("root", "fen").agg(F.sum("n").alias("n"))
         row = at.groupBy("root").agg(F.sum("n").alias("nodes")).select("root", F.lit(d).alias("depth"), "nodes")
         out = row if out is None else out.unionByName(row)
     return out

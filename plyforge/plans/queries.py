@@ -509,7 +509,7 @@ def fen_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fen_material(spark: SparkSession, d: str) -> DataFrame:
-    rows = _positions(spark, d).where(P.fen_error(F.col("fen")).isNull())
+    rows = rules.valid(_positions(spark, d))
     total, balance = P.material(F.col("fen"))
     resign, draw = P.end_masses(F.col("fen"))
     return rows.select("fen", total.alias("material"), balance.alias("balance"), resign.alias("resign"), draw.alias("draw"))
@@ -517,7 +517,7 @@ def fen_material(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fen_dead(spark: SparkSession, d: str) -> DataFrame:
-    return _positions(spark, d).where(P.fen_error(F.col("fen")).isNull()).select("fen", P.insufficient_material(F.col("fen")).alias("dead"))
+    return rules.valid(_positions(spark, d)).select("fen", P.insufficient_material(F.col("fen")).alias("dead"))
 
 
 @query
@@ -562,7 +562,7 @@ def move_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decode_moves(spark: SparkSession, d: str) -> DataFrame:
-    return decode.decode_moves(_positions(spark, d).where(P.fen_error(F.col("fen")).isNull()).withColumn("id", F.xxhash64("fen")), decode.heuristic_model)
+    return decode.decode_moves(rules.valid(_positions(spark, d)).withColumn("id", F.xxhash64("fen")), decode.heuristic_model)
 
 
 # Sources, sinks, streams

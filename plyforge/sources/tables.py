@@ -19,6 +19,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def even(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over as many parts as the cluster runs tasks: before work of a millisecond a row, where adaptive merging of small parts would leave few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """The rows in at most as many parts as the cluster runs tasks, without a shuffle: for tasks that each end in one table of fixed size, so that their number does not grow with the input."""
     spark = df.sparkSession
