@@ -1,20 +1,23 @@
 """Keyword-stuffed and link-list posts (problem 7).
 
 Method: an n-gram model over function words and word classes, trained on the collection's own prose, scores the class sequence
-of each post; posts of abnormally high perplexity (word piles, lists of links, tags or products) or abnormally low perplexity
-(one pattern over and over) are flagged.
-
-1. *Own text*: quotes (line prefixes, nested and unclosed blocks) and the signature are set aside, markup and entities resolved.
-2. *Classes*: a function word stands for itself; every other item becomes its class: link, hash tag, percentage, number, move,
-   result, code (letters with digits), capitalised or plain word, each apart if it repeats an earlier one of the post, and
-   punctuation. Nothing depends on a language beyond the list of function words.
-3. *Training*: trigram, bigram and unigram counts over all segments of all posts that read as prose (two different function
-   words, a quarter of the words, few repeats). Counts live in a table of fixed size (about 1.6 million counters, trigrams
-   hashed), summed over all data.
-4. *Scoring*: mean surprisal in bits of the more surprising half of the post, so that some sentences before a word pile do not
-   hide it. Moves, results, table rows and a word said again at once ("no no no") do not count.
-5. *Exact check* on posts of abnormal perplexity: more than half of the text (a link counts as three words) lies in piles,
-   segments without grammar, and repeats, links, tags or codes make up enough of it.
+of each post; posts that are for the most part of abnormally high perplexity (word piles, lists of links, tags or products) or of
+abnormally low perplexity (one pattern over and over) are flagged. The perplexity alone decides.
+
+1. *Own text*: quotes (line prefixes, nested and unclosed blocks) and the signature (from a delimiter to the end, if no empty
+   line comes between) are set aside, markup and entities resolved, mis-decoded letters mended.
+2. *Items*: words, links, hash tags, percentages, numbers, codes (letters with digits), punctuation and ends of lines. A word's
+   class is its length (four steps), whether it is capitalised, and how many words back the post last had it (five steps). Moves, results, rows of
+   tables and a word said again at once ("no no no") are left out. No list of words is used, so no language is preferred.
+3. *Prose* is every segment that ends like a sentence, has five words or more, next to no links, tags and codes, and at most a quarter of words
+   of four letters or more that came shortly before.
+4. *Function words* are learnt: the ``N_FUNCTION`` words of at most five letters that the most posts have in their prose.
+5. *Training*: unigram, bigram and trigram counts over all prose, twice: with function words as themselves, and with every word
+   as its class. The second serves posts most of whose short words are none of the function words: languages of few posts.
+   Trigrams are counted exactly; there are at most ``SIZE**3`` of them, whatever the input.
+6. *Scoring*: the mean surprisal of an item and its ``REACH`` neighbours on each side, in standard deviations from the mean of
+   the collection's prose. An item is abnormal above ``HIGH`` or below ``LOW``; a post is, if most of its items are, a link counting as
+   three. The scale comes from the data at every size; the thresholds are in its units.
 
 Defined results: null, empty and deleted posts, and those with fewer than ``least`` items of own text, are never flagged;
 repeated rows are flagged alike; an empty table gives no rows; very long posts are scored whole; other columns are never read.
@@ -25,54 +28,52 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.sources.tables import gathered, materialize
 
-#: Closed-class words of the languages of the collection; the list is a parameter.
-FUNCTION_WORDS = frozenset(
-    """a about after all and any are around as at be because before between but by did do does each for from had has have how i if in into is it like me more my no nothing
-    not of on one only or our out so some than that the their them then there they this those to until up was we were what when who why will with would you your
-    aber als am an auch auf bei das dass dem den der des die durch ein eine er etwas für gab hat ich ist jede jemand jetzt man mein mir mit nach nicht nichts
-    noch nur ob oder ohne schon sie und uns unser vom von war warum wenn wer wie wird wollte wurde zu
-    antes como con cuando de del después el es esta fue la las lo los otra para pero por porque que qué se si sin una unas ya
-    au aux avec ce chez dans du elle en environ est était être et je le les mais ne notre nous ou par pas peut plus pour pourquoi quelqu quelle qui sans son sur tous tout un une""".split()
-)
-
-#: Content words back to which a word counts as repeated.
-WINDOW = 16
 LEAST = 8
-#: Bits above which a post is abnormal: alone, or as a post of ``MANY`` items or more that repeats itself.
-HIGH, HIGH_REPEATING, LOW = 3.9, 2.7, 0.9
-MANY = 24
-#: Share of repeated words, links, tags and codes among the content of a pile: at least, and of a repeating post.
-REPEATED, REPEATING = 0.12, 0.3
+#: Function words learnt, at most; the share of the posts with prose, and the number of posts, that must have one.
+N_FUNCTION, FUNCTION_SHARE, FUNCTION_POSTS = 176, 0.002, 5
+REACH = 12
+#: Share of the even distribution in the model: no single item is more surprising than its bits.
+FLOOR = 0.1
+#: Bits an item of prose, and their deviation, at least: a collection of a few set phrases is measured on the scale of ordinary prose.
+LEAST_BITS, LEAST_DEVIATION = 2.0, 2.0
+#: Standard deviations from the prose of the collection.
+HIGH, LOW = 3.0, -3.0
 LINK_WEIGHT = 3
 
-_LINK = r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?|(?:https?://|www\.)[^\s<\]\[]+"
-_MOVE = r"(?<![\w-])(?:\d+\.(?:\.\.)?\s*)?(?:[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?[!?]*(?![\w-])"
-#: Plain words first: most items are words, and the others begin in ways that are told apart at once.
+_LINKED = re.compile(r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?", re.IGNORECASE)
+_MARKUP = re.compile(r"\[img[^\]\n]*\][^\[\n]*\[/img\]|<[^>\n]{0,200}>|\[/?[a-zA-Z*][^\]\n]{0,60}\]|(?<![\w:]):[a-z]+\d*:(?!\w)", re.IGNORECASE)
+_MOVE = r"(?<![\w-])(?:\d+\.(?:\.\.)?)?(?:[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=[QRBN])?|O-O(?:-O)?)[+#]?[!?]*(?![\w-])"
 _ITEM = re.compile(
-    r"[^\S\n]*(?:(?!https?://|www\.|O-O|\w(?:\.\w){3})(?P<word>[^\W\d_]+(?:-[^\W\d_]+)*)(?!\w)|"
-    rf"(?P<link>{_LINK})|(?P<markup>\[img[^\]\n]*\][^\[\n]*\[/img\]|:[a-z]+\d*:|<[^>\n]{{0,200}}>|\[/?[a-zA-Z*][^\]\n]{{0,60}}\])|(?P<tag>#\w+)|(?P<result>(?<![\w-])(?:1-0|0-1|1/2-1/2|½-½)(?![\w-]))"
-    rf"|(?P<move>{_MOVE})|(?P<spelled>(?<!\w)\w(?:\.\w){{3,}}(?!\w))|(?P<pct>[-+]?\d+(?:[.,]\d+)?\s?%)|(?P<number>\d+(?:[.,:]\d+)*(?!\w))|(?P<code>\w*\d\w*)|(?P<rest>[^\W\d_]+(?:-[^\W\d_]+)*)|(?P<end>[.!?]+)|(?P<line>\n+)|(?P<point>[^\w\s]))",
+    r"(?P<link>\ue000|(?:https?://|www\.)[^\s<\]\[]+)|(?P<tag>#\w+)|(?P<result>(?<![\w-])(?:1-0|0-1|1/2-1/2|½-½)(?![\w-]))"
+    rf"|(?P<move>{_MOVE})|(?P<count>(?<![\w.,])\d+\.+$)|(?P<spelled>(?<!\w)\w(?:\.\w){{3,}}(?!\w))|(?P<pct>[-+]?\d+(?:[.,]\d+)?%)|(?P<number>\d+(?:[.,:]\d+)*(?!\w))|(?P<code>\w*\d\w*)"
+    r"|(?P<word>[^\W\d_]+(?:-[^\W\d_]+)*)|(?P<end>[.!?…。！？]+)|(?P<line>\n)|(?P<point>[^\w\s])",
     re.IGNORECASE,
 )
 _BREAK = re.compile(r"<br\s*/?>|</?p>|</?div[^>]*>|</?li>", re.IGNORECASE)
 _FENCE = re.compile(r"\[(?P<close1>/?)quote(?P<arg>[^\]\n]*)\]|<(?P<close2>/?)blockquote[^>\n]*>", re.IGNORECASE)
-_SIGNATURE = re.compile(r"(?:^|\n)[^\S\n]*(?:(?:\[i\][^\n\[]*\[/i\]\n)?(?:--+|__+|~~+|==+)[^\S\n]*(?=\n|$)|<hr[^>\n]*>|Sent from my\b|Last edited by\b)", re.IGNORECASE)
+_SIGNATURE = re.compile(r"(?:^|\n)[^\S\n]*(?:(?:\[i\][^\n\[]*\[/i\]\n)?(?:--+|__+|~~+|==+)[^\S\n]*(?=\n|$)|<hr[^>\n]*>|Sent from my\b)", re.IGNORECASE)
+#: What a board adds to the end of a post.
+_EDITED = re.compile(r"(?:\s|<br\s*/?>|</?p>|<!--[^>]*-->|(?:^|(?<=[\n>]))Last edited by\b[^\n]*)+$", re.IGNORECASE)
 _UNSEEN = re.compile("[\r\u00ad\u200b-\u200f\u2060\ufeff]")
+_MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
 _QUOTED = re.compile(r"\s*(?:<(?:p|div|span)[^>]*>\s*)*>")
 _WROTE = re.compile(r"\bwrote\s*:\s*$")
-SIGNATURE_CHARS = 600
+#: First letters of scripts written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u3400-\u9fff\uf900-\ufaff]")
 
 
 def _without_blocks(text: str) -> str:
-    """Drop quote blocks. A closing mark ends the innermost open block of its kind and all inside it; a block never closed ends at the next empty line."""
+    """Drop quote blocks. A closing mark ends the innermost open block of its kind and all inside it; a block never closed ends at the next empty line, else with the last closing mark in it."""
     out, at, stack, opened = [], 0, [], 0
     for m in _FENCE.finditer(text):
         kind = "b" if m[0][0] == "<" else "q"
@@ -96,215 +97,351 @@ def _without_blocks(text: str) -> str:
         gap = text.find("\n\n", max(opened, at))
         if gap >= 0:
             out.append(text[gap:])
+        elif at > opened:
+            out.append(text[at:])
     return "\n".join(out)
 
 
+def _mended(m: re.Match) -> str:
+    try:
+        return m[0].encode("cp1252").decode("utf-8")
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return m[0]
+
+
 def own_text(text: str) -> str:
     """The post without quotes of other posts and without its signature."""
-    text = html.unescape(html.unescape(text)) if "&" in text else text
-    text = _UNSEEN.sub("", text)
-    kept, quoted = [], False
-    for line in text.split("\n"):
-        if _QUOTED.match(line):
-            if not quoted and kept and _WROTE.search(kept[-1]):
-                kept.pop()
-            quoted = True
-        else:
-            quoted = False
-            kept.append(line)
-    text = _BREAK.sub("\n", _without_blocks("\n".join(kept)))
-    text = "\n".join(line for line in text.split("\n") if not _QUOTED.match(line)).strip()
+    if "&" in text:
+        text = html.unescape(html.unescape(text))
+    if not text.isascii():
+        text = _MISREAD.sub(_mended, _UNSEEN.sub("", text))
+    elif "\r" in text:
+        text = text.replace("\r", "")
+    if ">" in text:
+        kept, quoted = [], False
+        for line in text.split("\n"):
+            if ">" in line and _QUOTED.match(line):
+                if not quoted and kept and _WROTE.search(kept[-1]):
+                    kept.pop()
+                quoted = True
+                ends = [m for m in _FENCE.finditer(line) if m["close1"] or m["close2"]]
+                if ends:  # the block around the quoted lines ends here, and own text may follow
+                    kept.append(line[ends[0].start() :])
+            else:
+                quoted = False
+                kept.append(line)
+        text = "\n".join(kept)
+    if "[" in text or "<" in text:
+        text = _BREAK.sub("\n", _without_blocks(text))
+        text = "\n".join(line for line in text.split("\n") if ">" not in line or not _QUOTED.match(line))
+    text = _EDITED.sub("", text).strip()
     for m in _SIGNATURE.finditer(text):
-        if len(text) - m.start() <= SIGNATURE_CHARS:
+        if "\n\n" not in text[m.end() :].strip():
             return text[: m.start()].strip()
     return text
 
 
-class _Forms(dict):
-    """word -> (lower case, whether a function word, class); emptied when it grows past a bound."""
+# Item classes. Words have one of 40: length, capital, and how far back the post had the word before.
+_LENGTHS, _BACK = np.array([4, 7, 10]), np.array([5, 17, 65])
+_OTHERS = ("Link", "Tag", "Pct", "Number", "Code", "Point", ",", ";", ":", "End", "Line", "Result", "Move", "Row")
+_WORDS = 1 + len(_OTHERS)
+_ID = {x: i + 1 for i, x in enumerate(_OTHERS)}
+_FUNCTION = _WORDS + 40
+SIZE = _FUNCTION + N_FUNCTION  # 0 is the start of a segment
+assert SIZE <= 256
+_NAMED = {"link": "Link", "tag": "Tag", "result": "Result", "move": "Move", "count": "Move", "spelled": "Code", "pct": "Pct", "number": "Number", "code": "Code", "end": "End", "line": "Line"}
+
+
+class _Chunks(dict):
+    """Text between blanks -> its items: classes (for words: length and capital, as at first sight) and hashes of the words; emptied when it grows past a bound."""
 
-    def __missing__(self, word: str) -> tuple[str, bool, str]:
-        if len(self) > 200_000:
+    def __missing__(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        if len(self) > 300_000:
             self.clear()
-        low = word.lower()
-        found = self[word] = (low, low in FUNCTION_WORDS, "Name" if word[0].isupper() else "Word")
+        kinds: list[int] = []
+        words: list[int] = []
+        for m in _ITEM.finditer(chunk):
+            kind = m.lastgroup
+            if kind != "word":
+                kinds.append(_ID[_NAMED.get(kind) or (m[0] if m[0] in _ID else "Point")])
+                words.append(0)
+                continue
+            word = m[0]
+            low = word.lower()
+            if _UNSPACED.match(word):  # no evidence from lengths: pieces of two letters, short and long in turn
+                for k in range(0, len(word), 2):
+                    kinds.append(_WORDS + (k // 2 % 2) * 10)
+                    words.append(_hash(low[k : k + 2]))
+            else:
+                kinds.append(_WORDS + int(np.searchsorted(_LENGTHS, len(word), "right")) * 10 + word[0].isupper() * 5)
+                words.append(_hash(low))
+        found = self[chunk] = (tuple(kinds), tuple(words))
         return found
 
 
-_FORMS = _Forms()
-_NAMED = {"link": "Link", "tag": "Tag", "result": "Result", "move": "Move", "spelled": "Code", "pct": "Pct", "number": "Number", "code": "Code", "end": "End", "line": "Line"}
+def _hash(word: str) -> int:
+    """Signed 64 bits, the lowest three for the length (at most 7); never 0."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFFFFFFFFF8
+    return h | min(len(word), 7)
 
 
-def classes(text: str) -> list[str]:
-    """Function words and word classes of a text, in order."""
-    out: list[str] = []
-    place: dict[str, int] = {}  # of a content word, counted in content words
-    n, last = 0, ""
-    for m in _ITEM.finditer(text):
-        kind = m.lastgroup
-        if kind == "word" or kind == "rest":
-            low, function, name = _FORMS[m.group(kind)]
-            if low == last:
-                out.append("Echo")
-            elif function:
-                out.append(low)
-            else:
-                n += 1
-                out.append(name + "Again" if n - place.get(low, -WINDOW) <= WINDOW else name)
-                place[low] = n
-            last = low
-        elif kind != "markup":
-            last = ""
-            out.append(_NAMED.get(kind) or (m.group(kind) if m.group(kind) in ",;:" else "Point"))
-    return out
+_CHUNKS = _Chunks()
 
 
-_CLASSES = ("Word", "WordAgain", "Name", "NameAgain", "Link", "Tag", "Pct", "Number", "Code", "Move", "Result", "Echo", "Point", ",", ";", ":", "End", "Line")
-_ID = {x: i + 1 for i, x in enumerate(_CLASSES)} | {w: i + 1 + len(_CLASSES) for i, w in enumerate(sorted(FUNCTION_WORDS))}
-_SIZE = 512  # ids, with 0 for the start of a segment
-assert len(_ID) < _SIZE
-_TRI = 1 << 20
-#: Places of the counts in the one table: trigrams (hashed), bigrams, pairs as context, unigrams, single items as context.
-_AT = np.cumsum([0, _TRI, _SIZE * _SIZE, _SIZE * _SIZE, _SIZE, _SIZE])
+def items(text: str | None) -> tuple[list[int], list[int]]:
+    """Classes and word hashes of a post's own text, in order."""
+    kinds: list[int] = []
+    words: list[int] = []
+    if text:
+        text = own_text(text)
+        if "[" in text or "<" in text or ":" in text:
+            text = _MARKUP.sub(" ", _LINKED.sub(" \ue000 ", text))
+        for chunk in text.replace("\n", " \n ").split(" "):
+            if chunk:
+                k, w = _CHUNKS[chunk]
+                kinds += k
+                words += w
+    return kinds, words
 
 
 def _flags(*names: str) -> np.ndarray:
-    out = np.zeros(_SIZE, bool)
+    out = np.zeros(SIZE, bool)
     out[[_ID[n] for n in names]] = True
     return out
 
 
-_FUNCTION = np.arange(_SIZE) > len(_CLASSES)
-_WORD = _flags("Word", "WordAgain", "Name", "NameAgain") | _FUNCTION
-_AGAIN = _flags("WordAgain", "NameAgain")
+_IS_WORD = np.arange(SIZE) >= _WORDS
 _OTHER = _flags("Link", "Tag", "Pct", "Code")
 _PLAIN = _flags("Number", "Result", "Move", "Point")
 _BREAKS = _flags("End", "Line")
-_SKIPPED = _flags("Move", "Result", "Echo")
+_SKIPPED = _flags("Move", "Result")
+
+
+def _segments(kind: np.ndarray, post: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A segment ends after an end of a sentence or line: the start of each, the segment of each item, the size of each."""
+    first = np.r_[True, _BREAKS[kind[:-1]] | (post[1:] != post[:-1])][: len(kind)]
+    start = np.flatnonzero(first)
+    return start, np.cumsum(first) - 1, np.diff(np.r_[start, len(kind)])
+
+
+def _sums(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x.astype(np.float64), start) if len(start) else np.zeros(0)
+
+
+def _prepared(kinds: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes with the distance of repeats, word hashes and new sizes; moves, results, rows of tables, echoes and empty segments are gone."""
+    post = np.repeat(np.arange(len(sizes)), sizes)
+
+    def keep(mask: np.ndarray) -> None:
+        nonlocal kinds, words, post
+        kinds, words, post = kinds[mask], words[mask], post[mask]
+
+    start, segment, size = _segments(kinds, post)
+    plain = _sums(_PLAIN[kinds], start)
+    row = ((plain >= 4) & (plain * 3 >= size * 2))[segment] if len(kinds) else np.zeros(0, bool)
+    keep(~row & ~_SKIPPED[kinds])
+    if len(kinds):  # a word said again at once
+        keep(~np.r_[False, (words[1:] == words[:-1]) & (words[1:] != 0) & (post[1:] == post[:-1])])
+    start, segment, _ = _segments(kinds, post)
+    keep((_sums(~_BREAKS[kinds], start) > 0)[segment] if len(kinds) else np.zeros(0, bool))
+    at = np.flatnonzero(words)
+    place = np.arange(len(at))
+    order = np.lexsort((place, words[at], post[at]))
+    again = np.r_[False, (words[at][order][1:] == words[at][order][:-1]) & (post[at][order][1:] == post[at][order][:-1])][: len(at)]
+    gap = np.diff(place[order], prepend=0)
+    back = np.zeros(len(at), np.int64)
+    back[order] = np.where(again, 4 - np.searchsorted(_BACK, gap, "right"), 0)  # 0 new, 1 far back ... 4 near
+    kinds = kinds.copy()
+    kinds[at] += back
+    return kinds, words, np.bincount(post, minlength=len(sizes))
+
+
+def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds: list[int] = []
+        words: list[int] = []
+        sizes: list[int] = []
+        for text in batch.column(1).to_pylist():
+            k, w = items(text)
+            kinds += k
+            words += w
+            sizes.append(len(k))
+        k, w, n = _prepared(np.array(kinds, np.int64), np.array(words, np.int64), np.array(sizes, np.int64))
+        offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(k.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(w))], ["key", "kinds", "words"])
 
 
 class _Posts:
-    """The class sequences of a batch of posts, cut into segments; rows of tables and moves are gone."""
-
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        post = np.repeat(np.arange(len(sizes)), sizes)
-        self._segment(flat, post)
-        plain, size = self.sum(_PLAIN), self.size
-        keep = ~((plain >= 4) & (plain * 3 >= size * 2))[self.segment] & ~_SKIPPED[flat]
-        self._segment(flat[keep], post[keep])
-        real = (self.sum(~_BREAKS) > 0)[self.segment] if len(self.flat) else np.zeros(0, bool)
-        self._segment(self.flat[real], self.post[real])
-
-    def _segment(self, flat: np.ndarray, post: np.ndarray) -> None:
-        self.flat, self.post = flat, post
-        first = np.r_[True, _BREAKS[flat[:-1]] | (post[1:] != post[:-1])][: len(flat)]
-        self.start = np.flatnonzero(first)
-        self.segment = np.cumsum(first) - 1
-        self.size = np.diff(np.r_[self.start, len(flat)])
-
-    def sum(self, flags: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-        """Per segment, the items that have a flag."""
-        return np.add.reduceat((flags[self.flat] if weight is None else weight).astype(np.float64), self.start) if len(self.flat) else np.zeros(0)
-
-    def distinct_function(self) -> np.ndarray:
-        at = _FUNCTION[self.flat]
-        pairs = np.unique(self.segment[at].astype(np.int64) * _SIZE + self.flat[at])
-        return np.bincount(pairs // _SIZE, minlength=len(self.start))
+    """The items of a batch of posts."""
+
+    def __init__(self, batch: pa.RecordBatch, column: int):
+        k, w = batch.column(column), batch.column(column + 1)
+        self.n = batch.num_rows
+        self.kinds, self.words = k.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy()
+        self.post = np.repeat(np.arange(self.n), np.diff(k.offsets.to_numpy()))
+        self.start, self.segment, self.size = _segments(self.kinds, self.post)
 
     def prose(self) -> np.ndarray:
-        """Reads as a sentence: two different function words, a quarter of the words, few repeats, no majority of links and tags."""
-        function, words = self.sum(_FUNCTION), self.sum(_WORD)
-        return (self.size >= 5) & (self.distinct_function() >= 2) & (function * 4 >= words) & (self.sum(_AGAIN) * 3 <= words) & (self.sum(_OTHER) * 3 <= words)
-
-    def pile(self) -> np.ndarray:
-        """No sentence: too few function words, or repeats with at most one of them, or links, tags and codes."""
-        function, words, other = self.sum(_FUNCTION), self.sum(_WORD), self.sum(_OTHER)
-        content = words + other
-        repeats = (self.sum(_AGAIN) * 3 >= content) & (self.distinct_function() < 2)
-        return (content > 0) & ((function * 5 < words) | repeats | (other * 3 >= content))
-
-    def grams(self) -> tuple[np.ndarray, ...]:
-        """Places of each item's trigram, bigram, context pair, unigram and context item."""
-        c = self.flat.astype(np.int64)
+        """Per item, whether its segment reads as a sentence."""
+        if not len(self.kinds):
+            return np.zeros(0, bool)
+        word = self.kinds >= _WORDS
+        words, other = _sums(word, self.start), _sums(_OTHER[self.kinds], self.start)
+        near = _sums(word & ((self.kinds - _WORDS) % 5 >= 3) & (self.kinds - _WORDS >= 10), self.start)
+        ended = self.kinds[self.start + self.size - 1] == _ID["End"]
+        return (ended & (words >= 5) & (other * 8 <= words) & (near * 4 <= words))[self.segment]
+
+    def sequences(self, function: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items with function words as themselves; and whether an item is a short word that is none of them."""
+        at = np.minimum(np.searchsorted(function, self.words), len(function) - 1) if len(function) else np.zeros(len(self.words), np.int64)
+        own = (function[at] == self.words) & (self.words != 0) if len(function) else np.zeros(len(self.words), bool)
+        return np.where(own, _FUNCTION + at, self.kinds), ~own & (self.words != 0) & (self.kinds < _WORDS + 10)
+
+    def grams(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Trigram of each item; its two context items come first."""
         depth = np.arange(len(c)) - self.start[self.segment] if len(c) else c
         b = np.where(depth >= 1, np.r_[0, c[:-1]][: len(c)], 0)
         a = np.where(depth >= 2, np.r_[0, 0, c[:-2]][: len(c)], 0)
-        pair = a * _SIZE + b
-        tri = ((pair * _SIZE + c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        return tri, _AT[1] + b * _SIZE + c, _AT[2] + pair, _AT[3] + c, _AT[4] + b
+        return a, b, c
 
+    def local_mean(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean of ``x`` over each item and its neighbours of the same post, and how many they are."""
+        n = np.bincount(self.post, minlength=self.n)
+        begin = (np.cumsum(n) - n)[self.post]
+        end, at = begin + n[self.post], np.arange(len(x))
+        low, high = np.maximum(begin, at - REACH), np.minimum(end, at + REACH + 1)
+        total = np.r_[0, np.cumsum(x)]
+        return (total[high] - total[low]) / (high - low), high - low
 
-def _posts(batch: pa.RecordBatch, column: int) -> _Posts:
-    items = batch.column(column)
-    sizes = np.diff(items.offsets.to_numpy())
-    return _Posts(items.flatten().to_numpy().astype(np.int64), sizes)
 
+_STATS = "model int, n double, s double, q double"
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _function_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posts that have a short word in their prose; the hash 0 stands for the posts with prose."""
     for batch in batches:
-        ids = [[_ID[x] for x in classes(own_text(t))] if t else [] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int16()))], ["key", "items"])
+        p = _Posts(batch, 0)
+        prose = p.prose()
+        at = prose & ((p.words & 7) <= 5) & (p.words != 0)
+        pairs = np.unique(np.stack([np.r_[p.words[at], np.zeros(int(prose.sum()), np.int64)], np.r_[p.post[at], p.post[prose]]]), axis=1)
+        word, n = np.unique(pairs[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+
 
+_GRAMS = {0: SIZE, 1: _FUNCTION}  # model -> size of its alphabet
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_AT[-1], np.int64)
+
+def _gram_counts(function: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p = _Posts(batch, 0)
+        prose = p.prose()
+        codes = []
+        for model, sequence in ((0, p.sequences(function)[0]), (1, p.kinds)):
+            a, b, c = (x[prose] for x in p.grams(sequence))
+            codes.append(((model * 256 + a) * 256 + b) * 256 + c)
+        code, n = np.unique(np.concatenate(codes), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["gram", "n"])
+
+
+class Model:
+    """Interpolated trigram probabilities of the two models; ``moments`` are the mean and deviation of prose once they are known."""
+
+    def __init__(self, function: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        order = np.argsort(gram)
+        self.function, self.gram, self.n = function, gram[order], n[order].astype(np.float64)
+        at = self.gram & 0xFFFF
+        which = self.gram >> 24
+        self.pair = [np.bincount((self.gram >> 8 & 0xFFFF)[which == m], self.n[which == m], 1 << 16) for m in (0, 1)]
+        self.bigram = [np.bincount(at[which == m], self.n[which == m], 1 << 16) for m in (0, 1)]
+        self.context = [x.reshape(256, 256).sum(1) for x in self.bigram]
+        self.one = [x.reshape(256, 256).sum(0) for x in self.bigram]
+        self.moments = [(0.0, 1.0), (0.0, 1.0)]
+
+    def bits(self, posts: _Posts, model: int, sequence: np.ndarray) -> np.ndarray:
+        a, b, c = posts.grams(sequence)
+        code = ((model * 256 + a) * 256 + b) * 256 + c
+        at = np.minimum(np.searchsorted(self.gram, code), max(len(self.gram) - 1, 0))
+        tri = np.where(self.gram[at] == code, self.n[at], 0) if len(self.gram) else np.zeros(len(code))
+        pair, bi, context = self.pair[model][a * 256 + b], self.bigram[model][b * 256 + c], self.context[model][b]
+        low = (self.one[model][c] + 0.5) / (self.one[model].sum() + 0.5 * _GRAMS[model])
+        mid = (bi + 4 * low) / (context + 4)
+        return -np.log2((1 - FLOOR) * (tri + 4 * mid) / (pair + 4) + FLOOR / _GRAMS[model])
+
+
+def _moments(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the surprisal of prose: number, sum and sum of squares of the items, then of the local means, weighted by their length."""
+    model, total = shared.value, np.zeros((4, 3))
+    for batch in batches:
+        p = _Posts(batch, 0)
+        prose = p.prose()
+        for m, sequence in ((0, p.sequences(model.function)[0]), (1, p.kinds)):
+            bits = model.bits(p, m, sequence)
+            mean, n = p.local_mean(bits)
+            for row, x, w in ((m, bits[prose], None), (2 + m, mean[prose], n[prose])):
+                w = np.ones(len(x)) if w is None else w
+                total[row] += len(x), (x * w).sum(), (x * x * w).sum()
+                if row >= 2:
+                    total[row, 0] += w.sum() - len(x)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(4), pa.int32()), *(pa.array(total[:, k]) for k in range(3))], ["model", "n", "s", "q"])
+
+
+def _score(shared, most: float, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = shared.value
     for batch in batches:
-        posts = _posts(batch, 0)
-        keep = posts.prose()[posts.segment]
-        for place in posts.grams():
-            total += np.bincount(place[keep], minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-
-def _surprisal(posts: _Posts, table: np.ndarray) -> np.ndarray:
-    tri, bi, pair, one, context = (table[g].astype(np.float64) for g in posts.grams())
-    total = max(1.0, float(table[_AT[3] : _AT[4]].sum()))
-    p = 0.6 * tri / np.maximum(pair, 1) + 0.25 * bi / np.maximum(context, 1) + 0.13 * one / total + 0.02 / _SIZE
-    return -np.log2(np.minimum(p, 1))
-
-
-def _score(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = table.value
-        for batch in batches:
-            n = batch.num_rows
-            posts = _posts(batch, 1)
-            owner = posts.post[posts.start]
-            size = posts.size.astype(np.float64)
-            mean = posts.sum(None, _surprisal(posts, counts)) / np.maximum(size, 1)
-            items = np.bincount(owner, size, n)
-            links = posts.sum(_flags("Link"))
-            weight = size + (LINK_WEIGHT - 1) * links
-            weighed = np.bincount(owner, weight, n)
-            order = np.lexsort((-mean, owner))
-            o, z = owner[order], size[order]
-            before = np.cumsum(z) - z
-            before -= before[np.searchsorted(o, o)]
-            take = np.clip(items[o] / 2 - before, 0, z)
-            half = np.bincount(o, take * mean[order], n) / np.maximum(np.bincount(o, take, n), 1e-9)
-            piled = np.bincount(owner, weight * posts.pile(), n) / np.maximum(weighed, 1)
-            content = np.bincount(owner, posts.sum(_WORD & ~_FUNCTION) + posts.sum(_OTHER), n)
-            repeated = np.bincount(owner, posts.sum(_AGAIN | _OTHER), n) / np.maximum(content, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weighed.astype(np.int64)), pa.array(half), pa.array(piled), pa.array(repeated)], ["key", "n_items", "bits", "piled", "repeated"])
-
-    return run
-
-
-def scores(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """``key, n_items, bits, piled, repeated``: items of own text (a link as three), surprisal of the post, share of it in piles, share of repeated content."""
+        p = _Posts(batch, 1)
+        sequence, foreign = p.sequences(model.function)
+        short = np.bincount(p.post, (p.words != 0) & (p.kinds < _WORDS + 10) | (sequence >= _FUNCTION), p.n)
+        unknown = (np.bincount(p.post, foreign, p.n) * 2 > short)[p.post]
+        above, below, raw = np.zeros((3, len(sequence)))
+        for m, s in ((0, sequence), (1, p.kinds)):
+            bits = model.bits(p, m, s)
+            mean, n = p.local_mean(bits)
+            mu, deviation = model.moments[m]
+            use = unknown == bool(m)
+            scale = np.sqrt(n) / deviation
+            above[use] = ((mean - max(mu, LEAST_BITS)) * scale)[use]
+            below[use] = ((mean - mu) * scale)[use]
+            raw[use] = bits[use]
+        weight = np.where(p.kinds == _ID["Link"], LINK_WEIGHT, 1.0) * ~_BREAKS[p.kinds]
+        total = np.bincount(p.post, weight, p.n)
+        share = lambda mask: np.bincount(p.post, weight * mask, p.n) / np.maximum(total, 1)
+        items_ = np.maximum(np.bincount(p.post, minlength=p.n), 1)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(total.astype(np.int64)), pa.array(np.bincount(p.post, raw, p.n) / items_), pa.array(np.bincount(p.post, below, p.n) / items_), pa.array(share(above > most)), pa.array(share(below < least))],
+            ["key", "n_items", "bits", "z", "high", "low"],
+        )
+
+
+def scores(df: DataFrame, key: str = "doc_id", column: str = "text", high: float = HIGH, low: float = LOW) -> DataFrame:
+    """``key, n_items, bits, z, high, low``: items of own text (a link as three), bits an item, its mean distance from prose in standard deviations, and the shares of the post that are abnormally high and low."""
+    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("text"))
-    items = materialize(rows.mapInArrow(_classify, f"key {kind}, items array<smallint>"), "p7-items")
-    counts = gathered(items.select("items")).mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(_AT[-1], np.int64)
-    table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(table)
-    return items.mapInArrow(_score(shared), f"key {kind}, n_items long, bits double, piled double, repeated double").withColumnRenamed("key", key)
-
-
-def stuffed(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The scores of the posts that are piles of keywords, links or tags."""
-    bits, repeated = F.col("bits"), F.col("repeated")
-    abnormal = (bits >= HIGH) | (bits <= LOW) | ((bits >= HIGH_REPEATING) & (F.col("n_items") >= MANY) & (repeated >= REPEATING))
-    return scores(df, key, column).where((F.col("n_items") >= LEAST) & abnormal & (F.col("piled") > 0.5) & (repeated >= REPEATED))
+    found = materialize(rows.mapInArrow(_classify, f"key {kind}, kinds array<smallint>, words array<bigint>"), "p7-items")
+    seen = found.select("kinds", "words")
+
+    counted = seen.mapInArrow(_function_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    most = counted.orderBy(F.desc("n"), "word").limit(N_FUNCTION + 1).collect()  # the posts with prose come first
+    posts = max((r["n"] for r in most if r["word"] == 0), default=0)
+    function = np.array(sorted(r["word"] for r in most if r["word"] != 0 and r["n"] >= max(FUNCTION_POSTS, FUNCTION_SHARE * posts))[:N_FUNCTION], np.int64)
+
+    grams = seen.mapInArrow(partial(_gram_counts, function), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    model = Model(function, grams.column("gram").to_numpy(), grams.column("n").to_numpy())
+    first = spark.sparkContext.broadcast(model)
+    stats = gathered(seen).mapInArrow(partial(_moments, first), _STATS).groupBy("model").agg(*(F.sum(c).alias(c) for c in "nsq")).collect()
+    by = {r["model"]: r for r in stats if r["n"]}
+    model.moments = [(0.0, 1.0), (0.0, 1.0)]
+    for m in (0, 1):
+        if 2 + m in by and m in by:
+            mu = by[m]["s"] / by[m]["n"]
+            w = by[2 + m]
+            # E[(mean - mu)^2 * n] per window, from sums weighted by n
+            variance = max(0.0, w["q"] - 2 * mu * w["s"] + mu * mu * w["n"]) / by[m]["n"]
+            model.moments[m] = (mu, max(variance**0.5, LEAST_DEVIATION))
+    shared = spark.sparkContext.broadcast(model)
+    return found.mapInArrow(partial(_score, shared, high, low), f"key {kind}, n_items long, bits double, z double, high double, low double").withColumnRenamed("key", key)
+
+
+def stuffed(df: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST, high: float = HIGH, low: float = LOW) -> DataFrame:
+    """The scores of the posts most of which is of abnormal perplexity."""
+    return scores(df, key, column, high, low).where((F.col("n_items") >= least) & ((F.col("high") > 0.5) | (F.col("low") > 0.5)))

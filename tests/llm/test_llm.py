@@ -349,6 +349,7 @@ PROSE = [
     "The {a} on the table belongs to the club, and nobody knows who left it there.", "I think that we should look at the {a} before the next round, because it was late.", "Does anyone know why the {a} is so slow since the last update?",
     "My {a} was fine until the treasurer moved it to the other room.", "If you keep the {a} away from the window, it will be fine for years.",
 ]
+PILE = " ".join(["cheap lamp", "best clock online", "lamp sale", "Zorvex", "Tallenta"] * 6)
 THINGS = "clock board score ladder report engine chair window ticket library lesson opening study lamp"
 
 
@@ -366,6 +367,52 @@ def test_stuffed_posts_are_found(spark):
     assert found == {0: 2} | {i: 1 for i in range(1, len(spam))}
 
 
+FOREIGN_PROSE = [
+    "Ieri sera ho portato il mio vecchio orologio al circolo, ma non c'era nessuno che sapesse come si apre. Poi è arrivato il custode e mi ha detto di tornare domani.",
+    "Вчера вечером я принёс в клуб свои старые часы, но там не было никого, кто знал бы, как они открываются. Потом пришёл сторож и сказал мне, что лучше зайти завтра.",
+    "Wczoraj wieczorem zaniosłem do klubu swój stary zegar, ale nie było tam nikogo, kto by wiedział, jak się go otwiera. Potem przyszedł dozorca i powiedział mi, że mam wrócić jutro.",
+    "昨天晚上我把那只旧钟带到俱乐部去了，可是没有人知道怎样打开它。后来管理员来了，他让我明天再过去看看。",
+]
+FOREIGN_PILES = [
+    "orologio economico lampada offerta orologio economico sedia usata lampada offerta orologio economico sedia usata prestito veloce lampada offerta prestito veloce orologio economico",
+    "дешёвые часы лампа скидка дешёвые часы быстрый кредит лампа скидка дешёвые часы быстрый кредит лампа скидка дешёвые часы быстрый кредит",
+    "tani zegar lampa promocja tani zegar szybki kredyt lampa promocja tani zegar szybki kredyt lampa promocja tani zegar szybki kredyt",
+    "廉价手表 台灯优惠 廉价手表 快速贷款 台灯优惠 廉价手表 快速贷款 台灯优惠 廉价手表 快速贷款 台灯优惠",
+]
+
+
+def stuffing_rows(seed=13, n=400):
+    pick, things = random.Random(seed), THINGS.split()
+    return [" ".join(pick.choice(PROSE).format(a=pick.choice(things)) for _ in range(pick.randrange(1, 6))) for _ in range(n)]
+
+
+def test_languages_without_training(spark):
+    rows = [(i, t, "s") for i, t in enumerate([*FOREIGN_PROSE, *FOREIGN_PILES, *stuffing_rows()])]
+    found = {r.doc_id for r in stuffing.stuffed(documents(spark, rows)).collect()}
+    assert found == set(range(4, 8))
+
+
+def test_a_long_cycle_and_a_long_signature(spark):
+    cycle = "lamp clock board chair window ticket library lesson opening study score ladder report engine mirror carpet bottle pencil garden bridge".split()
+    long_signature = "\n-- \nMy pages: " + " ".join(f"https://own{i}.example/page/{i}" for i in range(60))
+    rows = [(0, " ".join(cycle * 4), "s"), (1, stuffing_rows(1, 1)[0] + long_signature, "s"), *((10 + i, t, "s") for i, t in enumerate(stuffing_rows()))]
+    assert {r.doc_id for r in stuffing.stuffed(documents(spark, rows)).collect()} == {0}
+
+
+def test_perplexity_decides_both_ways(spark):
+    rows = [(i, t, "s") for i, t in enumerate([PILE, *stuffing_rows()])]
+    assert [r.doc_id for r in stuffing.stuffed(documents(spark, rows)).collect()] == [0]
+    assert stuffing.stuffed(documents(spark, rows), high=1e9).count() == 0
+    # one turn of phrase over and over is too regular for a collection of varied prose
+    pick, words = random.Random(5), [f"{a}{b}" for a in ("lam", "clo", "boa", "win", "tic", "les") for b in ("pa", "ck", "rd", "dow", "ket", "son")]
+    small = "the a of to in on at by for with and or but if as so it was end".split()
+    varied = lambda: " ".join(pick.choice(small if pick.random() < 0.5 else words) for _ in range(9)) + "."
+    turn = "so it was the end of it."
+    rows = [(0, " ".join([turn] * 20), "s"), *((i, " ".join([varied(), turn, varied(), varied()]), "s") for i in range(1, 400))]
+    assert [(r.doc_id, r.low > 0.5, r.high) for r in stuffing.stuffed(documents(spark, rows)).collect()] == [(0, True, 0)]
+    assert stuffing.stuffed(documents(spark, rows), low=-1e9).count() == 0
+
+
 def test_stuffing_empty(spark):
     assert stuffing.stuffed(documents(spark, [])).count() == 0
     assert stuffing.stuffed(documents(spark, [(1, None, None), (None, "", "a")])).count() == 0
@@ -377,4 +424,6 @@ def test_own_text():
     assert own("[quote=a]never closed\n\nown words") == "own words"
     assert own("<blockquote>[quote]cut</blockquote>own") == "own"
     assert own("a wrote:\n> x\n> y\nown &amp; words\n-- \nname") == "own & words"
+    assert own("<blockquote>> x\n> y</blockquote>own") == "own" and own("[quote][quote]cut[/quote]own") == "own"
+    assert own("<p>own\n-- \nname</p><br/>\nLast edited by x; reason: y") == "own" and own("one\n--\ntwo\n\nthree") == "one\n--\ntwo\n\nthree"
     assert own("own\n[i]name[/i]\n~~~\nmotto") == "own"
