@@ -62,8 +62,7 @@ _ITEM = re.compile(
 _BREAK = re.compile(r"<br\s*/?>|</?p>|</?div[^>]*>|</?li>", re.IGNORECASE)
 _FENCE = re.compile(r"\[(?P<close1>/?)quote(?P<arg>[^\]\n]*)\]|<(?P<close2>/?)blockquote[^>\n]*>", re.IGNORECASE)
 _SIGNATURE = re.compile(r"(?:^|\n)[^\S\n]*(?:(?:\[i\][^\n\[]*\[/i\]\n)?(?:--+|__+|~~+|==+)[^\S\n]*(?=\n|$)|<hr[^>\n]*>|Sent from my\b)", re.IGNORECASE)
-#: What a board adds to the end of a post.
-_EDITED = re.compile(r"(?:\s|<br\s*/?>|</?p>|<!--[^>]*-->|(?:^|(?<=[\n>]))Last edited by\b[^\n]*)+$", re.IGNORECASE)
+_ADDED = re.compile(r"<br\s*/?>|</?p>|<!--[^>]*-->", re.IGNORECASE)
 _UNSEEN = re.compile("[\r\u00ad\u200b-\u200f\u2060\ufeff]")
 _MISREAD = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{1,3}")
 _QUOTED = re.compile(r"\s*(?:<(?:p|div|span)[^>]*>\s*)*>")
@@ -109,6 +108,20 @@ def _mended(m: re.Match) -> str:
         return m[0]
 
 
+def _without_notes(text: str) -> str:
+    """Drop what a board adds to the end of a post."""
+    while True:
+        text = text.strip()
+        tag = text.rfind("<") if text.endswith(">") else -1
+        line = text.rfind("\n") + 1
+        if tag >= 0 and _ADDED.fullmatch(text, tag):
+            text = text[:tag]
+        elif text[line : line + 14].lower() == "last edited by":
+            text = text[:line]
+        else:
+            return text
+
+
 def own_text(text: str) -> str:
     """The post without quotes of other posts and without its signature."""
     if "&" in text:
@@ -134,7 +147,7 @@ def own_text(text: str) -> str:
     if "[" in text or "<" in text:
         text = _BREAK.sub("\n", _without_blocks(text))
         text = "\n".join(line for line in text.split("\n") if ">" not in line or not _QUOTED.match(line))
-    text = _EDITED.sub("", text).strip()
+    text = _without_notes(text)
     for m in _SIGNATURE.finditer(text):
         if "\n\n" not in text[m.end() :].strip():
             return text[: m.start()].strip()
@@ -323,8 +336,9 @@ def _function_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         p = _Posts(batch, 0)
         prose = p.prose()
         at = prose & ((p.words & 7) <= 5) & (p.words != 0)
-        pairs = np.unique(np.stack([np.r_[p.words[at], np.zeros(int(prose.sum()), np.int64)], np.r_[p.post[at], p.post[prose]]]), axis=1)
-        word, n = np.unique(pairs[0], return_counts=True)
+        word, code = np.unique(np.r_[p.words[at], np.zeros(int(prose.sum()), np.int64)], return_inverse=True)
+        pairs = np.unique(code * np.int64(p.n) + np.r_[p.post[at], p.post[prose]])
+        n = np.bincount(pairs // max(p.n, 1), minlength=len(word))
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
 
