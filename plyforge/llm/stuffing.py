@@ -161,7 +161,7 @@ _WORDS = 1 + len(_OTHERS)
 _ID = {x: i + 1 for i, x in enumerate(_OTHERS)}
 _FUNCTION = _WORDS + 40
 SIZE = _FUNCTION + N_FUNCTION  # 0 is the start of a segment
-assert SIZE <= 256
+assert SIZE <= 256 and _FUNCTION <= 64
 _NAMED = {"link": "Link", "tag": "Tag", "result": "Result", "move": "Move", "count": "Move", "spelled": "Code", "pct": "Pct", "number": "Number", "code": "Code", "end": "End", "line": "Line"}
 
 
@@ -371,14 +371,27 @@ class Model:
         self.one = [x.reshape(256, 256).sum(0) for x in self.bigram]
         self.moments = [(0.0, 1.0), (0.0, 1.0)]
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_dense", "_small")}
+
+    def dense(self) -> np.ndarray:
+        """Trigram counts by their code, built once per worker; its size is that of the alphabets."""
+        if not hasattr(self, "_dense"):
+            self._dense = np.zeros((_GRAMS[0] + 1) << 16, np.float32)
+            which = self.gram >> 24 == 1
+            self._dense[self.gram[~which]] = self.n[~which]
+            self._small = np.zeros(64**3, np.float32)
+            g = self.gram[which]
+            self._small[((g >> 16 & 63) * 64 + (g >> 8 & 63)) * 64 + (g & 63)] = self.n[which]
+        return self._dense
+
     def bits(self, posts: _Posts, model: int, sequence: np.ndarray) -> np.ndarray:
         a, b, c = posts.grams(sequence)
-        code = ((model * 256 + a) * 256 + b) * 256 + c
-        at = np.minimum(np.searchsorted(self.gram, code), max(len(self.gram) - 1, 0))
-        tri = np.where(self.gram[at] == code, self.n[at], 0) if len(self.gram) else np.zeros(len(code))
+        table = self.dense()
+        tri = self._small[(a * 64 + b) * 64 + c] if model else table[(a * 256 + b) * 256 + c]
         pair, bi, context = self.pair[model][a * 256 + b], self.bigram[model][b * 256 + c], self.context[model][b]
-        low = (self.one[model][c] + 0.5) / (self.one[model].sum() + 0.5 * _GRAMS[model])
-        mid = (bi + 4 * low) / (context + 4)
+        low = (self.one[model] + 0.5) / (self.one[model].sum() + 0.5 * _GRAMS[model])
+        mid = (bi + 4 * low[c]) / (context + 4)
         return -np.log2((1 - FLOOR) * (tri + 4 * mid) / (pair + 4) + FLOOR / _GRAMS[model])
 
 
