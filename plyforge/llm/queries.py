@@ -46,7 +46,13 @@ def p5_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "pack_sizes")
-    return packing.fills(packing.windows(table(spark, d, "documents"), sizes), sizes)
+    packed, solved = packing.pack(table(spark, d, "documents"), sizes)
+    return packing.fills(packed, sizes, solved)
+
+
+def p5_checks(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "pack_sizes")
+    return packing.checks(packing.windows(table(spark, d, "documents"), sizes), sizes)
 
 
 def p6_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +73,7 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p6_repeats, p6_shares, p7_found, p7_scores)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p7_found, p7_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,6 +83,7 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT row_id, unnest({TOKENS_SQL}) AS token FROM games WHERE tokens IS NOT NULL) GROUP BY token"""
     return {
         "p2_found": f"SELECT row_id FROM games WHERE len({TOKENS_SQL}) > 256",
+        "p5_checks": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_posts, 0 AS n_torn, 0 AS n_overfull, 0 AS n_uneven FROM pack_sizes",
         "p4_frequency": frequency,
         "p4_found": f"SELECT token, mark FROM ({frequency}) WHERE mark IS NOT NULL",
     }

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,20 +235,41 @@ def test_plan_uses_every_item_once(capacity):
         counts = Counter() if shape == "none" else Counter(min(capacity, 1 + int(pick.expovariate(1 / (capacity / {"even": 3, "short": 30, "one": 2}[shape])))) for _ in range(3000 if shape != "one" else 1))
         patterns = packing.plan(dict(counts), capacity)
         used = Counter()
-        for p, n in patterns:
+        for p, n, _ in patterns:
             assert n > 0 and sum(a * t for a, t in p) <= capacity
             for a, t in p:
                 used[a] += t * n
         assert used == counts
-        windows = sum(n for _, n in patterns)
+        windows = sum(n for _, n, _ in patterns)
         if shape in ("even", "short") and capacity == 512:
             assert sum(a * c for a, c in counts.items()) / (windows * capacity) > 0.985
 
 
 def test_least_squares_finds_an_exact_fit():
-    counts = {3: 10, 5: 10, 8: 4}
-    x = packing.least_squares([((5, 1), (3, 1)), ((8, 1),)], counts)
-    assert [round(v, 3) for v in x] == [10, 4]
+    counts = np.bincount([3] * 10 + [5] * 10 + [4] * 8, minlength=9).astype(float)
+    columns, x = packing.least_squares(counts, 8)
+    assert {tuple(c): round(v, 1) for c, v in zip(columns.tolist(), x)} == {(5, 3, 0): 10, (4, 4, 0): 4}
+    assert packing.rounded(columns, x, counts)[1].tolist() == [0] * 9
+
+
+def test_rounding_keeps_the_mass():
+    columns, x = np.array([[4, 3, 1], [4, 2, 2], [3, 3, 2]]), np.array([0.5, 0.6, 0.9])
+    repeats, left = packing.rounded(columns, x, np.array([0, 1, 5, 3, 2, 0, 0, 0, 0]))
+    assert repeats.tolist() == [0, 1, 1] and left.tolist() == [0, 1, 2, 1, 1, 0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("capacity", [512, 2048, 8192])
+def test_least_squares_packs_most(capacity):
+    pick = random.Random(capacity)
+    shares = []
+    for n in (2000, 20000):
+        counts = Counter(min(capacity, 1 + int(pick.lognormvariate(4.3, 1.1))) for _ in range(n))
+        by = Counter()
+        for p, repeats, how in packing.plan(dict(counts), capacity):
+            by[how] += sum(a * t for a, t in p) * repeats
+        shares.append(by[packing.FITTED] / (by[packing.FITTED] + by[packing.GREEDY]))
+        assert packing.solved_share(dict(counts), capacity) > 0.93
+    assert min(shares) > 0.88
 
 
 def documents(spark, rows):
