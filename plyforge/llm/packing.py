@@ -306,8 +306,8 @@ def _assign(shared):
     return run
 
 
-def pack(df: DataFrame, sizes: DataFrame, key: str = "doc_id", column: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, dict[str, float]]:
-    """``windows`` of the posts, and by container the share of the tokens below the capacity that least squares places before rounding."""
+def pack(df: DataFrame, sizes: DataFrame, key: str = "doc_id", column: str = "text", vocabulary: str = VOCABULARY) -> tuple[DataFrame, dict[str, tuple[int, dict[int, int]]]]:
+    """``windows`` of the posts, and by container its capacity and the histogram of the pieces."""
     spark = df.sparkSession
     # a small table of settings: (container, capacity_tokens)
     containers = sorted({(r[0], r[1]) for r in sizes.select("container", "capacity_tokens").collect() if r[1] and r[1] > 0}, key=lambda r: (r[1], str(r[0])))
@@ -322,11 +322,11 @@ def pack(df: DataFrame, sizes: DataFrame, key: str = "doc_id", column: str = "te
     pieces = pieces.select("container_no", "key", "piece_no", first.cast("int").alias("first_token"), F.least("capacity", F.col("n_tokens") - first).cast("int").alias("size"))
     histogram = pieces.groupBy("container_no", "size").count().collect()  # at most the sum of the capacities
     rows: list[tuple[int, ...]] = []
-    solved: dict[str, float] = {}
+    histograms: dict[str, tuple[int, dict[int, int]]] = {}
     for i, (name, capacity) in enumerate(containers):
         counts = {r["size"]: r["count"] for r in histogram if r["container_no"] == i}
         rows += _places(i, plan(counts, capacity))
-        solved[name] = solved_share(counts, capacity)
+        histograms[name] = capacity, counts
     shared = spark.sparkContext.broadcast(np.array(sorted(rows), np.int64).reshape(-1, 8))
     ranked = running_offset(pieces, ["container_no", "size"], ["key", "piece_no"], name="place", slices=max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kind = df.schema[key].dataType.simpleString()
@@ -335,7 +335,7 @@ def pack(df: DataFrame, sizes: DataFrame, key: str = "doc_id", column: str = "te
     )
     name = F.element_at(F.array(*(F.lit(c) for c, _ in containers)), F.col("container_no") + 1) if containers else F.lit(None).cast("string")
     by = F.element_at(F.array(*map(F.lit, BY)), F.col("by") + 1)
-    return placed.select(name.alias("container"), "window_no", "position", F.col("key").alias(key), "piece_no", "first_token", "n_tokens", "window_token", by.alias("by")), solved
+    return placed.select(name.alias("container"), "window_no", "position", F.col("key").alias(key), "piece_no", "first_token", "n_tokens", "window_token", by.alias("by")), histograms
 
 
 def windows(df: DataFrame, sizes: DataFrame, key: str = "doc_id", column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -347,18 +347,19 @@ def windows(df: DataFrame, sizes: DataFrame, key: str = "doc_id", column: str =
     return pack(df, sizes, key, column, vocabulary)[0]
 
 
-def fills(packed: DataFrame, sizes: DataFrame, solved: dict[str, float] | None = None) -> DataFrame:
+def fills(packed: DataFrame, sizes: DataFrame, histograms: dict[str, tuple[int, dict[int, int]]] | None = None) -> DataFrame:
     """Per window: items, tokens, the share of the capacity that is filled, and how it came about.
 
-    With ``solved`` also, per container, the shares of the tokens below the capacity that least squares places before rounding
+    With ``histograms`` also, per container, the shares of the tokens below the capacity that least squares places before rounding
     (``solved_share``) and after it (``fitted_share``).
     """
     total = packed.groupBy("container", "window_no", "by").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
     total = total.join(F.broadcast(sizes.select("container", "capacity_tokens").distinct()), "container").withColumn("fill", F.round(F.col("n_tokens") / F.col("capacity_tokens"), 6))
-    if solved is None:
+    if histograms is None:
         return total
     # a row per container
     share = packed.where("by <> 'whole'").groupBy("container").agg((F.sum(F.when(F.col("by") == "fitted", F.col("n_tokens")).otherwise(0)) / F.sum("n_tokens")).alias("fitted_share"))
+    solved = {name: solved_share(counts, capacity) for name, (capacity, counts) in histograms.items()}
     before = F.create_map(*(F.lit(x) for kv in solved.items() for x in kv)) if solved else F.create_map().cast("map<string, double>")
     return total.join(F.broadcast(share), "container", "left").withColumn("fitted_share", F.round("fitted_share", 6)).withColumn("solved_share", F.round(before[F.col("container")], 6))
 

@@ -46,8 +46,8 @@ def p5_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "pack_sizes")
-    packed, solved = packing.pack(table(spark, d, "documents"), sizes)
-    return packing.fills(packed, sizes, solved)
+    packed, histograms = packing.pack(table(spark, d, "documents"), sizes)
+    return packing.fills(packed, sizes, histograms)
 
 
 def p5_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -64,6 +64,11 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.repeats(table(spark, d, "documents"), targets), targets)
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.checks(mixing.repeats(table(spark, d, "documents"), targets), targets)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffing.stuffed(table(spark, d, "documents")).select("doc_id")
 
@@ -73,7 +78,7 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p7_found, p7_scores)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p6_checks, p7_found, p7_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -84,6 +89,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"SELECT row_id FROM games WHERE len({TOKENS_SQL}) > 256",
         "p5_checks": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_posts, 0 AS n_torn, 0 AS n_overfull, 0 AS n_uneven FROM pack_sizes",
+        "p6_checks": r"""
+            SELECT t.source, count(d.doc_id) AS n_posts, true AS on_target, true AS capped
+            FROM (SELECT DISTINCT source FROM mix_targets) t LEFT JOIN documents d ON regexp_replace(lower(trim(d.source)), '[_\s]+', '-', 'g') = t.source GROUP BY t.source""",
         "p4_frequency": frequency,
         "p4_found": f"SELECT token, mark FROM ({frequency}) WHERE mark IS NOT NULL",
     }

@@ -357,6 +357,25 @@ def test_mix(spark):
     assert again == {i: r.repeats for i, r in out.items()}
 
 
+def test_selection_follows_the_quotas():
+    pick = random.Random(14)
+    for _ in range(50):
+        lines = [[pick.choice((0, 40, 90, 120, 300)) for _ in range(60)] for _ in range(16)]
+        totals, cap = [sum(x) + 1 for x in lines], pick.choice((1, 2, 5))
+        quota = [int(pick.random() * t * cap * 0.9) for t in totals]
+        base, extra = mixing.select(totals, quota, [x[:50] for x in lines], cap)
+        used = [b * t + sum(x[k] for k in e) for b, t, x, e in zip(base, totals, lines, extra)]
+        assert abs(sum(used) - sum(quota)) <= 15 and all(b + bool(e) <= cap for b, e in zip(base, extra))
+        assert all(abs(u - q) < 600 for u, q in zip(used, quota))
+
+
+@pytest.mark.parametrize("shards", [1, 16])
+def test_shares_are_near_with_any_number_of_shards(spark, shards):
+    docs, mix = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "mix_targets"))
+    mixed = mixing.repeats(docs, mix, shards=shards)
+    assert all(r.on_target and r.capped for r in mixing.checks(mixed, mix).collect())
+
+
 def test_mix_empty(spark):
     mix = spark.createDataFrame([("big", 0.5, 1)], "source string, target_share double, max_repeats int")
     empty = documents(spark, [])
