@@ -11,8 +11,8 @@ Method: Sainte-Laguë apportionment of equal-token blocks, then a seeded selecti
 3. In a shard the posts form one line of tokens in seeded order, cut into blocks of whole posts: a post lies in the block in which it
    starts. All blocks of a shard are used as often as its quota holds the whole shard; what is left of the quota takes blocks from the front
    of the line, once more each. As blocks of whole posts differ a little from the block size, their true sizes go to the driver
-   (those up to the quota and ``SPARE`` more in each shard, each of a post at least; so about ``BLOCKS`` in all), a shard stops at the block that comes nearest to its quota, and what it is over or under
-   is taken off the next shard's. After the last shard single blocks are taken, dropped or exchanged while that brings the source nearer.
+   (those up to the quota and ``SPARE`` more in each shard, each of a post at least, past the longest post; so about ``BLOCKS`` in all), a block is taken if that brings the shard nearer to its quota, and what it is
+   over or under is taken off the next shard's. After the last shard single blocks are taken, dropped or exchanged while that brings the source nearer.
 4. A post is used as often as its block, so never more than ``max_repeats`` times.
 
 Sources are compared in lower case, without surrounding blanks, ``_`` and blanks as ``-``. Targets of sources without posts are
@@ -101,10 +101,9 @@ def select(totals: list[int], quota: list[int], sizes: list[list[int]], cap: int
         chosen: set[int] = set()
         if times < cap:
             for k, n in enumerate(line):
-                if abs(gap - n) > abs(gap):
-                    break
-                chosen.add(k)
-                gap -= n
+                if n and abs(gap - n) < abs(gap):
+                    chosen.add(k)
+                    gap -= n
         base.append(times)
         extra.append(chosen)
     spare = sorted((n, i, k) for i, line in enumerate(sizes) if base[i] < cap for k, n in enumerate(line) if n)
@@ -146,10 +145,10 @@ def repeats(df: DataFrame, mix: DataFrame, key: str = "doc_id", column: str = "t
     sized = token_counts(df, {"key": key, "source": "source"}, column, vocabulary)
     sized = materialize(sized.select("key", canonical(F.col("source")).alias("source"), "n_tokens", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(shards)).cast("int").alias("shard")), "p6-sizes")
     wanted = sized.where(F.col("source").isin(*targets) & (F.col("n_tokens") > 0)) if targets else sized.where("false")
-    cells = wanted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("posts")).collect()  # targets x shards
+    cells = wanted.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("posts"), F.max("n_tokens").alias("longest")).collect()  # targets x shards
     totals = {(r["source"], r["shard"]): r["n"] for r in cells}
     size, quota = quotas(totals, targets, blocks)
-    spare = {(r["source"], r["shard"]): SPARE * max(1, -(-r["n"] // (r["posts"] * size))) for r in cells}
+    spare = {(r["source"], r["shard"]): SPARE * max(1, -(-r["n"] // (r["posts"] * size))) + r["longest"] // size for r in cells}
     slices = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     line = running_offset(wanted, ["source", "shard"], ["key"], "n_tokens", "start", slices=slices, seed=seed)
     line = materialize(line.select("key", "source", "shard", "n_tokens", F.floor(F.col("start") / size).alias("block")), "p6-line")

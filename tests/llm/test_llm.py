@@ -363,7 +363,7 @@ def test_selection_follows_the_quotas():
         lines = [[pick.choice((0, 40, 90, 120, 300)) for _ in range(60)] for _ in range(16)]
         totals, cap = [sum(x) + 1 for x in lines], pick.choice((1, 2, 5))
         quota = [int(pick.random() * t * cap * 0.9) for t in totals]
-        base, extra = mixing.select(totals, quota, [x[:50] for x in lines], cap)
+        base, extra = mixing.select(totals, quota, lines, cap)
         used = [b * t + sum(x[k] for k in e) for b, t, x, e in zip(base, totals, lines, extra)]
         assert abs(sum(used) - sum(quota)) <= 15 and all(b + bool(e) <= cap for b, e in zip(base, extra))
         assert all(abs(u - q) < 600 for u, q in zip(used, quota))
