@@ -2,12 +2,14 @@
 
 Method: an external sort of (term, record) pairs, range-partitioned, with run-length scans.
 
-1. *Local sort and scan.* Each input partition sorts its (term, record) pairs in blocks of bounded size; a run-length scan of a
-   block gives one run per term: occurrences, distinct records, first record. A record lies in one partition and one block, so
-   the distinct records of different runs never overlap and add up. A term that holds a third of all rows leaves this step as
-   one row per block.
-2. *Range partition and sort.* Runs are range-partitioned by term and sorted by (term, first record) in Spark's spilling sort.
-3. *Run-length scan* over each sorted partition sums the runs of a term; a range partition holds all runs of a term.
+1. *Pairs.* Every record gets an identifier of its own, also where its row is repeated; each of its terms becomes a pair (term,
+   record) with the times it occurs in the record.
+2. *Range partition and sort.* The pairs are range-partitioned by (term, record) and sorted in Spark's spilling sort. A term in a
+   third of all records thus spans as many ranges as it needs; no task holds a term as a whole.
+3. *Run-length scan.* Each sorted partition is scanned once: a run of a term gives its occurrences and, by the changes of the
+   record within it, its records.
+4. *Stitching.* A term whose run crosses the border of a range has a run on each side; the runs are added up. A record's pairs
+   with one term are one pair, so it is never counted on both sides.
 
 Defined results: null and empty streams count as records without terms; repeated rows each count as a record; an empty table
 gives no rows; the empty term is a term like any other; other columns of the input are never read.
@@ -25,78 +27,66 @@ from pyspark.sql import functions as F
 from plyforge.functions.streams import split_tokens
 from plyforge.sources.tables import materialize
 
-#: Pairs sorted at once in a task: about 40 bytes each.
-BLOCK_PAIRS = 2_000_000
-
-
-def _runs(terms: list[str], record: np.ndarray) -> pa.RecordBatch:
-    """Sort the pairs (term, record) and scan the runs."""
-    code: dict[str, int] = {}
-    ids = np.fromiter((code.setdefault(t, len(code)) for t in terms), np.int64, len(terms))
-    order = np.lexsort((record, ids))
-    ids, record = ids[order], record[order]
-    new_term = np.r_[True, ids[1:] != ids[:-1]]
-    new_pair = new_term | np.r_[True, record[1:] != record[:-1]]
-    start = np.flatnonzero(new_term)
-    names = list(code)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([names[i] for i in ids[start]], pa.string()),
-            pa.array(record[start], pa.int64()),
-            pa.array(np.diff(np.r_[start, len(ids)]), pa.int64()),
-            pa.array(np.add.reduceat(new_pair.astype(np.int64), start), pa.int64()),
-        ],
-        ["term", "first_record", "n_occurrences", "n_records"],
-    )
-
-
-def _local(split: Callable[[str | None], list[str]]):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: list[str] = []
-        counts: list[int] = []
+
+def _pairs(split: Callable[[str | None], list[str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = split(text)
-                terms += found
-                counts.append(len(found))
-                if len(terms) >= BLOCK_PAIRS:
-                    yield _runs(terms, np.repeat(np.arange(len(counts)), counts))
-                    terms, counts = [], []
-        if terms:
-            yield _runs(terms, np.repeat(np.arange(len(counts)), counts))
-
-    return scan
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run-length scan over runs sorted by term; a term may go on in the next batch."""
-    names = ["term", "n_occurrences", "n_records"]
-    held: tuple[str, int, int] | None = None
+            code: dict[str, int] = {}
+            found = [split(t) for t in batch.column(1).to_pylist()]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((code.setdefault(t, len(code)) for f in found for t in f), np.int64, int(size.sum()))
+            pair, times = np.unique(ids * max(1, len(found)) + np.repeat(np.arange(len(found)), size), return_counts=True)
+            term, record = np.divmod(pair, max(1, len(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(code), pa.string()).take(pa.array(term)), batch.column(0).take(pa.array(record)), pa.array(times.astype(np.int32))], ["term", "record", "times"])
+
+    return run
+
+
+def pairs(df: DataFrame, column: str = "tokens", split: Callable[[str | None], list[str]] = split_tokens) -> DataFrame:
+    """``term, record, times``: each term of each record, with an identifier of the record."""
+    rows = df.select(F.monotonically_increasing_id().alias("record"), F.col(f"`{column}`").alias("text")).where(F.col("text") != "")
+    return rows.mapInArrow(_pairs(split), "term string, record long, times int")
+
+
+def ranged(found: DataFrame) -> DataFrame:
+    """The pairs in ranges of (term, record), sorted; written first, as finding the ranges reads them too."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(found, "p4-pairs").repartitionByRange(parts, "term", "record").sortWithinPartitions("term", "record")
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Run-length scan over pairs sorted by (term, record); a run may go on in the next batch."""
+    held: list | None = None  # term, occurrences, records, last record
     for batch in batches:
         if not batch.num_rows:
             continue
-        terms = batch.column(0).to_pylist()
-        start = np.flatnonzero([True, *(a != b for a, b in zip(terms, terms[1:]))])
-        sums = [np.add.reduceat(batch.column(k).to_numpy(), start).tolist() for k in (2, 3)]
-        rows = [[terms[i] for i in start], *sums]
-        if held and held[0] == rows[0][0]:
-            for k in (1, 2):
-                rows[k][0] += held[k]
+        terms = batch.column(0).dictionary_encode()
+        code, record, times = terms.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        new_term = np.r_[True, code[1:] != code[:-1]]
+        new_record = new_term | np.r_[True, record[1:] != record[:-1]]
+        start = np.flatnonzero(new_term)
+        names = terms.dictionary.take(pa.array(code[start])).to_pylist()
+        occurrences, records = np.add.reduceat(times.astype(np.int64), start), np.add.reduceat(new_record.astype(np.int64), start)
+        if held and held[0] == names[0]:
+            occurrences[0] += held[1]
+            records[0] += held[2] - (held[3] == record[0])
         elif held:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, (pa.string(), pa.int64(), pa.int64()))], names)
-        held = tuple(r[-1] for r in rows)
+            yield _runs([held[0]], [held[1]], [held[2]])
+        held = [names[-1], int(occurrences[-1]), int(records[-1]), int(record[-1])]
         if len(start) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(r[:-1], t) for r, t in zip(rows, (pa.string(), pa.int64(), pa.int64()))], names)
+            yield _runs(names[:-1], occurrences[:-1], records[:-1])
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, (pa.string(), pa.int64(), pa.int64()))], names)
+        yield _runs([held[0]], [held[1]], [held[2]])
+
+
+def _runs(terms: list[str], occurrences, records) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())], ["term", "n_occurrences", "n_records"])
 
 
 def term_frequency(df: DataFrame, column: str = "tokens", split: Callable[[str | None], list[str]] = split_tokens) -> DataFrame:
     """``term, n_occurrences, n_records`` of every distinct term of ``column``."""
-    runs = df.select(F.col(f"`{column}`").alias("text")).mapInArrow(_local(split), "term string, first_record long, n_occurrences long, n_records long")
-    runs = materialize(runs, "p4-runs")  # small; else the sampling for the ranges would scan the table a second time
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(parts, "term").sortWithinPartitions("term", "first_record").mapInArrow(_merge, "term string, n_occurrences long, n_records long")
+    runs = ranged(pairs(df, column, split)).mapInArrow(_scan, "term string, n_occurrences long, n_records long")
+    return runs.groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 
 def marked(df: DataFrame, column: str = "tokens", rare: int = 3, common: float = 0.3) -> DataFrame:

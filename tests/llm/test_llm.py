@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,14 +211,13 @@ def test_pieces_table(spark):
 # 4. Frequencies
 
 
-def test_frequencies(spark, monkeypatch):
+def test_frequencies(spark):
     pick = random.Random(8)
     rows = [(i, None if i % 50 == 0 else " ".join(pick.choice(["hot", "x", f"r{pick.randrange(300)}", "Hot"]) for _ in range(pick.randrange(12)))) for i in range(600)]
     rows += [(700, "[a] [a][b]\t[b c] [unclosed"), (700, "[a]"), (None, "a q"), (701, "w " * 20000)]
     want, docs = Counter(), Counter()
     for _, t in rows:
         want.update(split_tokens(t)), docs.update(set(split_tokens(t)))
-    monkeypatch.setattr(term_frequency, "BLOCK_PAIRS", 100)  # blocks end within partitions
     df = spark.createDataFrame(rows, "row_id long, tokens string").withColumns({c: F.lit(1) for c in EXTRA})
     out = term_frequency.marked(df).collect()
     assert {r.term: (r.n_occurrences, r.n_records) for r in out} == {t: (n, docs[t]) for t, n in want.items()}
@@ -225,6 +225,27 @@ def test_frequencies(spark, monkeypatch):
     assert term_frequency.marked(df.limit(0)).count() == 0
 
 
+def test_a_hot_term_spans_ranges(spark):
+    rows = [(i, "hot " + f"r{i % 40} hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, tokens string")
+    found = term_frequency.pairs(df)
+    assert found.where("term = 'hot'").select("record").distinct().count() == 3000 and found.count() == 6000
+    per = term_frequency.ranged(found).where("term = 'hot'").groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(per) > 1 and max(r["count"] for r in per) < 2500
+    out = {r.term: (r.n_occurrences, r.n_records) for r in term_frequency.term_frequency(df).collect()}
+    assert out["hot"] == (6000, 3000) and out["r7"] == (75, 75) and len(out) == 41
+
+
+def test_run_length_scan_over_batches():
+    pick = random.Random(3)
+    rows = sorted((pick.choice("abcd"), pick.randrange(6), pick.randrange(1, 4)) for _ in range(60))
+    for step in (1, 3, 60):
+        parts = [rows[k : k + step] for k in range(0, 60, step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p]), pa.array([r[1] for r in p], pa.int64()), pa.array([r[2] for r in p], pa.int32())], ["term", "record", "times"]) for p in parts]
+        out = {r["term"]: (r["n_occurrences"], r["n_records"]) for b in term_frequency._scan(iter(batches)) for r in b.to_pylist()}
+        assert out == {t: (sum(n for x, _, n in rows if x == t), len({k for x, k, _ in rows if x == t})) for t in "abcd"}
+
+
 # 5. Packing
 
 
