@@ -356,3 +356,18 @@ def test_stream_resumes(spark, tmp_path):
         streaming.run_available(spark, at[0], games, at[1], at[2], min_elo=0, min_plies=0)
     want = sorted(map(tuple, stage1.tokenised(games, 0, 0).select("raw_id", "tokens").collect()))
     assert sorted(map(tuple, spark.read.parquet(at[1]).select("raw_id", "tokens").collect())) == want
+
+
+def test_salted_join(spark):
+    from plyforge.operators.skew import salted_join
+
+    a = [(k, i) for k, n in (("hot", 50), ("a", 40), ("x", 2), (None, 3)) for i in range(n)]
+    b = [(k, -i) for k, n in (("hot", 30), ("b", 60), ("x", 3), (None, 2)) for i in range(n)] + [("x", 0)]
+    da, db = spark.createDataFrame(a, "k string, i long"), spark.createDataFrame(b, "k string, j long")
+    plain = sorted(map(tuple, da.join(db, "k").collect()))
+    for block in (1, 7, 1000):
+        joined = salted_join(da, db, "k", block)
+        assert joined.columns == ["k", "i", "j"] and sorted(map(tuple, joined.collect())) == plain
+    spread = salted_join(da, db, "k", 7).where("k = 'hot'").select("k").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len([n for n in spread if n]) > 1 and sum(spread) == 1500
+    assert salted_join(da.limit(0), db, "k", 1).count() == 0
