@@ -8,14 +8,16 @@ Method for (a): an exact prefix-filter bipartite join on rare shingles.
 * Streams equal without labels form one class (128-bit digest); classes are joined, members only looked up at the end.
 * A pair within ``k`` edits keeps all but ``3k`` of its 3-token shingles. Order all shingles by any fixed order: the first
   ``3k + 1`` shingles of the one stream and of the other then share a shingle, at positions at most ``k`` apart. The order used
-  is rarity among the evaluation rows, read from a counting table of fixed size (2^22 counters, 16 MB, whatever the input), then
-  the hash. Errors of the table change the order, never the result.
-* The prefixes of the evaluation classes are the index. Those of the training classes probe it; a shingle whose counter is 0
-  is in no evaluation row, so it is not sent. Most training rows send nothing.
+  is: shingles of no evaluation row, then the others by rarity among the evaluation rows, then by hash.
+* Which shingles occur in evaluation rows is read from a bit set sized from the evaluation rows (two bits a shingle or more, up to
+  ``2**MAX_BITS`` bits, 128 MB); how rare they are, in powers of two, from 2^20 bytes. Errors of either change the order, never the result. A training row
+  whose prefix lies in no evaluation row sends nothing; that takes a third of its shingles, so the set prunes until it is nearly full (about 10^9
+  distinct shingles). Past that size training rows send their prefixes: more is shuffled, in proportion to the input, and the result is the same.
+* The prefixes of the evaluation classes are the index; those of the training classes probe it.
 * Probes pass a length and a position filter; the candidates are verified with a bit-parallel edit distance.
 
-Skew: hot streams and hot games are one class each; when pairs of rows are asked for, classes of many evaluation members are
-cut into salted blocks. Nothing is capped. The result of ``overlap_pairs`` lists every pair and so may be quadratic in a hot
+Skew: hot streams and hot games are one class each. All joins that may meet hot keys (shingles, texts, members) are salted on both
+sides by measured counts. Nothing is capped. The result of ``overlap_pairs`` lists every pair and so may be quadratic in a hot
 class; ``overlap_rows`` and ``overlap_report`` are not.
 
 Defined results: null, empty and short streams match under (b) only; a site without a code or a date that is no calendar day
@@ -35,13 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.streams import LABELS, split_tokens
+from plyforge.operators.skew import BLOCK, salted_join
 from plyforge.sources.tables import gathered, materialize
 
 SHINGLE = 3
 LEAST_TOKENS = 40
-TABLE_BITS = 22
-#: Evaluation members of one class joined in one block.
-BLOCK = 4096
+#: Size of the set of evaluation shingles, at most, and of the table of their rarity, as powers of two.
+MAX_BITS, RARITY_BITS = 30, 20
 _LABELS = frozenset(LABELS)
 
 
@@ -95,37 +97,93 @@ def _shingles(streams: list[list[str]], hashes: _Hashes) -> tuple[np.ndarray, np
     return out, row[at], pos[at]
 
 
-def _count_table(bits: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = _Hashes(), np.zeros(1 << bits, np.int64)
+class Rarity:
+    """Which shingles occur in evaluation rows, and how rare they are there, in arrays of a size set before."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.present = np.zeros(max(1, (1 << bits) >> 3), np.uint8)
+        self.counts = np.zeros(1 << RARITY_BITS, np.int64)
+        self.rank = np.zeros(1 << RARITY_BITS, np.uint8)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
+
+    def add(self, h: np.ndarray) -> None:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        np.bitwise_or.at(self.present, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        self.counts += np.bincount(self.slot(h), minlength=len(self.counts))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """0 for a shingle of no evaluation row, else 1 for the rarest, and more."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return np.where(self.present[at >> 3] >> (at & 7) & 1, np.maximum(self.rank[self.slot(h)], 1), 0)
+
+    def chunks(self) -> Iterator[pa.RecordBatch]:
+        """The parts that are not empty: of the set with numbers from 0, of the counts with numbers from -1 down."""
+        for part, data in self._parts():
+            if data.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["part", "data"])
+
+    def _parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        for k in range(0, len(self.present), CHUNK):
+            yield k // CHUNK, self.present[k : k + CHUNK]
+        for k in range(0, len(self.counts), CHUNK // 8):
+            yield -1 - k // (CHUNK // 8), self.counts[k : k + CHUNK // 8]
+
+    def take(self, part: int, data: bytes) -> None:
+        if part >= 0:
+            self.present[part * CHUNK :][: len(data)] |= np.frombuffer(data, np.uint8)
+        else:
+            self.counts[(-1 - part) * (CHUNK // 8) :][: len(data) // 8] += np.frombuffer(data, np.int64)
+
+
+CHUNK = 1 << 16
+
+
+def _fill(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table = _Hashes(), Rarity(bits)
         for batch in batches:
             streams = [s for t in batch.column(0).to_pylist() if len(s := clean(t)) >= LEAST_TOKENS]
             if streams:
-                h, _, _ = _shingles(streams, hashes)
-                total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 18):
-            part = at[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
-
-    return count
-
-
-def rarity_table(games: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """Counts of the evaluation rows' shingles in ``2**bits`` slots: an array of fixed size, whatever the input."""
-    rows = gathered(games.where(F.col("side") == 1).select("tokens")).mapInArrow(_count_table(bits), "slot int, n long")
-    found = rows.groupBy("slot").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    table = np.zeros(1 << bits, np.int32)
-    table[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+                table.add(_shingles(streams, hashes)[0])
+        yield from table.chunks()
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of one number, one after the other, as one."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(data, np.uint8 if part >= 0 else np.int64)
+            total[part] = x if part not in total else total[part] | x if part >= 0 else total[part] + x
+    for part, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "data"])
+
+
+def rarity(games: DataFrame) -> Rarity:
+    """The table of the evaluation rows (``side`` 1): each task fills one, and their parts are merged part by part."""
+    own = games.where(F.col("side") == 1).select("tokens")
+    chars = own.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    bits = min(MAX_BITS, max(12, int(chars // 2).bit_length()))  # a token and what stands around it take four characters or so
+    parts = gathered(own).mapInArrow(_fill(bits), "part int, data binary").repartition("part").mapInArrow(_merge, "part int, data binary").toArrow()
+    table = Rarity(bits)
+    for part, data in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
+        table.take(part, data)
+    table.rank = np.ceil(np.log2(table.counts + 1)).astype(np.uint8)
+    table.counts = table.counts[:0]
     return table
 
 
 _POSTINGS = pa.list_(pa.struct([("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
 
-def _encode(table, bits: int):
+def _encode(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = _Hashes(), table.value
+        hashes, ranks = _Hashes(), table.value
         for batch in batches:
             streams = [clean(t) for t in batch.column(2).to_pylist()]
             long = [len(s) >= LEAST_TOKENS for s in streams]
@@ -133,7 +191,7 @@ def _encode(table, bits: int):
             size = np.fromiter(map(len, streams), np.int64, len(streams))
             kept = [s if ok else [] for s, ok in zip(streams, long)]
             h, row, pos = _shingles(kept, hashes)
-            seen = counts[(h >> np.uint64(64 - bits)).astype(np.int64)]
+            seen = ranks.of(h)
             need = SHINGLE * (size // 9) + 1  # a partner of n tokens has n / 0.9 at most, so n / 9 edits at most
             zeros = np.bincount(row[seen == 0], minlength=len(streams))
             take = (seen > 0) & (zeros < need)[row]
@@ -212,65 +270,60 @@ def _sides(games: DataFrame) -> DataFrame:
     return games.select("row_id", side.alias("side"), "tokens", "site", "utc_date").where(F.col("side").isNotNull() & F.col("row_id").isNotNull())
 
 
-def _classes(games: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``members`` (key, side, row_id) and ``pairs`` (key_a, key_b) of training and evaluation classes that overlap."""
+def _classes(games: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``members`` (key, side, row_id) and ``pairs`` (key_a, key_b, by_game) of training and evaluation classes that overlap."""
     spark = games.sparkSession
     rows = _sides(games)
-    table = spark.sparkContext.broadcast(rarity_table(rows))
+    table = spark.sparkContext.broadcast(rarity(rows))
     game_day = F.unhex(F.md5(F.concat(site_game(F.col("site")), F.lit(" "), calendar_day(F.col("utc_date")).cast("string"))))
     base = rows.select("row_id", "side", "tokens", game_day.alias("game_day"))
     kind = base.schema["row_id"].dataType.simpleString()
-    base = materialize(base.mapInArrow(_encode(table, TABLE_BITS), f"row_id {kind}, side int, stream binary, n int, postings array<struct<h: bigint, lo: int, hi: int>>, game_day binary"), "p1-rows")
+    base = materialize(base.mapInArrow(_encode(table), f"row_id {kind}, side int, stream binary, n int, postings array<struct<h: bigint, lo: int, hi: int>>, game_day binary"), "p1-rows")
 
-    streams = base.where(F.col("stream").isNotNull()).groupBy("side", "stream").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("postings").alias("postings"))
+    streams = base.where(F.col("stream").isNotNull() & (F.size("postings") > 0)).groupBy("side", "stream").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("postings").alias("postings"))
     posted = streams.select("side", "stream", "rep", "n", F.explode("postings").alias("p")).select("side", "stream", "rep", "n", "p.*")
+    posted = materialize(posted, "p1-postings")
     a, b = (posted.where(F.col("side") == s).select(F.col("h"), *(F.col(c).alias(f"{c}_{x}") for c in ("stream", "rep", "n", "lo", "hi"))) for s, x in ((0, "a"), (1, "b")))
     edits = F.floor(F.greatest("n_a", "n_b") / 10)
     near = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.col("lo_a") <= F.col("hi_b") + edits) & (F.col("lo_b") <= F.col("hi_a") + edits)
-    candidates = materialize(a.join(b, "h").where(near).select("stream_a", "stream_b", "rep_a", "rep_b").distinct(), "p1-candidates")
+    candidates = materialize(salted_join(a, b, "h", block).where(near).select("stream_a", "stream_b", "rep_a", "rep_b").distinct(), "p1-candidates")
 
     wanted = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("row_id")).distinct()
     texts = materialize(games.select("row_id", "tokens").join(wanted, "row_id", "left_semi"), "p1-texts")
     text = lambda x: texts.select(F.col("row_id").alias(f"rep_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    compared = candidates.join(text("a"), "rep_a").join(text("b"), "rep_b").select("stream_a", "stream_b", "tokens_a", "tokens_b")
-    near_pairs = compared.mapInArrow(_verify, "key_a binary, key_b binary").distinct()
+    compared = salted_join(salted_join(candidates, text("a"), "rep_a", block), text("b"), "rep_b", block).select("stream_a", "stream_b", "tokens_a", "tokens_b")
+    near_pairs = compared.mapInArrow(_verify, "key_a binary, key_b binary").distinct().withColumn("by_game", F.lit(False))
 
     members = base.select(F.explode(F.array("stream", "game_day")).alias("key"), "side", "row_id").where(F.col("key").isNotNull())
     days = base.where(F.col("game_day").isNotNull()).groupBy("game_day").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    same_game = days.where((F.col("a") > 0) & (F.col("b") > 0)).select(F.col("game_day").alias("key_a"), F.col("game_day").alias("key_b"))
+    same_game = days.where((F.col("a") > 0) & (F.col("b") > 0)).select(F.col("game_day").alias("key_a"), F.col("game_day").alias("key_b"), F.lit(True).alias("by_game"))
     return members, materialize(near_pairs.unionByName(same_game), "p1-pairs")
 
 
-def overlap_pairs(games: DataFrame) -> DataFrame:
+def overlap_pairs(games: DataFrame, block: int = BLOCK) -> DataFrame:
     """``row_id_a, row_id_b``: every overlapping pair of a training and an evaluation row, the smaller id first."""
-    members, pairs = _classes(games)
-    a = members.where(F.col("side") == 0).select(F.col("key").alias("key_a"), F.col("row_id").alias("a"))
-    b = members.where(F.col("side") == 1).select(F.col("key").alias("key_b"), F.col("row_id").alias("b"))
-    wanted = b.join(pairs.select("key_b").distinct(), "key_b", "left_semi")
-    hot = wanted.groupBy("key_b").count().where(F.col("count") > BLOCK).select("key_b", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    hot = materialize(hot, "p1-hot")
-    salted = wanted.join(hot, "key_b", "left").select("key_b", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    spread = pairs.join(hot, "key_b", "left").select("key_a", "key_b", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-    found = spread.join(a, "key_a").join(salted, ["key_b", "block"])
+    members, pairs = _classes(games, block)
+    of = lambda side, x: members.where(F.col("side") == side).select(F.col("key").alias(f"key_{x}"), F.col("row_id").alias(x)).join(pairs.select(f"key_{x}").distinct(), f"key_{x}", "left_semi")
+    found = salted_join(salted_join(pairs.select("key_a", "key_b"), of(0, "a"), "key_a", block), of(1, "b"), "key_b", block)
     return found.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b")).distinct()
 
 
-def overlap_rows(games: DataFrame) -> DataFrame:
-    """One row per evaluation row that overlaps with training: ``row_id, by_stream, by_game`` (which rule holds) and ``n_classes``, the training classes it is linked to."""
-    members, pairs = _classes(games)
-    links = pairs.groupBy(F.col("key_b").alias("key")).agg(F.count("*").alias("n_classes"), F.bool_or(F.col("key_a") == F.col("key_b")).alias("same_key"))
+def overlap_rows(games: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per evaluation row that overlaps with training: ``row_id, by_stream, by_game`` (which rules hold) and ``n_classes``, the training classes it is linked to."""
+    members, pairs = _classes(games, block)
+    links = pairs.groupBy(F.col("key_b").alias("key")).agg(F.count("*").alias("n_classes"), F.bool_or("by_game").alias("by_game"))
     own = members.where(F.col("side") == 1).join(links, "key")
-    return own.groupBy("row_id").agg(F.sum("n_classes").alias("n_classes"))
+    return own.groupBy("row_id").agg(F.bool_or(~F.col("by_game")).alias("by_stream"), F.bool_or("by_game").alias("by_game"), F.sum("n_classes").alias("n_classes"))
 
 
 def overlap_report(games: DataFrame) -> DataFrame:
-    """Per split and host (as in ``site``, lower case; ``unknown`` without one): evaluation rows, and those also in training."""
+    """Per split and host (as in ``site``, lower case; ``unknown`` without one): evaluation rows, those also in training, and by which rule."""
     found = overlap_rows(games)
     host = F.lower(F.regexp_extract("site", r"^\s*(?i:https?://)?(?i:www\.)?([^/?#\s]+)/", 1))
     rows = games.where(F.col("split_name").isin("val", "test")).select("row_id", "split_name", F.when(host != "", host).otherwise("unknown").alias("host"))
     return (
         rows.join(found, "row_id", "left")
         .groupBy("split_name", F.coalesce("host", F.lit("unknown")).alias("host"))
-        .agg(F.count("*").alias("n_rows"), F.count("n_classes").alias("n_overlapping"), F.coalesce(F.sum("n_classes"), F.lit(0)).alias("n_links"))
+        .agg(F.count("*").alias("n_rows"), F.count("n_classes").alias("n_overlapping"), F.count_if("by_stream").alias("n_by_stream"), F.count_if("by_game").alias("n_by_game"), F.coalesce(F.sum("n_classes"), F.lit(0)).alias("n_links"))
         .withColumn("share", F.round(F.col("n_overlapping") / F.col("n_rows"), 6))
     )

@@ -22,6 +22,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "games"))
 
 
+def p1_same_game(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_rows(table(spark, d, "games")).where("by_game").select("row_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     cut = chunking.pieces(table(spark, d, "games"), long_only=True)
     return cut.where("piece_no = 0 AND n_pieces > 1").select("row_id")
@@ -78,7 +82,7 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p6_checks, p7_found, p7_scores)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_same_game, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p6_checks, p7_found, p7_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,7 +90,14 @@ def oracle_sql() -> dict[str, str]:
         SELECT token, count(*) AS n_occurrences, count(DISTINCT row_id) AS n_records,
                CASE WHEN count(DISTINCT row_id) <= 3 THEN 'rare' WHEN count(DISTINCT row_id) > 0.3 * (SELECT count(*) FROM games) THEN 'common' END AS mark
         FROM (SELECT row_id, unnest({TOKENS_SQL}) AS token FROM games WHERE tokens IS NOT NULL) GROUP BY token"""
+    game = r"""
+        SELECT row_id, split_name, lower(regexp_extract(site, '^\s*(?:[hH][tT][tT][pP][sS]?://)?(?:[wW][wW][wW]\.)?([^/?#\s]+)/([A-Za-z0-9]{8})(?:[/?#\s]|$)', 1)) AS host,
+               regexp_extract(site, '^\s*(?:[hH][tT][tT][pP][sS]?://)?(?:[wW][wW][wW]\.)?([^/?#\s]+)/([A-Za-z0-9]{8})(?:[/?#\s]|$)', 2) AS code,
+               try_strptime(regexp_replace(regexp_extract(utc_date, '^\s*(\d{4}[-./]\d{1,2}[-./]\d{1,2})(?:[T\s]|$)', 1), '[./]', '-', 'g'), '%Y-%m-%d') AS day
+        FROM games"""
     return {
+        "p1_same_game": f"""WITH g AS ({game}) SELECT row_id FROM g WHERE split_name IN ('val', 'test') AND code <> '' AND day IS NOT NULL
+            AND EXISTS (SELECT 1 FROM g t WHERE t.split_name = 'train' AND t.code = g.code AND t.host = g.host AND t.day = g.day)""",
         "p2_found": f"SELECT row_id FROM games WHERE len({TOKENS_SQL}) > 256",
         "p5_checks": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_posts, 0 AS n_torn, 0 AS n_overfull, 0 AS n_uneven FROM pack_sizes",
         "p6_checks": r"""

@@ -125,14 +125,46 @@ def test_overlap_equals_brute_force(spark):
     assert got == want
 
 
-def test_overlap_rows_and_hot_class(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "BLOCK", 3)  # a class of ten evaluation rows is joined in four blocks
+def test_overlap_rows_and_hot_class(spark):
     stream = " ".join(f"m{i}" for i in range(50))
-    rows = [(i, "train" if i % 2 else "val", stream, None, None) for i in range(20)] + [(50, "val", None, None, None)]
-    assert overlap.overlap_pairs(games(spark, rows)).count() == 100
-    assert {tuple(r) for r in overlap.overlap_rows(games(spark, rows)).collect()} == {(i, 1) for i in range(0, 20, 2)}
-    report = overlap.overlap_report(games(spark, rows)).collect()
-    assert [(r.split_name, r.host, r.n_rows, r.n_overlapping) for r in report] == [("val", "unknown", 11, 10)]
+    rows = [(i, "train" if i % 2 else "val", stream, None, None) for i in range(20)] + [(50, "val", None, None, None), (51, "val", None, "a.example/abcdEFGH", "2024.1.2"), (53, "train", None, "a.example/abcdEFGH", "2024-01-02")]
+    assert overlap.overlap_pairs(games(spark, rows), 3).count() == 101  # ten rows of a class on each side meet in blocks of three
+    assert {tuple(r) for r in overlap.overlap_rows(games(spark, rows)).collect()} == {(i, True, False, 1) for i in range(0, 20, 2)} | {(51, False, True, 1)}
+    report = {r.host: r for r in overlap.overlap_report(games(spark, rows)).collect()}
+    assert {h: (r.split_name, r.n_rows, r.n_overlapping, r.n_by_stream, r.n_by_game) for h, r in report.items()} == {"unknown": ("val", 11, 10, 10, 0), "a.example": ("val", 1, 1, 0, 1)}
+
+
+def test_hot_keys_on_both_sides(spark):
+    pick, rows = random.Random(17), []
+    base = [f"m{i}" for i in range(60)]
+    for i in range(120):  # one family: shingles, texts and members are all hot
+        s = edited(pick, base, pick.choice((0, 0, 1, 2)), base)
+        rows.append((i, pick.choice(("train", "val")), " ".join(s), None, None))
+    rows += [(1000 + i, pick.choice(("train", "test")), " ".join(base), "a.example/abcdEFGH", "2024.1.2") for i in range(40)]
+    want = brute(rows)
+    assert len(want) > 2000
+    assert {tuple(r) for r in overlap.overlap_pairs(games(spark, rows), 5).collect()} == want
+
+
+def test_training_rows_stay_pruned_as_the_data_grow(spark):
+    """Ten times the evaluation rows: the share of training rows that send anything stays small, as the set grows with them."""
+    shares = []
+    for n in (300, 3000):
+        pick = random.Random(n)
+        rows = [(i, "train" if i % 2 else "val", " ".join(f"{pick.randrange(400)}" for _ in range(60)), None, None) for i in range(n)]
+        df = overlap._sides(games(spark, rows))
+        table = spark.sparkContext.broadcast(overlap.rarity(df))
+        coded = df.select("row_id", "side", "tokens", F.lit(None).cast("binary")).mapInArrow(overlap._encode(table), "row_id long, side int, stream binary, n int, postings array<struct<h: bigint, lo: int, hi: int>>, game_day binary")
+        by = {r.side: r.sent for r in coded.groupBy("side").agg(F.avg((F.size("postings") > 0).cast("int")).alias("sent")).collect()}
+        assert by[1] == 1
+        shares.append(by[0])
+    assert max(shares) < 0.05
+
+
+def test_a_full_set_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "MAX_BITS", 3)
+    rows = overlap_rows(5)
+    assert {tuple(r) for r in overlap.overlap_pairs(games(spark, rows)).collect()} == brute(rows)
 
 
 def test_overlap_with_an_id_used_twice(spark):
