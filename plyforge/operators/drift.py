@@ -8,6 +8,8 @@ the tag. A profile per version (feed, shard) and key keeps *all* types met, next
 * Values are split into typed branches (text, whole number, decimal number, list, object), and each branch has its own
   conversion to the canonical value. Number codes are read in the coding of their version (see ``coding``).
 * Changes between a version and the one before it come from an equi-join on (feed, shard - 1), not from a window over a feed.
+* ``changes`` reports the key and type that most records of a version carry; ``alternatives`` reports *every* (key, type) of a field that appears
+  in a version and was not in the one before, also beside others.
 
 Defined results: null, broken and non-object payloads are unreadable: they carry no key, and their row stays in the unified
 table with ``readable`` false; a repeated key in one object makes the record unreadable; a shard without any readable record
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.operators.skew import salted_join
 from plyforge.sources.tables import materialize
 
 #: Names under which a field is known to travel; more are found from their values.
@@ -170,11 +173,34 @@ def changes(rows: DataFrame) -> DataFrame:
     return both.select("feed", "shard_no", "field_name", F.explode(kinds).alias("change_kind"), "key_before", "key", "kind_before", "kind")
 
 
+def alternatives(rows: DataFrame) -> DataFrame:
+    """``feed, shard_no, field_name, path, type, n, beside_another``: keys and types of a field that the shard before did not have, with their records, and whether the shard has others too."""
+    found = materialize(profile(rows), "p3-profile")
+    kinds = found.where("kind <> 'null'").join(key_fields(found), "key").groupBy("feed", "shard_no", "field_name", F.col("key").alias("path"), F.col("kind").alias("type")).agg(F.sum("n").alias("n"))
+    others = kinds.groupBy("feed", "shard_no", "field_name").agg(F.count("*").alias("n_alternatives"))
+    shards = rows.select("feed", (F.col("shard_no") + 1).alias("shard_no")).distinct()  # those with a shard before
+    before = kinds.select("feed", (F.col("shard_no") + 1).alias("shard_no"), "field_name", "path", "type")
+    new = kinds.join(shards, ["feed", "shard_no"], "left_semi").join(before, ["feed", "shard_no", "field_name", "path", "type"], "left_anti")
+    return new.join(others, ["feed", "shard_no", "field_name"]).select("feed", "shard_no", "field_name", "path", "type", "n", (F.col("n_alternatives") > 1).alias("beside_another"))
+
+
+def readability(rows: DataFrame) -> DataFrame:
+    """Per shard: records, readable ones, and those with a site."""
+    v = F.col("v")
+    return records(rows).groupBy("feed", "shard_no").agg(F.count("*").alias("n_rows"), F.count(v).alias("n_readable"), F.count(_get(v, "$.site", "string")).alias("n_sites"))
+
+
 def unified(rows: DataFrame) -> DataFrame:
     """All records in one schema: the stable fields, canonical ``result`` and ``termination``, and for both the tag and the typed branches."""
     found = materialize(profile(rows), "p3-profile")
     state = carried(found).groupBy("feed", "shard_no").pivot("field_name", list(NAMES)).agg(F.first(F.struct("key", "code", "base")))
-    read = records(rows).join(state, ["feed", "shard_no"], "left")
+    # one row per shard, also where it carries neither field; written, so that its true size decides whether it is broadcast
+    version = F.struct("feed", "shard_no").alias("_version")
+    shards = rows.groupBy("feed", "shard_no").agg(F.count("*").alias("_rows"))
+    state = materialize(shards.join(state, ["feed", "shard_no"], "left").select(version, *NAMES), "p3-state")
+    # rows without a feed or number belong to no shard and are kept
+    own = records(rows).withColumn("_version", F.struct("feed", "shard_no"))
+    read = salted_join(own, state, "_version").drop("_version")
     v = F.col("v")
     out = {"rec_id": F.col("rec_id"), "feed": F.col("feed"), "shard_no": F.col("shard_no"), "written_at": F.col("written_at"), "readable": v.isNotNull()}
     for name, kind in (("site", "string"), ("utc_date", "string"), ("white_elo", "int"), ("black_elo", "int"), ("time_control", "string"), ("n_plies", "int"), ("movetext_result", "string")):

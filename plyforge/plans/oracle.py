@@ -5,14 +5,18 @@ from __future__ import annotations
 
 from plyforge.functions.fen import ERRORS
 from plyforge.operators import vocab as V
-from plyforge.operators.drift import NAMES
 from plyforge.plans.queries import BATCH, BLOCK, DROPOUT, FEN_SQL, FILTERS, MIN_P, MONTHS, SEED, TEMPERATURE, TOP_P, U, VAL_SHARE
 
 SQL: dict[str, str] = {}
 
 # Problem 3
 
-_FIELD = "CASE " + " ".join(f"WHEN key IN ({', '.join(map(repr, names))}) THEN '{field}'" for field, names in NAMES.items()) + " END"
+#: The names in this project's data, written down apart from the operator's.
+_NAMES = {
+    "result": ("result", "Result", "gameResult", "game_result", "outcome", "res", "final_score", "score"),
+    "termination": ("termination", "Termination", "terminationType", "how_ended", "ended_by", "end_reason", "finish", "term"),
+}
+_FIELD = "CASE " + " ".join(f"WHEN key IN ({', '.join(map(repr, names))}) THEN '{field}'" for field, names in _NAMES.items()) + " END"
 _KIND = """CASE json_type(payload, '$."' || key || '"') WHEN 'VARCHAR' THEN 'text' WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole'
     WHEN 'HUGEINT' THEN 'whole' WHEN 'DOUBLE' THEN 'decimal' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'BOOLEAN' THEN 'bool' ELSE 'null' END"""
 _PAIRS = f"""SELECT feed, shard_no, key, {_KIND} AS kind FROM (
@@ -30,6 +34,14 @@ SQL["p3_found"] = f"""
     UNION ALL SELECT feed, shard_no, field_name, 'renamed' FROM both_ WHERE key_before <> key
     UNION ALL SELECT feed, shard_no, field_name, 'retyped' FROM both_ WHERE key_before IS NOT NULL AND key IS NOT NULL AND kind_before <> kind"""
 
+SQL["p3_alternatives"] = f"""
+    WITH kinds AS (SELECT feed, shard_no, {_FIELD} AS field_name, key AS path, kind AS type, count(*) AS n FROM ({_PAIRS}) WHERE {_FIELD} IS NOT NULL AND kind <> 'null' GROUP BY ALL)
+    SELECT feed, shard_no, field_name, path, type, n, EXISTS (SELECT 1 FROM kinds o WHERE o.feed = k.feed AND o.shard_no = k.shard_no AND o.field_name = k.field_name AND (o.path <> k.path OR o.type <> k.type)) AS beside_another
+    FROM kinds k WHERE EXISTS (SELECT 1 FROM shard_rows p WHERE p.feed = k.feed AND p.shard_no = k.shard_no - 1)
+    AND NOT EXISTS (SELECT 1 FROM kinds b WHERE b.feed = k.feed AND b.shard_no = k.shard_no - 1 AND b.field_name = k.field_name AND b.path = k.path AND b.type = k.type)"""
+SQL["p3_readable"] = """SELECT feed, shard_no, count(*) AS n_rows, count(*) FILTER (CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END) AS n_readable,
+    count(CASE WHEN json_valid(payload) THEN TRY_CAST(json_extract_string(payload, '$.site') AS VARCHAR) END) AS n_sites FROM shard_rows GROUP BY ALL"""
+
 # Stage 1
 
 _EVAL = r"\[%eval\s+(#?-?\d+(?:\.\d+)?)\]"
@@ -266,6 +278,23 @@ SQL["fen_dead"] = f"""WITH {_FEN}, cells AS (SELECT fen, unnest(string_split(rep
 SQL["square_maths"] = f"WITH {_VOCAB} SELECT word AS token, (8 - CAST(word[2] AS INT)) * 8 + ascii(word) - 97 AS index, CASE WHEN (ascii(word) - 97 + CAST(word[2] AS INT) - 1) % 2 = 0 THEN 'dark' ELSE 'light' END AS colour FROM vocab WHERE regexp_full_match(word, '[a-h][1-8]')"
 SQL["pgn_roundtrip"] = f"WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_moves FROM plies GROUP BY 1) SELECT r.raw_id, r.site, coalesce(n.n_moves, 0) AS n_moves, coalesce(r.result, '*') AS result FROM raw_games r LEFT JOIN n USING (raw_id)"
 
+# Sinks and sources: what was written comes back
+
+SQL["shard_order"] = "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM games"
+SQL["shard_sizes"] = "SELECT count(*) AS n_rows, true AS bounded FROM games"
+SQL["evolving_shards"] = "SELECT row_id, CASE WHEN row_id % 2 <> 0 THEN result END AS result, CASE WHEN row_id % 2 <> 0 THEN termination END AS termination, n_plies FROM games"
+SQL["month_scan"] = f"""SELECT raw_id, site, substr(ym, 1, 4) AS year, substr(ym, 6, 2) AS month FROM (SELECT raw_id, site, replace(substr(coalesce(utcdate, ''), 1, 7), '.', '-') AS ym FROM raw_games) WHERE ym IN ({_in(MONTHS)})"""
+SQL["token_frequency_json"] = SQL["token_frequency"]
+SQL["stage1_stats_json"] = f"SELECT games, plies, tokens, distinct_tokens AS vocab_size, parse_errors AS san_parse_errors, disagreement_plies AS glyph_vs_computed_disagreement_plies FROM ({SQL['stage1_stats']})"
+SQL["pack_stats_json"] = f"""SELECT *, 'frac:{VAL_SHARE}' AS split, 0.0 AS elo_dropout, 5273 AS vocab_size,
+    (WITH {_ENC}, bad_ AS (SELECT token, count(DISTINCT row_id) AS n FROM ids WHERE token_id IS NULL AND row_id IN (SELECT row_id FROM games WHERE {_FILTER}) GROUP BY 1 ORDER BY n DESC, token LIMIT 20)
+     SELECT coalesce(string_agg(token || ':' || n, ' ' ORDER BY n DESC, token), '') FROM bad_) AS unknown_token_top
+    FROM ({SQL['pack_stats']})"""
+SQL["corpus_metadata"] = f"""WITH {_VOCAB} SELECT name, value FROM (VALUES ('core_count', 5242), ('n_elo_tokens', 13)) AS t(name, value)
+    UNION ALL SELECT unnest(['vocab_size', 'n_stoi', 'n_itos']), count(*) FROM vocab
+    UNION ALL SELECT CASE word WHEN '<bos>' THEN 'bos_id' WHEN '<eos>' THEN 'eos_id' WHEN '<elo-any>' THEN 'elo_any_id' WHEN '<white-resign>' THEN 'white_resign_id' WHEN '<black-resign>' THEN 'black_resign_id'
+        WHEN '<white-flag>' THEN 'white_flag_id' WHEN '<black-flag>' THEN 'black_flag_id' WHEN '<draw>' THEN 'draw_id' END AS name, token_id FROM vocab WHERE word IN ('<bos>', '<eos>', '<elo-any>', '<white-resign>', '<black-resign>', '<white-flag>', '<black-flag>', '<draw>')"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

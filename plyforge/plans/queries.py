@@ -14,8 +14,9 @@ from plyforge.functions import movetext as M
 from plyforge.functions.streams import tokens_of
 from plyforge.operators import buckets, decode, drift, encode, rules, segments, shaping, stage1
 from plyforge.operators import vocab as V
-from plyforge.sources import binary, pgn, synthetic
-from plyforge.sources.tables import materialize, shared_dir, spread, table
+from plyforge.operators.ranking import ordered_offset
+from plyforge.sources import binary, pgn, reports, synthetic
+from plyforge.sources.tables import materialize, months, shards, shared_dir, spread, table, write_shards
 from plyforge.streaming import stage1 as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,16 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return drift.profile(table(spark, d, "shard_rows")).select("feed", "shard_no", "key", "kind", "n")
 
 
+@query
+def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    return drift.alternatives(table(spark, d, "shard_rows"))
+
+
+@query
+def p3_readable(spark: SparkSession, d: str) -> DataFrame:
+    return drift.readability(table(spark, d, "shard_rows"))
+
+
 # Stage 1
 
 
@@ -596,10 +607,86 @@ def synthetic_games(spark: SparkSession, d: str) -> DataFrame:
     return stage1.tokenised(made, 0, 0).select("raw_id", "n_plies", "n_disagreements")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def shard_order(spark: SparkSession, d: str) -> DataFrame:
-    """Rows numbered in the order of file and place in the file."""
-    return table(spark, d, "games").select("row_id", F.col("_metadata.row_index").alias("row_index"))
+    """Games in shards of at most 500 rows, compressed with zstd, read back by a pattern and numbered in the order of file and place in the file."""
+    path = _folder(spark, "shards")
+    games = table(spark, d, "games").select("row_id", "site")
+    write_shards(games.repartitionByRange(4, "row_id").sortWithinPartitions("row_id"), path, 500)
+    read = shards(spark, f"{path}/part-*.zstd.parquet").withColumn("one", F.lit(1))
+    return ordered_offset(read, [], ["file_path", "row_index"], "one", "position").select("row_id", "position")
+
+
+@query
+def shard_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Shards never hold more rows than asked for, and together hold all."""
+    path = _folder(spark, "shards")
+    write_shards(table(spark, d, "games").select("row_id"), path, 500)
+    per = shards(spark, path).groupBy("file_path").agg(F.count("*").alias("n"))
+    return per.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 500).alias("bounded"))
+
+
+@query
+def evolving_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Old shards without result and termination beside new ones."""
+    path = _folder(spark, "shards")
+    games = table(spark, d, "games").select("row_id", "result", "termination", "n_plies")
+    old = F.col("row_id") % 2 == 0
+    write_shards(games.where(old).drop("result", "termination"), f"{path}/old")
+    write_shards(games.where(~old), f"{path}/new")
+    return shards(spark, f"{path}/old", f"{path}/new").select("row_id", "result", "termination", "n_plies")
+
+
+@query
+def month_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Raw games laid out by year and month; only the folders of the months asked for are read."""
+    path = _folder(spark, "months")
+    raw = table(spark, d, "raw_games").withColumn("ym", M.year_month(F.col("utcdate"))).where(F.col("ym").rlike("^[0-9]{4}-[0-9]{2}$"))
+    raw.select("raw_id", "site", F.substring("ym", 1, 4).alias("year"), F.substring("ym", 6, 2).alias("month")).write.partitionBy("year", "month").parquet(path)
+    there = {f"{r['year']}-{r['month']}" for r in months(spark, path).select("year", "month").distinct().collect()}  # one row a month
+    wanted = tuple(m for m in MONTHS if m in there)
+    return months(spark, path, wanted).select("raw_id", "site", "year", "month") if wanted else months(spark, path).where("false").select("raw_id", "site", "year", "month")
+
+
+@query
+def token_frequency_json(spark: SparkSession, d: str) -> DataFrame:
+    """The token counts as a JSON object, written and read back in its order."""
+    path = _folder(spark, "report") + "/vocab.json"
+    reports.write_token_frequency(stage1.token_frequency(table(spark, d, "games")), path)
+    found = spark.read.text(path).select(F.regexp_extract("value", r'^ "(.*)": (\d+),?$', 1).alias("token"), F.regexp_extract("value", r'^ "(.*)": (\d+),?$', 2).alias("n"))
+    return found.where("n <> ''").select(F.regexp_replace("token", r'\\(["\\\\])', "$1").alias("token"), F.col("n").cast("long").alias("n"))
+
+
+@query
+def stage1_stats_json(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "report") + "/stats.json"
+    reports.write_stage1_stats(spread(table(spark, d, "raw_games")), path)
+    return spark.read.json(path, multiLine=True).drop("elapsed_sec")
+
+
+@query
+def pack_stats_json(spark: SparkSession, d: str) -> DataFrame:
+    """The Stage-2 report with its settings, written and read back; the most frequent unknown tokens as text."""
+    path = _folder(spark, "report") + "/pack_stats.json"
+    reports.write_stage2_stats(table(spark, d, "games"), path, **FILTERS, fraction=VAL_SHARE)
+    found = reports.read_json(spark, path)
+    row = {k: v for k, v in found.items() if k not in ("elapsed_sec", "unknown_token_top", "shards")}
+    row["unknown_token_top"] = " ".join(f"{t}:{n}" for t, n in found["unknown_token_top"].items())
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'string' if isinstance(v, str) else 'long'}" for k, v in row.items()))
+
+
+@query
+def corpus_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata of a corpus, written, read back and validated: its scalars and sizes."""
+    path = _folder(spark, "corpus") + "/meta.json"
+    reports.write_metadata(spark, path)
+    meta = reports.read_metadata(spark, path)
+    rows = [(k, v) for k, v in meta.items() if isinstance(v, int)] + [(f"n_{k}", len(meta[k])) for k in ("stoi", "itos", "elo_tokens")]
+    return spark.createDataFrame(rows, "name string, value long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,18 +1,18 @@
 """The flat corpus format: per partition a file of little-endian 16-bit ids and a file of 64-bit game starts with the total at the end.
 
-A Python data source, ``token_bin``, for a folder that every node mounts: writing takes ``split string, row_id bigint, start bigint, ids array<int>``; every task writes its
+A Python data source, ``token_bin``, for any file system that Arrow knows (local or mounted folders, HDFS, object stores): writing takes ``split string, row_id bigint, start bigint, ids array<int>``; every task writes its
 own pair of files, and a file name appears only when the job commits. Reading gives the games back, one task per file.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -21,8 +21,11 @@ SCHEMA = "split string, part string, game int, ids array<int>"
 CHUNK = 1000
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 @dataclass
@@ -35,13 +38,14 @@ class _Writer(DataSourceWriter):
         self.path = path
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
+        system, root = _open(self.path)
+        system.create_dir(root, recursive=True)
         name, files, starts = uuid.uuid4().hex, {}, {}
         try:
             for row in rows:
                 s = row["split"]
                 if s not in files:
-                    files[s] = open(os.path.join(self.path, f".{s}-{name}.bin"), "wb")
+                    files[s] = system.open_output_stream(f"{root}/.{s}-{name}.bin")
                     starts[s] = [0]
                 ids = np.asarray(row["ids"], "<u2")
                 files[s].write(ids.tobytes())
@@ -50,19 +54,22 @@ class _Writer(DataSourceWriter):
             for f in files.values():
                 f.close()
         for s, at in starts.items():
-            np.asarray(at, "<u8").tofile(os.path.join(self.path, f".{s}-{name}.idx"))
-        return _Written([f.name for f in files.values()] + [os.path.join(self.path, f".{s}-{name}.idx") for s in starts])
+            with system.open_output_stream(f"{root}/.{s}-{name}.idx") as f:
+                f.write(np.asarray(at, "<u8").tobytes())
+        return _Written([f"{root}/.{s}-{name}.{kind}" for s in starts for kind in ("bin", "idx")])
 
     def commit(self, messages) -> None:
+        system, root = _open(self.path)
         for m in messages:
             for t in m.temporary if m else []:
-                os.replace(t, os.path.join(os.path.dirname(t), os.path.basename(t)[1:]))
+                system.move(t, f"{root}/{t.rpartition('/')[2][1:]}")
 
     def abort(self, messages) -> None:
+        system, _ = _open(self.path)
         for m in messages:
             for t in m.temporary if m else []:
-                if os.path.exists(t):
-                    os.remove(t)
+                if system.get_file_info(t).type == fs.FileType.File:
+                    system.delete_file(t)
 
 
 class _Reader(DataSourceReader):
@@ -70,23 +77,31 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [InputPartition(f) for f in sorted(os.listdir(self.path)) if f.endswith(".bin") and not f.startswith(".")]
+        system, root = _open(self.path)
+        names = [i.base_name for i in system.get_file_info(fs.FileSelector(root))]
+        return [InputPartition(n) for n in sorted(names) if n.endswith(".bin") and not n.startswith(".")]
 
     def read(self, partition):
         if partition is None or partition.value is None:
             return
+        system, root = _open(self.path)
         name = partition.value
-        data = np.memmap(os.path.join(self.path, name), "<u2", "r")
-        index = os.path.join(self.path, name[:-4] + ".idx")
-        at = np.fromfile(index, "<u8").astype(np.int64) if os.path.exists(index) else None
-        if at is None or not valid(at, len(data)):
-            at = scan(data)
-        for a in range(0, len(at) - 1, CHUNK):
-            b = min(a + CHUNK, len(at) - 1)
-            ids = pa.array(np.asarray(data[at[a] : at[b]], np.int32))
-            lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), ids)
-            n = b - a
-            yield pa.RecordBatch.from_arrays([pa.array([name.split("-")[0]] * n), pa.array([name] * n), pa.array(np.arange(a, b, dtype=np.int32)), lists], ["split", "part", "game", "ids"])
+        total = system.get_file_info(f"{root}/{name}").size // 2
+        index = f"{root}/{name[:-4]}.idx"
+        at = None
+        if system.get_file_info(index).type == fs.FileType.File:
+            with system.open_input_stream(index) as f:
+                at = np.frombuffer(f.read(), "<u8").astype(np.int64)
+        with system.open_input_file(f"{root}/{name}") as f:
+            part = lambda a, b: np.frombuffer(f.read_at(2 * (b - a), 2 * a), "<u2")
+            if at is None or not valid(at, total):
+                at = scan(part, total)
+            for a in range(0, len(at) - 1, CHUNK):
+                b = min(a + CHUNK, len(at) - 1)
+                ids = pa.array(part(int(at[a]), int(at[b])).astype(np.int32))
+                lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), ids)
+                n = b - a
+                yield pa.RecordBatch.from_arrays([pa.array([name.split("-")[0]] * n), pa.array([name] * n), pa.array(np.arange(a, b, dtype=np.int32)), lists], ["split", "part", "game", "ids"])
 
 
 def valid(starts: np.ndarray, total: int) -> bool:
@@ -94,14 +109,14 @@ def valid(starts: np.ndarray, total: int) -> bool:
     return len(starts) >= 2 and starts[0] == 0 and starts[-1] == total and bool((np.diff(starts) > 0).all())
 
 
-def scan(data: np.ndarray, chunk: int = 1 << 24) -> np.ndarray:
-    """Game starts found by the start token, in chunks, with the total at the end; an error if the data do not begin with one."""
+def scan(part, total: int, chunk: int = 1 << 24) -> np.ndarray:
+    """Game starts found by the start token, in chunks, with the total at the end; ``part(a, b)`` gives the tokens from ``a`` to ``b``. An error if the data do not begin with a start token."""
     from plyforge.operators.vocab import BOS, ids
 
     bos = ids()[BOS]
-    found = [np.flatnonzero(np.asarray(data[i : i + chunk]) == bos) + i for i in range(0, len(data), chunk)]
-    at = np.concatenate([*found, [len(data)]]).astype(np.int64)
-    if not valid(at, len(data)):
+    found = [np.flatnonzero(part(i, min(i + chunk, total)) == bos) + i for i in range(0, total, chunk)]
+    at = np.concatenate([*found, [total]]).astype(np.int64)
+    if not valid(at, total):
         raise ValueError("no game starts: empty data, or data that do not begin with a start token")
     return at
 
@@ -115,10 +130,10 @@ class TokenBin(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(_local(self.options["path"]))
+        return _Reader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(_local(self.options["path"]))
+        return _Writer(self.options["path"])
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:

@@ -277,7 +277,7 @@ def test_corpus_files(spark, tmp_path):
         f.write_bytes(b"")  # a broken index is found again by a scan
     assert sorted((r.split, r.ids) for r in binary.read_corpus(spark, str(tmp_path / "c")).collect()) == back
     with pytest.raises(ValueError):
-        binary.scan(np.array([1, 2], np.uint16))
+        binary.scan(lambda a, b: np.array([1, 2], np.uint16)[a:b], 2)
 
 
 @pytest.mark.parametrize("make", ["running", "ordered"])
@@ -373,3 +373,62 @@ def test_salted_join(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(spread) > 1 and sum(spread) == 1500
     assert salted_join(da.limit(0), db, "k", 1).count() == 0
+
+
+def test_ordered_offset_crosses_partitions_and_null_groups(spark):
+    rows = [(("a", None, "b")[i % 3], i, i % 7) for i in range(500)]
+    out = ordered_offset(spark.createDataFrame(rows, "g string, k int, w int"), ["g"], ["k"], "w").collect()
+    run = {}
+    for g, k, w in rows:
+        assert {r.offset for r in out if r.k == k} == {run.get(g, 0)}
+        run[g] = run.get(g, 0) + w
+
+
+def test_metadata_is_validated(spark, tmp_path):
+    import json
+
+    from plyforge.sources import reports
+
+    path = f"file://{tmp_path}/meta.json"
+    reports.write_metadata(spark, path)
+    assert reports.read_metadata(spark, path)["vocab_size"] == 5273
+    for change, error in (({"core_count": None}, KeyError), ({"core_count": 5241}, ValueError), ({"vocab_size": 3}, ValueError)):
+        meta = reports.metadata() | change
+        if meta["core_count"] is None:
+            del meta["core_count"]
+        reports.write_text(spark, path, [json.dumps(meta)])
+        with pytest.raises(error):
+            reports.read_metadata(spark, path)
+
+
+def test_alternatives_beside_each_other(spark):
+    from plyforge.operators import drift
+
+    payloads = [
+        (1, '{"result": "1-0"}'), (1, '{"result": "0-1"}'), (2, '{"result": "1-0"}'), (2, '{"result": 1}'), (2, '{"result": [0.5, 0.5]}'),
+        (3, '{"outcome": "0-1"}'), (3, '{"result": "1-0"}'), (3, "broken"), (3, '{"result": null}'),
+    ]
+    rows = spark.createDataFrame([(i, "f", n, None, p) for i, (n, p) in enumerate(payloads)], "rec_id long, feed string, shard_no int, written_at timestamp_ntz, payload string")
+    found = {tuple(r) for r in drift.alternatives(rows).collect()}
+    assert found == {("f", 2, "result", "result", "whole", 1, True), ("f", 2, "result", "result", "list", 1, True), ("f", 3, "result", "outcome", "text", 1, True)}
+    table = {r.rec_id: r for r in drift.unified(rows).collect()}
+    assert len(table) == len(payloads) and table[7].readable is False and table[4].result == "1/2-1/2" and table[4].result_kind == "list"
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from plyforge.sources.tables import shared_dir
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        shared_dir(cluster)
+
+
+def test_months_read_only_their_folders(spark, tmp_path):
+    from plyforge.sources.tables import months
+
+    root = f"file://{tmp_path}/m"
+    spark.createDataFrame([(i, f"{2020 + i % 3}", f"{1 + i % 12:02d}") for i in range(72)], "k int, year string, month string").write.partitionBy("year", "month").parquet(root)
+    read = months(spark, root, ("2020-01", "2021-02"))
+    assert {(r.year, r.month) for r in read.collect()} == {("2020", "01"), ("2021", "02")} and len(read.inputFiles()) == len([f for f in months(spark, root).inputFiles() if "2020/month=01" in f or "2021/month=02" in f])
