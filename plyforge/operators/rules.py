@@ -5,6 +5,7 @@ A position is exchanged as FEN; the state machine runs in Arrow batches. Squares
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -57,6 +58,9 @@ _PAWN_HITS = {side: _rays(((-1, d), (1, d)), False) for side, d in (("w", 1), ("
 _RIGHTS = {0: "Q", 7: "K", 4: "KQ", 56: "q", 63: "k", 60: "kq"}
 
 
+_SAN = re.compile(r"([PNBRQK]?)([a-h]?)([1-8]?)([x-]?)([a-h][1-8])([qrbnQRBN]?)")
+
+
 class Move(NamedTuple):
     start: int
     end: int
@@ -209,6 +213,10 @@ class Board:
         b.turn = "b" if self.turn == "w" else "w"
         return b
 
+    def movable(self) -> bool:
+        """Whether there is a legal move."""
+        return any(not self.after(m).in_check(self.turn) for m in self._candidates())
+
     def legal(self) -> list[Move]:
         return [m for m in self._candidates() if not self.after(m).in_check(self.turn)]
 
@@ -219,68 +227,77 @@ class Board:
         else:
             kind = self.squares[m.start].upper()
             takes = "x" if "c" in m.flag or m.flag == "e" else ""
-            if kind == "P":
-                text = (_name(m.start)[0] if takes else "") + takes + _name(m.end) + (f"={m.promotion.upper()}" if m.promotion else "")
-            else:
-                rivals = [o.start for o in (legal or self.legal()) if o.end == m.end and o.start != m.start and self.squares[o.start] == self.squares[m.start]]
-                f, r = _name(m.start)
-                if not rivals:
-                    own = ""
-                elif all(_name(o)[0] != f for o in rivals):
-                    own = f
-                elif all(_name(o)[1] != r for o in rivals):
-                    own = r
-                else:
-                    own = f + r
-                text = kind + own + takes + _name(m.end)
+            own = "".join(self._named(m, legal or self.legal()))
+            text = ("" if kind == "P" else kind) + own + takes + _name(m.end) + (f"={m.promotion.upper()}" if m.promotion else "")
         if after.in_check():
-            text += "+" if after.legal() else "#"
+            text += "+" if after.movable() else "#"
         return text
 
     def read(self, text: str, strict: bool = False) -> Move | None:
-        """The legal move a SAN names; unless strict also ``0-0``, ``Pe2-e4``, ``f7f8q``, a missing ``x`` and more squares than needed."""
-        legal = self.legal()
+        """The legal move a SAN names; unless strict also ``0-0``, ``Pe2-e4``, ``f7f8q``, a missing ``x`` and more squares than needed.
+
+        Only moves of the piece to the square that the text names are tested for legality; none is rendered.
+        """
         bare = re.sub(r"[+#]?[?!]*$", "", text.replace("=", ""))
         if not strict:
             bare = bare.replace("0-0-0", "O-O-O").replace("0-0", "O-O")
         castle = {"O-O": "k", "O-O-O": "q"}.get(bare)
         if castle:
-            return next((m for m in legal if m.flag == castle), None)
-        for m in legal:
-            if re.sub(r"[+#]$", "", self.san(m, legal)).replace("=", "") == bare:
-                return m
-        if strict:
-            return None
-        p = re.fullmatch(r"([PNBRQK]?)([a-h]?)([1-8]?)[x-]?([a-h][1-8])([qrbnQRBN]?)", bare)
+            return next((m for m in self._candidates() if m.flag == castle and not self.after(m).in_check(self.turn)), None)
+        p = _SAN.fullmatch(bare)
         if not p:
             return None
-        kind, f, r, to, promotion = p.groups()
-        found = [
-            m for m in legal
-            if _name(m.end) == to and f in _name(m.start)[0] and r in _name(m.start)[1] and (m.promotion == promotion.lower())
-            and self.squares[m.start].upper() == (kind or ("P" if not (f and r) else self.squares[m.start].upper()))
-        ]
+        kind, f, r, sign, to, promotion = p.groups()
+        end = _square(to)
+        of = lambda kinds: [m for m in self._candidates() if m.end == end and not (strict and m.flag in "kq") and self.squares[m.start].upper() in kinds]
+        legal = [m for m in of(kind or "P") if not self.after(m).in_check(self.turn)]
+        named = lambda m: (not f or m.start & 7 == ord(f) - 97) and (not r or m.start >> 3 == int(r) - 1)
+        found = [m for m in legal if named(m) and m.promotion == promotion.lower()]
+        if found:
+            takes = "c" in found[0].flag or found[0].flag == "e"
+            exact = len(found) == 1 and kind != "P" and sign != "-" and takes == (sign == "x") and (promotion.isupper() or not promotion) and (f, r) == self._named(found[0], legal)
+            if exact or not strict:
+                return found[0] if len(found) == 1 else None
+        if strict or kind or not (f and r):
+            return None
+        found = [m for m in of("NBRQK") if named(m) and m.promotion == promotion.lower() and not self.after(m).in_check(self.turn)]  # both squares, without a piece
         return found[0] if len(found) == 1 else None
 
+    def _named(self, m: Move, legal: list[Move]) -> tuple[str, str]:
+        """File and rank that the SAN of a move names: none, what tells it from its rivals, or for a pawn the file if it takes."""
+        f, r = _name(m.start)
+        if self.squares[m.start] in "pP":
+            return (f if "c" in m.flag or m.flag == "e" else ""), ""
+        rivals = [_name(o.start) for o in legal if o.end == m.end and o.start != m.start and self.squares[o.start] == self.squares[m.start]]
+        if not rivals:
+            return "", ""
+        if all(o[0] != f for o in rivals):
+            return f, ""
+        return ("", r) if all(o[1] != r for o in rivals) else (f, r)
+
     def fen(self) -> str:
         rows = []
         for r in range(7, -1, -1):
             text = "".join(c or "." for c in self.squares[r * 8 : r * 8 + 8])
             rows.append(re.sub(r"\.+", lambda m: str(len(m[0])), text))
-        ep = self.ep is not None and any(m.flag == "e" for m in self.legal())  # named only if the capture is legal
+        ep = self.ep is not None and any(m.flag == "e" and not self.after(m).in_check(self.turn) for m in self._candidates())  # named only if the capture is legal
         return " ".join(["/".join(rows), self.turn, self.rights or "-", _name(self.ep) if ep else "-", str(self.half), str(self.full)])
 
     def key(self) -> str:
         """What makes a repeated position: all but the counters."""
         return self.fen().rsplit(" ", 2)[0]
 
+    def hash(self) -> int:
+        """64 bits of the key, signed."""
+        return int.from_bytes(hashlib.blake2b(self.key().encode(), digest_size=8).digest(), "big", signed=True)
+
     def dead(self) -> bool:
         pieces = [(c.lower(), (i + i // 8) % 2) for i, c in enumerate(self.squares) if c]
         minor = [p for p in pieces if p[0] != "k"]
         return not minor or (len(minor) == 1 and minor[0][0] in "bn") or (all(k == "b" for k, _ in minor) and len({x for _, x in minor}) == 1)
 
     def status(self) -> dict[str, bool]:
-        check, moves = self.in_check(), bool(self.legal())
+        check, moves = self.in_check(), self.movable()
         out = {"check": check, "checkmate": check and not moves, "stalemate": not check and not moves, "insufficient_material": self.dead(), "fifty_moves": self.half >= 100}
         return out | {"draw": out["stalemate"] or out["insufficient_material"] or out["fifty_moves"]}
 
@@ -331,30 +348,51 @@ def status(df: DataFrame, key: str = "id", fen: str = "fen") -> DataFrame:
     return even(rows).mapInArrow(_statuses, f"key {kind}, check boolean, checkmate boolean, stalemate boolean, insufficient_material boolean, fifty_moves boolean, draw boolean").withColumnRenamed("key", key)
 
 
+def _followed(sans: list[str] | None) -> Iterator[tuple[int, str, Board, int]]:
+    """Ply, SAN, position after it and how often that has been there, up to the first move that is not legal; ply 0 is the start."""
+    b = Board()
+    seen = {b.key(): 1}
+    yield 0, "", b, 1
+    for i, san in enumerate(sans or [], 1):
+        m = b.read(san)
+        if m is None:
+            return
+        b = b.after(m)
+        k = b.key()
+        seen[k] = seen.get(k, 0) + 1
+        yield i, san, b, seen[k]
+
+
 def _replays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for key, sans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            b, seen = Board(), {}
-            seen[b.key()] = most = 1
-            legal = 0
-            for san in sans or []:
-                m = b.read(san)
-                if m is None:
-                    break
-                b = b.after(m)
-                legal += 1
-                k = b.key()
-                seen[k] = seen.get(k, 0) + 1
-                most = max(most, seen[k])
+            legal = most = 0
+            for legal, _, b, times in _followed(sans):  # noqa: B007
+                most = max(most, times)
             rows.append((key, len(sans or []), legal, b.fen(), most))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.int32()])], ["key", "n_moves", "n_legal", "last_fen", "most_repeated"])
 
 
+def _ply_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "ply", "san", "fen", "half_moves", "times", "position_hash"]
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+    for batch in batches:
+        rows = [(key, i, san, b.fen(), b.half, times, b.hash()) for key, sans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, san, b, times in _followed(sans) if i]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, [batch.schema.field(0).type, *kinds])], names)
+
+
+def replay_plies(df: DataFrame, key: str, sans: str) -> DataFrame:
+    """One row per legal ply: the position after it, its half-move clock, how often the game has had it, and what these decide: ``threefold`` and ``fifty_moves``; ``position_hash`` is 64 bits of the position without its counters."""
+    rows = df.select(F.col(key).alias("key"), F.col(sans).alias("sans"))
+    out = even(rows).mapInArrow(_ply_rows, f"key {rows.schema['key'].dataType.simpleString()}, ply int, san string, fen string, half_moves int, times int, position_hash long")
+    return out.withColumns({"threefold": F.col("times") >= 3, "fifty_moves": F.col("half_moves") >= 100}).withColumnRenamed("key", key)
+
+
 def replay(df: DataFrame, key: str, sans: str) -> DataFrame:
     """Follow each game on a board: how many of its moves are legal before the first that is not, the last position, and how often one came back."""
     rows = df.select(F.col(key).alias("key"), F.col(sans).alias("sans"))
-    return rows.mapInArrow(_replays, f"key {rows.schema['key'].dataType.simpleString()}, n_moves int, n_legal int, last_fen string, most_repeated int").withColumnRenamed("key", key)
+    return even(rows).mapInArrow(_replays, f"key {rows.schema['key'].dataType.simpleString()}, n_moves int, n_legal int, last_fen string, most_repeated int").withColumnRenamed("key", key)
 
 
 def position_after(df: DataFrame, key: str, sans: str, ply: int) -> DataFrame:
@@ -368,6 +406,26 @@ def move_kinds(moves: DataFrame) -> DataFrame:
     return moves.withColumns({"is_capture": has("c") | has("e"), "is_promotion": has("p"), "is_en_passant": has("e"), "is_short_castle": has("k"), "is_long_castle": has("q"), "is_double_step": has("b")})
 
 
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[list[bool]] = [[], [], [], []]
+        at, b = None, None
+        for fen, san, lan, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if fen != at:
+                at, b = fen, Board(fen)
+            start, end, promotion = lan[:2], lan[2:4], lan[4:]
+            kind = "" if piece == "p" else piece.upper()
+            for k, text in enumerate((san, lan, f"{kind}{start}-{end}{promotion}", san if san.startswith("O-O") else f"{kind or 'P'}{start}{'x' if 'x' in san else ''}{end}{'=' + promotion.upper() if promotion else ''}")):
+                m = b.read(text)
+                out[k].append(m is not None and _name(m.start) + _name(m.end) + m.promotion == lan)
+        yield pa.RecordBatch.from_arrays([pa.array(o, pa.bool_()) for o in out], ["san", "squares", "dashed", "full"])
+
+
+def read_back(moves: DataFrame) -> DataFrame:
+    """Per legal move, whether its SAN, its squares, its squares with a dash, and its squares with the piece are read as that move."""
+    return moves.select("fen", "san", "lan", "piece").mapInArrow(_read_rows, "san boolean, squares boolean, dashed boolean, full boolean")
+
+
 def _successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         root, fens, n = [], [], []

