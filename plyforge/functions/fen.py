@@ -56,17 +56,16 @@ def board(fen: Column) -> Column:
     return F.replace(_expanded(F.substring_index(fen, " ", 1)), F.lit("/"), F.lit(""))
 
 
-def material(fen: Column) -> tuple[Column, Column]:
-    """``(material, balance)``: the value of all pieces, and that of the side to move less the other's."""
-    squares, white = board(fen), F.get(F.split(fen, r"\s+"), F.lit(1)) == "w"
+def material(fen: Column, squares: Column | None = None) -> tuple[Column, Column]:
+    """``(material, balance)``: the value of all pieces, and that of the side to move less the other's; ``squares`` is ``board(fen)`` where it is at hand."""
+    squares, white = board(fen) if squares is None else squares, F.get(F.split(fen, r"\s+"), F.lit(1)) == "w"
     mine = sum((_count(squares, p.upper()) * v for p, v in VALUES.items()), F.lit(0.0))
     theirs = sum((_count(squares, p) * v for p, v in VALUES.items()), F.lit(0.0))
     return F.round(mine + theirs, 6), F.round(F.when(white, mine - theirs).otherwise(theirs - mine), 6)
 
 
-def end_masses(fen: Column) -> tuple[Column, Column]:
-    """Heuristic chances that the side to move resigns, and that a draw is offered."""
-    total, balance = material(fen)
+def end_masses(total: Column, balance: Column) -> tuple[Column, Column]:
+    """Heuristic chances that the side to move resigns, and that a draw is offered, from the material."""
     resign = F.when(balance <= -9, 0.35).when(balance <= -5, 0.10).otherwise(0.0)
     return resign, F.when((total <= 8) & (F.abs(balance) <= 1), 0.15).otherwise(0.0)
 

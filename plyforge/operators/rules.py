@@ -323,6 +323,30 @@ def _move_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 11, [batch.schema.field(0).type] + [pa.string()] * 10)], names)
 
 
+_RANK = " pnbrq"
+
+
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["fen", "san", "to", "captured", "promotion", "check", "mate", "hanging"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+    for batch in batches:
+        rows = []
+        for fen in batch.column(0).to_pylist():
+            b = Board(fen)
+            legal = b.legal()
+            for m in legal:
+                after = b.after(m)
+                check, movable = after.in_check(), after.movable()
+                taken = [after.squares[r.end].lower() or "p" for r in after.legal() if "c" in r.flag or r.flag == "e"] if movable else []
+                rows.append((fen, b.san(m, legal), m.end, b.squares[m.end].lower() or ("p" if m.flag == "e" else None), m.promotion or None, check, check and not movable, max(taken, key=_RANK.find, default=None)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, kinds)], names)
+
+
+def move_features(positions: DataFrame) -> DataFrame:
+    """``fen, san, to, captured, promotion, check, mate, hanging``: every legal move of every position, and the best piece that a reply to it takes."""
+    return even(positions.select("fen")).mapInArrow(_feature_rows, "fen string, san string, to int, captured string, promotion string, check boolean, mate boolean, hanging string")
+
+
 def valid(df: DataFrame, fen: str = "fen") -> DataFrame:
     """The rows with a valid position. The test stays where it is: pushed below a ``distinct`` it would be made for every repetition."""
     return once(df, _error=fen_error(F.col(fen))).where("_error IS NULL").drop("_error")

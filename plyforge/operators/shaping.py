@@ -34,7 +34,13 @@ def temperature_at(move: Column, opening: float, middle: float, middle_from: int
 def masked(dist: DataFrame, allowed: DataFrame) -> DataFrame:
     """The allowed tokens with their probability; tokens the model says nothing about have 0."""
     p = F.when((F.col("p") > 0) & ~F.isnan("p"), F.col("p")).otherwise(0.0)
-    return allowed.join(dist.select("decode_id", "token", "p"), ["decode_id", "token"], "left").select("decode_id", "idx", "token", F.coalesce(p, F.lit(0.0)).alias("p"))
+    return allowed.join(dist.select("decode_id", "token", "p"), ["decode_id", "token"], "left").withColumn("p", F.coalesce(p, F.lit(0.0)))
+
+
+def from_dense(dense: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``masked`` for a model that answers with one array per step, a probability for every id (``decode_id, dense``); arrays that are too short read as 0. ``allowed`` has the token's ``token_id``."""
+    p = F.get("dense", F.col("token_id"))
+    return allowed.join(dense, "decode_id", "left").withColumn("p", F.when((p > 0) & ~F.isnan(p), p).otherwise(0.0)).drop("dense")
 
 
 def tempered(dist: DataFrame, temperature: Column) -> DataFrame:
@@ -66,9 +72,9 @@ def top_p(dist: DataFrame, share: float, exempt: Iterable[str] = ()) -> DataFram
     return _renormalised(dist.withColumn("keep", (F.col("p") > 0) & (free | (before < share))), "keep")
 
 
-def min_p(dist: DataFrame, floor: float, exempt: Iterable[str] = ()) -> DataFrame:
+def min_p(dist: DataFrame, floor: float | Column, exempt: Iterable[str] = ()) -> DataFrame:
     """Tokens of probability ``floor`` or more; exempt tokens stay; if no other is left, the best one."""
-    if floor <= 0:
+    if not isinstance(floor, Column) and floor <= 0:
         return dist
     free = F.col("token").isin(*exempt) if exempt else F.lit(False)
     best = F.row_number().over(_step().orderBy(free.cast("int"), F.desc("p"), "idx")) == 1

