@@ -98,6 +98,15 @@ def san_tokens(san: Column, label: Column, bracketed: bool = True) -> Column:
     return F.when(san.rlike(SAN), F.array_compact(F.array(*parts)))
 
 
+def loose_tokens(san: Column) -> Column:
+    """Bare tokens of a move in the loose notation, which lets any piece or pawn name its origin and a capture stand without one; null if it is none."""
+    pattern = r"^([KQRBN]?[a-h]?[1-8]?)(x?)([a-h][1-8])(=[QRBN])?([+#])?$"
+    part = lambda k: F.nullif(F.regexp_extract(san, pattern, k), F.lit(""))
+    plain = F.array_compact(F.array(part(5), part(2), part(4), F.concat(F.regexp_extract(san, pattern, 1), part(3))))
+    castle = F.array_compact(F.array(F.nullif(F.regexp_extract(san, r"([+#])$", 1), F.lit("")), F.regexp_replace(san, r"[+#]$", "")))
+    return F.when(~san.rlike(LOOSE_SAN), None).when(san.startswith("O-O"), castle).otherwise(plain)
+
+
 def tokens_to_san(tokens: Column) -> Column:
     """The SAN move of bare tokens, without a label; null without a move among them."""
     pick = lambda test: F.try_element_at(F.filter(tokens, test), F.lit(-1))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,11 +41,25 @@ def bucket_table(corpus: DataFrame, block: int = 1024, batch: int = 64) -> DataF
     return by_cap.select("split", "cap", rows_for_cap(F.col("cap"), block, batch).alias("rows"), "n_games", "n_tokens", F.round(share, 9).alias("probability"))
 
 
-def padded(rows: DataFrame, block: int = 1024) -> DataFrame:
-    """Rows filled up to their bucket: inputs with the end token, targets with -1; rows that fit no bucket are left out."""
+def padded(rows: DataFrame, block: int = 1024, too_long: str = "skip") -> DataFrame:
+    """Rows filled up to their bucket: inputs with the end token, targets with -1.
+
+    Rows that fit no bucket are left out (``skip``; ``oversized`` counts them), kept with a null ``cap`` and as they are (``keep``), or an error at run time (``error``).
+    """
     cap = bucket_of(F.size("x") + 1, block)
-    fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("cap") - F.size(c)))
-    return rows.withColumn("cap", cap).where("cap IS NOT NULL").withColumns({"x": fill("x", V.ids()[V.EOS]), "y": fill("y", -1)})
+    if too_long == "error":
+        cap = F.coalesce(cap, F.raise_error(F.format_string("a row of %s tokens exceeds the largest bucket", F.size("x"))).cast("int"))
+    capped = rows.withColumn("cap", cap)
+    if too_long == "skip":
+        capped = capped.where("cap IS NOT NULL")
+    fill = lambda c, v: F.when(F.col("cap").isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("cap") - F.size(c))))
+    return capped.withColumns({"x": fill("x", V.ids()[V.EOS]), "y": fill("y", -1)})
+
+
+def oversized(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """How many rows fit no bucket, and their tokens."""
+    over = bucket_of(F.size("x") + 1, block).isNull()
+    return rows.agg(F.count_if(over).alias("n_rows"), F.coalesce(F.sum(F.when(over, F.size("x"))), F.lit(0)).alias("n_tokens"))
 
 
 def batches(rows: DataFrame, steps: int, block: int = 1024, batch: int = 64, seed: int = 0, key: str = "row_id") -> DataFrame:
@@ -68,3 +85,19 @@ def batches(rows: DataFrame, steps: int, block: int = 1024, batch: int = 64, see
     slots = draws.select("step", "cap", "n", F.explode(F.sequence(F.lit(0), rows_for_cap(F.col("cap"), block, batch) - 1)).alias("slot"))
     drawn = slots.withColumn("rank", F.pmod(F.xxhash64(F.lit(seed), "step", "slot", F.lit("row")), F.col("n")))
     return drawn.join(ranked, ["cap", "rank"]).select("step", "slot", key, "cap", "x", "y")
+
+
+def tensors(drawn: DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The batches of ``batches`` as a trainer takes them: ``(step, x, y)`` with arrays of (rows, cap), in order of the steps; one partition at a time passes the driver."""
+    held: list = []
+    for r in drawn.orderBy("step", "slot").toLocalIterator():
+        if held and held[0]["step"] != r["step"]:
+            yield _stacked(held)
+            held = []
+        held.append(r)
+    if held:
+        yield _stacked(held)
+
+
+def _stacked(rows: list) -> tuple[int, np.ndarray, np.ndarray]:
+    return rows[0]["step"], np.array([r["x"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64)

@@ -59,18 +59,22 @@ def with_segments(games: DataFrame) -> DataFrame:
     return once(g, segs=segs).drop("_marks", "_groups", "_stop", "_good")
 
 
-def segment_rows(games: DataFrame, key: str = "row_id") -> DataFrame:
-    """``key, seg, lo, hi, label_at, ids`` for every segment of every game."""
+def segment_rows(games: DataFrame, key: str = "row_id", epoch: int | None = None) -> DataFrame:
+    """``key, seg, lo, hi, label_at, ids`` for every segment of every game; with ``epoch`` for one per game, drawn by a hash of both."""
     g = with_segments(once(games.where("ids IS NOT NULL").select(key, F.col("ids").alias("_ids")), ids=guarded(F.col("_ids"))).drop("_ids"))
-    return g.select(key, "ids", F.posexplode("segs").alias("seg", "s")).select(key, "seg", "s.lo", "s.hi", "s.label_at", "ids")
+    if epoch is None:
+        return g.select(key, "ids", F.posexplode("segs").alias("seg", "s")).select(key, "seg", "s.lo", "s.hi", "s.label_at", "ids")
+    seg = F.pmod(F.xxhash64(F.lit(epoch), F.col(key)), F.size("segs")).cast("int")
+    g = once(g.where(F.size("segs") > 0), seg=seg)
+    return g.withColumn("s", F.get("segs", F.col("seg"))).select(key, "seg", "s.lo", "s.hi", "s.label_at", "ids")
 
 
-def training_rows(games: DataFrame, key: str = "row_id") -> DataFrame:
-    """``key, seg, x, y``: inputs and targets of every segment; -1 is no target.
+def training_rows(games: DataFrame, key: str = "row_id", epoch: int | None = None) -> DataFrame:
+    """``key, seg, x, y``: inputs and targets of every segment, or with ``epoch`` of one segment per game; -1 is no target.
 
     Graded is a target of the segment or of the game's end that followed its left neighbour in the game and is no framing token.
     """
-    rows = segment_rows(games, key)
+    rows = segment_rows(games, key, epoch)
     own = F.coalesce("label_at", F.lit(-1))
     # a kept token carries its place in the game
     kept = F.filter(F.transform("ids", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda k: ~k["t"].isin(*LABELS) | (k["i"] == own))
@@ -85,13 +89,6 @@ def training_rows(games: DataFrame, key: str = "row_id") -> DataFrame:
     return rows.select(key, "seg", F.slice("_x", F.lit(1), F.size("_x") - 1).alias("x"), F.slice("_y", F.lit(2), F.size("_y") - 1).alias("y"))
 
 
-def chosen_rows(rows: DataFrame, key: str = "row_id", epoch: int = 0) -> DataFrame:
-    """One segment per game and epoch, uniform by a hash."""
-    n = rows.groupBy(key).agg(F.count("*").alias("n"))
-    pick = F.pmod(F.xxhash64(F.lit(epoch), F.col(key)), F.col("n"))
-    return rows.join(n, key).where(F.col("seg") == pick).drop("n")
-
-
 def move_groups(rows: DataFrame, column: str = "words") -> DataFrame:
     """Add ``groups``: a stream of bare tokens cut after every move, ``array<array<string>>``; tokens after the last move are left out."""
     open_ = (*V.MODIFIERS, *V.LABEL_WORDS.values())

@@ -59,8 +59,9 @@ def parsed(raw: DataFrame) -> DataFrame:
     return once(games, has_evals=F.exists(p, lambda x: x["eval"].isNotNull()), malformed=bad)
 
 
-def _typed(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def _typed(df: DataFrame, made: str) -> str:
+    """The columns of ``df`` and those made of them."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), made])
 
 
 def tokenised(raw: DataFrame, min_elo: int = 1600, min_plies: int = 20, labels: str = "glyph", keep: tuple[str, ...] = ("raw_id",), quarantined: bool = False, engine: str = "arrow") -> DataFrame:
@@ -82,7 +83,7 @@ def tokenised(raw: DataFrame, min_elo: int = 1600, min_plies: int = 20, labels:
     if engine == "arrow":
         rows = annotated(raw, min_elo).select(*keep, *headers, "movetext")
         made = "n_plies smallint, tokens string, cp array<int>, n_disagreements smallint, malformed boolean"
-        out = rows.mapInArrow(fast.tokeniser(labels), f"{_typed(rows.drop('movetext'))}, {made}")
+        out = rows.mapInArrow(fast.tokeniser(labels), _typed(rows.drop("movetext"), made))
     else:
         games = parsed(annotated(raw, min_elo)).where("has_evals")
         label = {"glyph": lambda p: p["inline"], "computed": lambda p: p["computed"], "none": lambda p: F.lit(None).cast("string")}[labels]
@@ -107,7 +108,7 @@ def ply_rows(raw: DataFrame, keep: tuple[str, ...] = ("raw_id",), engine: str =
     if engine == "arrow":
         rows = raw.select(*keep, "movetext")
         made = "ply int, san string, cp int, cp_before int, white boolean, inline string, computed string, disagrees boolean"
-        return rows.mapInArrow(fast.plies, f"{_typed(rows.drop('movetext'))}, {made}")
+        return rows.mapInArrow(fast.plies, _typed(rows.drop("movetext"), made))
     return with_labels(with_plies(raw)).select(*keep, F.explode("labelled").alias("p")).select(*keep, "p.*")
 
 

@@ -99,20 +99,34 @@ def surface(token: Column) -> Column:
     return word
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def lookup(words: pa.Array) -> pa.Array:
-    """Ids of dictionary words, null for words outside: one vectorised hash lookup per batch. (A map literal would be searched entry by entry.)"""
-    flat = pc.index_in(words.flatten(), value_set=pa.array(tokens()))
-    offsets = pc.subtract(words.offsets, words.offsets[0])
-    return pa.ListArray.from_arrays(offsets, flat, mask=words.is_null()) if words.null_count else pa.ListArray.from_arrays(offsets, flat)
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def reverse_lookup(numbers: pa.Array) -> pa.Array:
-    """Words of dictionary ids."""
-    flat = pa.array(tokens()).take(numbers.flatten())
-    offsets = pc.subtract(numbers.offsets, numbers.offsets[0])
-    return pa.ListArray.from_arrays(offsets, flat, mask=numbers.is_null()) if numbers.null_count else pa.ListArray.from_arrays(offsets, flat)
+@lru_cache(maxsize=4)
+def _words(words: tuple[str, ...] | None) -> pa.Array:
+    return pa.array(words or tokens())
+
+
+def _over(flat: pa.Array, lists: pa.Array) -> pa.Array:
+    offsets = pc.subtract(lists.offsets, lists.offsets[0])
+    return pa.ListArray.from_arrays(offsets, flat, mask=lists.is_null()) if lists.null_count else pa.ListArray.from_arrays(offsets, flat)
+
+
+def lookups(words: tuple[str, ...] | None = None):
+    """``(lookup, reverse_lookup)`` of a dictionary given as its words in order of their ids; the frozen one without.
+
+    One vectorised hash lookup per batch (a map literal would be searched entry by entry); words outside give null.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def forth(found: pa.Array) -> pa.Array:
+        return _over(pc.index_in(found.flatten(), value_set=_words(words)), found)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def back(numbers: pa.Array) -> pa.Array:
+        return _over(_words(words).take(numbers.flatten()), numbers)
+
+    return forth, back
+
+
+lookup, reverse_lookup = lookups()
 
 
 def elo_bucket(elo: Column, missing: str = ELO_BUCKETS[0]) -> Column:

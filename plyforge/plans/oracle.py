@@ -281,7 +281,18 @@ SQL["fen_material"] = f"""WITH {_FEN}, m AS (SELECT fen, CAST(round({_SIDE(True)
 SQL["fen_dead"] = f"""WITH {_FEN}, cells AS (SELECT fen, unnest(string_split(replace({_EXPANDED.format('place')}, '/', ''), '')) AS c, generate_subscripts(string_split(replace({_EXPANDED.format('place')}, '/', ''), ''), 1) - 1 AS i FROM tested WHERE error IS NULL)
     SELECT fen, count(*) FILTER (c <> '.') = 2 OR (count(*) FILTER (c <> '.') = 3 AND count(*) FILTER (lower(c) IN ('b', 'n')) = 1) OR (count(*) FILTER (c <> '.') = count(*) FILTER (lower(c) = 'b') + 2 AND count(DISTINCT (i + i // 8) % 2) FILTER (lower(c) = 'b') <= 1) AS dead FROM cells GROUP BY fen"""
 SQL["square_maths"] = f"WITH {_VOCAB} SELECT word AS token, (8 - CAST(word[2] AS INT)) * 8 + ascii(word) - 97 AS index, CASE WHEN (ascii(word) - 97 + CAST(word[2] AS INT) - 1) % 2 = 0 THEN 'dark' ELSE 'light' END AS colour FROM vocab WHERE regexp_full_match(word, '[a-h][1-8]')"
-SQL["pgn_roundtrip"] = f"WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_moves FROM plies GROUP BY 1) SELECT r.raw_id, r.site, coalesce(n.n_moves, 0) AS n_moves, coalesce(r.result, '*') AS result FROM raw_games r LEFT JOIN n USING (raw_id)"
+SQL["pgn_roundtrip"] = f"""WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_moves, count(ev) AS n_comments, count(*) FILTER (glyph IS NOT NULL OR regexp_matches(san, '[!?]$')) AS n_nags FROM plies GROUP BY 1)
+    SELECT r.raw_id, r.site, coalesce(n.n_moves, 0) AS n_moves, coalesce(n.n_comments, 0) AS n_comments, coalesce(n.n_nags, 0) AS n_nags, coalesce(r.result, '*') AS result FROM raw_games r LEFT JOIN n USING (raw_id)"""
+_LOOSE_PARTS = r"^([KQRBN]?[a-h]?[1-8]?)(x?)([a-h][1-8])(=[QRBN])?([+#])?$"
+_part = lambda k: f"nullif(regexp_extract(san, '{_LOOSE_PARTS}', {k}), '')"
+SQL["loose_san"] = f"""WITH {_PLIES} SELECT san, CASE WHEN NOT regexp_full_match(san, '{_LOOSE}') THEN NULL WHEN starts_with(san, 'O-O') THEN concat_ws(' ', nullif(regexp_extract(san, '([+#])$', 1), ''), regexp_replace(san, '[+#]$', ''))
+    ELSE concat_ws(' ', {_part(5)}, {_part(2)}, {_part(4)}, regexp_extract(san, '{_LOOSE_PARTS}', 1) || regexp_extract(san, '{_LOOSE_PARTS}', 3)) END AS tokens FROM (SELECT DISTINCT san FROM plies)"""
+SQL["oversized_rows"] = f"WITH {_SEG} SELECT count(*) FILTER (cap IS NULL) AS n_rows, CAST(coalesce(sum(len) FILTER (cap IS NULL), 0) AS BIGINT) AS n_tokens FROM (SELECT length AS len, {_CAP.replace('length - 1', 'length')} AS cap FROM trained)"
+SQL["chosen_segments"] = f"WITH {_SEG} SELECT row_id, count(*) AS n_segments, true AS within FROM segs GROUP BY 1"
+SQL["sample_checks"] = "SELECT 4 AS n_steps, 0 AS n_short, 0 AS n_ragged"
+SQL["end_to_end"] = f"""WITH {_PLIES}, {_GAMES}, games AS (SELECT raw_id AS row_id, coalesce(site, '') AS site, coalesce(CAST(utcdate AS VARCHAR), '') AS utc_date, whiteelo AS white_elo, blackelo AS black_elo, result, termination, n_plies, tokens
+        FROM games1 JOIN scanned USING (raw_id) WHERE has_evals AND NOT malformed AND whiteelo >= 0 AND blackelo >= 0), {_ENC}
+    SELECT f.split, coalesce(f.end_token, 'bare') AS end_token, count(*) AS n_games, count(c.length) AS n_packed, CAST(coalesce(sum(c.length), 0) AS BIGINT) AS n_tokens FROM framed f LEFT JOIN corpus c USING (row_id) GROUP BY 1, 2"""
 
 SQL["decode_checks"] = "SELECT 0 AS n_twice, 0 AS n_open, 0 AS n_none, 0 AS n_illegal, 0 AS n_missed"
 _WEAK = "(2800 - greatest(400, least(2800, coalesce(rating, 1500)))) / 2400.0"

@@ -387,10 +387,41 @@ def pad_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sample_batch(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialize(segments.chosen_rows(segments.training_rows(encode.encoded(spread(table(spark, d, "games"))))), "rows")
+    rows = materialize(segments.training_rows(encode.encoded(spread(table(spark, d, "games"))), epoch=0), "rows")
     return buckets.batches(rows, steps=4, block=BLOCK, batch=BATCH).select("step", "slot", "row_id", "cap", F.size("x").alias("width"))
 
 
+@query
+def oversized_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that fit no bucket, counted rather than lost."""
+    return buckets.oversized(segments.training_rows(encode.encoded(spread(table(spark, d, "games")))), BLOCK)
+
+
+@query
+def chosen_segments(spark: SparkSession, d: str) -> DataFrame:
+    """One segment per game and epoch: the same as among all segments of the game, whose number is given."""
+    games = encode.encoded(spread(table(spark, d, "games")))
+    n = segments.segment_rows(games).groupBy("row_id").agg(F.count("*").alias("n_segments"))
+    return segments.segment_rows(games, epoch=3).join(n, "row_id").select("row_id", "n_segments", (F.col("seg") < F.col("n_segments")).alias("within"))
+
+
+@query
+def sample_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of drawn batches: as many rows as their bucket asks for, all as wide as it, targets nowhere past the inputs' end."""
+    rows = materialize(segments.training_rows(encode.encoded(spread(table(spark, d, "games"))), epoch=0), "rows")
+    drawn = materialize(buckets.batches(rows, steps=4, block=BLOCK, batch=BATCH), "drawn")
+    per = drawn.groupBy("step").agg(F.count("*").alias("n"), F.min("cap").alias("cap"), F.count_distinct("cap").alias("caps"), F.max((F.size("x") != F.col("cap")) | (F.size("y") != F.col("cap"))).alias("ragged"))
+    return per.agg(F.count("*").alias("n_steps"), F.count_if(F.col("n") != buckets.rows_for_cap(F.col("cap"), BLOCK, BATCH)).alias("n_short"), F.count_if((F.col("caps") > 1) | F.col("ragged")).alias("n_ragged"))
+
+
+@query
+def end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Raw games to packed ids in one plan: parse, label, tokenise, encode; counts per split and end."""
+    games = stage1.tokenised(spread(table(spark, d, "raw_games")), 0, 0).withColumnRenamed("raw_id", "row_id")
+    rows = encode.encoded(games)
+    return rows.groupBy("split", F.coalesce("end_token", F.lit("bare")).alias("end_token")).agg(F.count("*").alias("n_games"), F.count("ids").alias("n_packed"), F.coalesce(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.lit(0)).alias("n_tokens"))
+
+
 def _words(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "games")).select("row_id", F.transform(tokens_of(F.col("tokens")), V.surface).alias("words"))
 
@@ -678,16 +709,25 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
 # Sources, sinks, streams
 
 
+@query
+def loose_san(spark: SparkSession, d: str) -> DataFrame:
+    sans = stage1.ply_rows(spread(table(spark, d, "raw_games"))).select("san").distinct()
+    return sans.select("san", F.array_join(M.loose_tokens(F.col("san")), " ").alias("tokens"))
+
+
 @query
 def pgn_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Raw games as PGN files of wrapped lines, read back."""
+    """Raw games as PGN files of wrapped lines, with evaluations as comments and glyphs as signs, read back."""
     games = stage1.with_plies(spread(table(spark, d, "raw_games")))
     headers = F.create_map(F.lit("Event"), F.lit("rated"), F.lit("Site"), F.col("site"), F.lit("Id"), F.col("raw_id").cast("string"), F.lit("Result"), F.col("result"))
-    text = pgn.to_pgn(headers, F.transform("plies", lambda p: p["san"]), F.col("result"), 80)
+    part = lambda f: F.transform("plies", f)
+    comments = part(lambda p: F.concat(F.lit("[%eval "), p["eval"], F.lit("] {noted}")))
+    text = pgn.to_pgn(headers, part(lambda p: p["san"]), F.col("result"), 80, comments=comments, nags=part(lambda p: p["glyph"]))
     path = f"{shared_dir(spark)}/pgn-{uuid.uuid4().hex}"
     games.select(F.concat(text, F.lit("\n")).alias("value")).write.text(path)
     back = pgn.read_pgn(spark, path)
-    return back.select(F.col("headers")["Id"].cast("long").alias("raw_id"), F.col("headers")["Site"].alias("site"), F.size("moves").alias("n_moves"), "result")
+    some = lambda c: F.size(F.filter(c, lambda v: v.isNotNull()))
+    return back.select(F.col("headers")["Id"].cast("long").alias("raw_id"), F.col("headers")["Site"].alias("site"), F.size("moves").alias("n_moves"), some("comments").alias("n_comments"), some("nags").alias("n_nags"), "result")
 
 
 @query

@@ -164,9 +164,14 @@ def test_batches_repeat_and_fit(spark):
 
 
 def test_segment_choice_is_uniform(spark):
-    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("seg"))
-    n = {r.seg: r["count"] for r in segments.chosen_rows(rows).groupBy("seg").count().collect()}
-    assert sum(n.values()) == 3000 and all(0.28 < c / 3000 < 0.39 for c in n.values())
+    number = V.ids()
+    game = [number[t] for t in (V.BOS, "<elo-1400>", "<elo-1400>", "e4", "<blunder>", "e5", "<mistake>", "Nf3", "Nc6", V.EOS)]  # three segments
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.array(*map(F.lit, game)).alias("ids"))
+    n = {r.seg: r["count"] for r in segments.segment_rows(rows, epoch=0).groupBy("seg").count().collect()}
+    assert sum(n.values()) == 3000 and len(n) == 3 and all(0.28 < c / 3000 < 0.39 for c in n.values())
+    all_rows = {(r.row_id, r.seg): (r.x, r.y) for r in segments.training_rows(rows.where("row_id < 20")).collect()}
+    one = segments.training_rows(rows.where("row_id < 20"), epoch=5).collect()
+    assert len(one) == 20 and all(all_rows[r.row_id, r.seg] == (r.x, r.y) for r in one)
 
 
 def dist(spark, p):
@@ -299,8 +304,56 @@ def test_context_ids(spark):
 
 
 def test_pgn():
-    moves, comments, result = pgn.main_line("1. e4! {good\nmove} (1. d4 (1. c4) d5) e5 ; line\n2. Nf3 $1 Nc6 1/2-1/2")
+    moves, comments, nags, variations, result, error = pgn.main_line("1. e4! {good\nmove} (1. d4 (1. c4) d5) e5 ; line\n2. Nf3 $1 Nc6 1/2-1/2")
     assert moves == ["e4", "e5", "Nf3", "Nc6"] and comments == ["good move", "line", None, None] and result == "1/2-1/2"
+    assert nags == ["!", None, "$1", None] and variations == 2 and error is None
+    assert pgn.main_line("1. e4 (1. d4 1-0")[5] and pgn.main_line("1. e4) 1-0")[5] and pgn.main_line("1. e4 {open")[5] and pgn.main_line("1. e4 1-0 e5")[5]
+
+
+def test_pgn_written(spark):
+    row = spark.createDataFrame([(["e4", "e5", "Nf3"], ["good {x}", None, "end"], ["!", "$2", None])], "m array<string>, c array<string>, g array<string>")
+    text = row.select(pgn.movetext(F.col("m"), F.lit("1-0"), F.col("c"), F.col("g"))).first()[0]
+    assert text == "1. e4! {good [x]} 1... e5 $2 2. Nf3 {end} 1-0" and pgn.main_line(text)[:3] == (["e4", "e5", "Nf3"], ["good [x]", None, "end"], ["!", "$2", None])
+    headers = F.create_map(F.lit("Event"), F.lit('a "b"'))
+    assert row.select(pgn.to_pgn(headers, F.col("m"), F.lit("*"), newline="\r\n")).first()[0] == '[Event "a \\"b\\""]\r\n\r\n1. e4 e5 2. Nf3 *'
+    bad = spark.createDataFrame([('[Event "x"]\n\n1. e4 (1. d4 1-0',)], "value string")
+    assert pgn.parse_pgn(bad).first().error and pgn.parse_pgn(bad).first().moves == ["e4"]
+    with pytest.raises(Exception):
+        pgn.parse_pgn(bad, strict=True).collect()
+
+
+def test_another_dictionary(spark):
+    forth, back = V.lookups(("a", "b", "c"))
+    row = spark.createDataFrame([(["c", "x", "a"],), (None,), ([],)], "w array<string>").withColumn("n", forth("w"))
+    assert [r.n for r in row.collect()] == [[2, None, 0], None, []] and row.select(back("n").alias("b")).first().b == ["c", None, "a"]
+
+
+def test_batches_as_tensors(spark):
+    import numpy as np
+
+    from plyforge.operators import buckets
+
+    rows = spark.createDataFrame([(i, 0, [1] * n, [2] * n) for i, n in enumerate((10, 60, 100, 2000))], "row_id long, seg int, x array<int>, y array<int>")
+    assert tuple(buckets.oversized(rows, 512).first()) == (1, 2000)
+    assert buckets.padded(rows, 512).count() == 3 and buckets.padded(rows, 512, "keep").count() == 4
+    with pytest.raises(Exception):
+        buckets.padded(rows, 512, "error").collect()
+    found = list(buckets.tensors(buckets.batches(rows, 3, 512, 4)))
+    assert [s for s, _, _ in found] == [0, 1, 2] and all(x.shape == y.shape and x.dtype == np.int64 and x.shape[1] in buckets.caps(512) for _, x, y in found)
+
+
+def test_command_line(spark, tmp_path):
+    from plyforge import __main__ as cli
+
+    raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
+    for args in (["synthetic", "--out", raw, "--games", "60"], ["tokenise", "--input", raw, "--out", out, "--min-elo", "0", "--shard-rows", "25"], ["pack", "--input", f"{out}/shards", "--out", out, "--val-frac", "0.2"], ["inspect", "--input", f"{out}/corpus"], ["check", "--input", raw, "--limit", "5"]):
+        a = cli.parser().parse_args(args)
+        a.run(spark, a)
+    from plyforge.sources import binary, reports
+
+    stats = reports.read_json(spark, f"{out}/pack_stats.json")
+    assert stats["games_seen"] == reports.read_json(spark, f"{out}/stats.json")["games"] > 40 and stats["games_packed"] == binary.read_corpus(spark, f"{out}/corpus").count()
+    assert reports.read_metadata(spark, f"{out}/meta.json")["vocab_size"] == 5273
 
 
 def test_pgn_text(spark, tmp_path):
