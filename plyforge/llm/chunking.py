@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.functions.streams import LABELS, MODIFIERS, split_tokens
+from plyforge.functions.streams import LABELS, MODIFIERS, split_tokens, tokens_of
+from plyforge.sources.tables import materialize
 
 LIMIT, OVERLAP = 256, 8
 _OPEN = frozenset(LABELS + MODIFIERS)
@@ -117,3 +118,25 @@ def pieces(df: DataFrame, key: str = "row_id", column: str = "tokens", limit: in
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(_pieces(limit, overlap, long_only), f"key {kind}, piece_no int, n_pieces int, start_pos int, end_pos int, n_repeated int, cut string, tokens array<string>")
     return out.withColumnRenamed("key", key)
+
+
+def checks(df: DataFrame, key: str = "row_id", column: str = "tokens", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """What must hold of the pieces of streams with unique keys, in one row.
+
+    Streams, pieces' own tokens (repeated ones left out), pieces past the limit, pieces that do not start where the one before says, that repeat too few,
+    that end inside a move although they were not cut hard, and that differ from their place in the stream.
+    """
+    cut_ = materialize(pieces(df, key, column, limit, overlap), "p2-pieces")
+    before = cut_.select(F.col(key), (F.col("piece_no") + 1).alias("piece_no"), F.col("end_pos").alias("end_before"))
+    stream = df.select(F.col(key), tokens_of(F.col(column)).alias("stream"))
+    each = cut_.join(before, [key, "piece_no"], "left").join(stream, key)
+    later, size = F.col("piece_no") > 0, F.col("end_pos") - F.col("start_pos")
+    return each.agg(
+        F.count_if(~later).alias("n_streams"),
+        F.coalesce(F.sum(size - F.col("n_repeated")), F.lit(0)).alias("n_tokens"),
+        F.count_if(size > limit).alias("n_over"),
+        F.count_if(later & ~F.col("start_pos").eqNullSafe(F.col("end_before") - F.col("n_repeated"))).alias("n_torn"),
+        F.count_if(later & (F.col("n_repeated") < overlap)).alias("n_short"),
+        F.count_if(F.col("cut").isin("landmark", "move") & F.element_at("tokens", -1).isin(*_OPEN)).alias("n_open"),
+        F.count_if(F.col("tokens") != F.slice("stream", F.col("start_pos") + 1, size)).alias("n_changed"),
+    )

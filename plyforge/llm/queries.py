@@ -35,6 +35,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(table(spark, d, "games"))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.checks(table(spark, d, "games"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = term_frequency.marked(table(spark, d, "games"))
     return found.where(F.col("mark").isNotNull()).select(F.col("term").alias("token"), "mark")
@@ -82,7 +86,7 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_same_game, p2_found, p2_pieces, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p6_checks, p7_found, p7_scores)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_same_game, p2_found, p2_pieces, p2_checks, p4_found, p4_frequency, p5_windows, p5_fill, p5_checks, p6_repeats, p6_shares, p6_checks, p7_found, p7_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -99,6 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_same_game": f"""WITH g AS ({game}) SELECT row_id FROM g WHERE split_name IN ('val', 'test') AND code <> '' AND day IS NOT NULL
             AND EXISTS (SELECT 1 FROM g t WHERE t.split_name = 'train' AND t.code = g.code AND t.host = g.host AND t.day = g.day)""",
         "p2_found": f"SELECT row_id FROM games WHERE len({TOKENS_SQL}) > 256",
+        "p2_checks": f"SELECT count(*) FILTER (n > 0) AS n_streams, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens, 0 AS n_over, 0 AS n_torn, 0 AS n_short, 0 AS n_open, 0 AS n_changed FROM (SELECT len({TOKENS_SQL}) AS n FROM games WHERE tokens IS NOT NULL)",
         "p5_checks": "SELECT container, (SELECT count(*) FROM documents WHERE text <> '') AS n_posts, 0 AS n_torn, 0 AS n_overfull, 0 AS n_uneven FROM pack_sizes",
         "p6_checks": r"""
             SELECT t.source, count(d.doc_id) AS n_posts, true AS on_target, true AS capped
