@@ -56,6 +56,12 @@ def board(fen: Column) -> Column:
     return F.replace(_expanded(F.substring_index(fen, " ", 1)), F.lit("/"), F.lit(""))
 
 
+def ascii_board(fen: Column) -> Column:
+    """Eight lines from Black's side to White's, squares apart by blanks."""
+    rows = F.split(_expanded(F.substring_index(fen, " ", 1)), "/")
+    return F.array_join(F.transform(rows, lambda r: F.array_join(F.split(r, ""), " ")), "\n")
+
+
 def material(fen: Column, squares: Column | None = None) -> tuple[Column, Column]:
     """``(material, balance)``: the value of all pieces, and that of the side to move less the other's; ``squares`` is ``board(fen)`` where it is at hand."""
     squares, white = board(fen) if squares is None else squares, F.get(F.split(fen, r"\s+"), F.lit(1)) == "w"

@@ -305,6 +305,50 @@ class Board:
         return "\n".join(" ".join(c or "." for c in self.squares[r * 8 : r * 8 + 8]) for r in range(7, -1, -1))
 
 
+class Game:
+    """A line of play: moves made and taken back, with headers and a comment per position."""
+
+    def __init__(self, fen: str = START):
+        self.boards, self.moves, self.sans = [Board(fen)], [], []
+        self.headers: dict[str, str] = {} if fen == START else {"SetUp": "1", "FEN": fen}
+        self.comments: dict[str, str] = {}
+
+    @property
+    def board(self) -> Board:
+        return self.boards[-1]
+
+    def apply(self, text: str, strict: bool = False) -> Move:
+        m = self.board.read(text, strict)
+        if m is None:
+            raise ValueError(f"no legal move: {text!r}")
+        self.sans.append(self.board.san(m))
+        self.moves.append(m)
+        self.boards.append(self.board.after(m))
+        return m
+
+    def undo(self) -> Move | None:
+        """Take the last move back; comments on positions that are gone go with it."""
+        if not self.moves:
+            return None
+        self.comments.pop(self.boards.pop().fen(), None)
+        self.sans.pop()
+        return self.moves.pop()
+
+    def comment(self, text: str | None = None) -> str | None:
+        """The comment on the position, after setting it if one is given: the first brace of each kind becomes a bracket."""
+        if text is not None:
+            self.comments[self.board.fen()] = text.replace("{", "[", 1).replace("}", "]", 1)
+        return self.comments.get(self.board.fen())
+
+    def repeated(self) -> int:
+        """How often the game has had this position."""
+        return sum(b.key() == self.board.key() for b in self.boards)
+
+    def status(self) -> dict[str, bool]:
+        out = self.board.status() | {"threefold": self.repeated() >= 3}
+        return out | {"draw": out["draw"] or out["threefold"], "over": out["checkmate"] or out["draw"] or out["threefold"]}
+
+
 _MOVE_SCHEMA = "key {kind}, fen string, san string, lan string, from_square string, to_square string, piece string, captured string, promotion string, flags string, after string"
 _PIECE = {"e": "p"}
 

@@ -44,11 +44,11 @@ def from_dense(dense: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def tempered(dist: DataFrame, temperature: Column) -> DataFrame:
-    """p^(1/T), renormalised; without any mass, uniform over the tokens that are neither labels nor endings."""
+    """p^(1/T), renormalised; without any mass, uniform over the tokens that are neither labels nor endings (null if there are none)."""
     q = F.when(F.col("p") > 0, F.when(temperature == 1, F.col("p")).otherwise(F.pow(F.col("p"), 1 / temperature))).otherwise(0.0)
     d = dist.withColumn("q", q).withColumn("plain", (~F.col("token").isin(*SPECIAL)).cast("double"))
     total, plain = F.sum("q").over(_step()), F.sum("plain").over(_step())
-    return d.withColumn("p", F.when(total > 0, F.col("q") / total).otherwise(F.col("plain") / plain)).drop("q", "plain")
+    return d.withColumn("p", F.when(total > 0, F.col("q") / total).otherwise(F.try_divide("plain", plain))).drop("q", "plain")
 
 
 def softmax(dist: DataFrame, temperature: float = 1.0, logit: str = "logit") -> DataFrame:
@@ -56,6 +56,13 @@ def softmax(dist: DataFrame, temperature: float = 1.0, logit: str = "logit") ->
     return dist.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(_step())).drop("e")
 
 
+def softmax_dense(logits: Column, size: int, temperature: float = 1.0) -> Column:
+    """Probabilities of the first ``size`` of an array of logits: a model may answer with more than the dictionary has."""
+    own = F.slice(logits, F.lit(1), F.lit(size))
+    e = F.transform(own, lambda x: F.exp((x - F.array_max(own)) / temperature))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
 def _renormalised(dist: DataFrame, keep: str) -> DataFrame:
     q = F.when(F.col(keep), F.col("p")).otherwise(0.0)
     total = F.sum("q").over(_step())

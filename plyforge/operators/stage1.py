@@ -51,6 +51,26 @@ def annotated(raw: DataFrame, min_elo: int = 1600) -> DataFrame:
     return raw.where(F.contains("movetext", F.lit("[%eval")) & (F.col("whiteelo") >= min_elo) & (F.col("blackelo") >= min_elo))
 
 
+#: Speeds and terminations of the stricter selection.
+SPEEDS, BROKEN_OFF = ("blitz", "rapid", "classical"), ("Abandoned", "Rules infraction")
+
+
+def speed(time_control: Column) -> Column:
+    """The speed class of a time control ``base+increment`` by the estimated seconds of a game of 40 moves; null if it is none."""
+    base, step = (F.regexp_extract(time_control, r"^(\d+)\+(\d+)$", k).try_cast("int") for k in (1, 2))
+    seconds = base + 40 * step
+    return F.when(seconds < 30, "ultrabullet").when(seconds < 180, "bullet").when(seconds < 480, "blitz").when(seconds < 1500, "rapid").when(seconds.isNotNull(), "classical")
+
+
+def strict_selection(raw: DataFrame, min_plies: int = 10, speeds: tuple[str, ...] = SPEEDS) -> DataFrame:
+    """Games for a stricter corpus: evaluations in the text, both ratings known, a speed of ``speeds``, not broken off, ``min_plies`` or more, and an evaluation after every ply but perhaps the last."""
+    early = raw.where(F.contains("movetext", F.lit("[%eval")) & F.col("whiteelo").isNotNull() & F.col("blackelo").isNotNull() & ~F.coalesce(F.col("termination").isin(*BROKEN_OFF), F.lit(False)) & speed(F.col("timecontrol")).isin(*speeds))
+    games = with_plies(early)
+    p = F.col("plies")
+    whole = F.forall(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x: x["eval"].isNotNull())
+    return games.where((F.size(p) >= min_plies) & whole)
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """``plies``, ``has_evals`` and ``malformed`` (a word that is no SAN, or an evaluation that is no number)."""
     p = F.col("plies")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from plyforge.functions.fen import ERRORS
 from plyforge.operators import vocab as V
-from plyforge.plans.queries import BATCH, BLOCK, DROPOUT, FEN_SQL, FILTERS, MIN_P, MONTHS, SEED, TEMPERATURE, TOP_P, U, VAL_SHARE
+from plyforge.plans.queries import BATCH, BLOCK, DROPOUT, FEN_SQL, FILTERS, MIN_P, MONTHS, PREFIXES, SEED, TEMPERATURE, TOP_P, U, VAL_SHARE
 
 SQL: dict[str, str] = {}
 
@@ -96,6 +96,12 @@ SQL["nerf_rate_by_elo"] = f"""WITH {_PLIES} SELECT {_bucket('mover')} AS bucket,
     FROM (SELECT CASE WHEN white THEN whiteelo ELSE blackelo END AS mover, computed FROM labelled JOIN raw_games r USING (raw_id) WHERE contains(r.movetext, '[%eval') AND r.whiteelo >= 0 AND r.blackelo >= 0) GROUP BY 1"""
 SQL["nerf_rate_by_elo"] = SQL["nerf_rate_by_elo"].replace("CASE WHEN white THEN whiteelo ELSE blackelo END", "CASE WHEN white THEN labelled.whiteelo ELSE labelled.blackelo END")
 SQL["scan_filter_pushdown"] = "SELECT raw_id, site, whiteelo, blackelo FROM raw_games WHERE contains(movetext, '[%eval') AND whiteelo >= 1600 AND blackelo >= 1600"
+SQL["zst_json_roundtrip"] = "SELECT raw_id, site, md5(movetext) AS text_md5 FROM raw_games"
+SQL["p3_checks"] = """SELECT count(*) AS n_rows, count(*) FILTER (CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END) AS n_readable, 0 AS n_other_results, 0 AS n_other_terminations, 0 AS n_different FROM shard_rows"""
+_SECONDS = r"(TRY_CAST(regexp_extract(timecontrol, '^(\d+)\+(\d+)$', 1) AS INT) + 40 * TRY_CAST(regexp_extract(timecontrol, '^(\d+)\+(\d+)$', 2) AS INT))"
+SQL["strict_games"] = f"""WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_plies, max(ply) AS last, count(ev) FILTER (ply < top) AS before_last FROM (SELECT *, max(ply) OVER (PARTITION BY raw_id) AS top FROM plies) GROUP BY raw_id)
+    SELECT raw_id, n_plies, CASE WHEN {_SECONDS} < 480 THEN 'blitz' WHEN {_SECONDS} < 1500 THEN 'rapid' ELSE 'classical' END AS speed FROM raw_games JOIN n USING (raw_id)
+    WHERE contains(movetext, '[%eval') AND whiteelo IS NOT NULL AND blackelo IS NOT NULL AND coalesce(termination, '') NOT IN ('Abandoned', 'Rules infraction') AND {_SECONDS} >= 180 AND n_plies >= 10 AND before_last = n_plies - 1"""
 SQL["lex_tokens"] = f"SELECT raw_id, i, t AS lexeme FROM ({_LEX})"
 SQL["movetext_result"] = f"SELECT r.raw_id, x.text_result FROM raw_games r LEFT JOIN (SELECT raw_id, arg_max(t, i) AS text_result FROM ({_LEX}) WHERE t IN ('1-0', '0-1', '1/2-1/2', '*') GROUP BY raw_id) x USING (raw_id)"
 SQL["parse_plies"] = f"WITH {_PLIES} SELECT raw_id, ply, san, glyph, cp FROM plies"
@@ -247,10 +253,16 @@ SQL["shaping_chain"] = f"""WITH {_BI}, warm AS (SELECT decode_id, idx, token, po
     SELECT decode_id, token, round(p / sum(p) OVER (PARTITION BY decode_id), 6) AS p FROM ranked WHERE p >= {MIN_P} OR token = '#' OR r = 1"""
 SQL["softmax"] = f"WITH {_BI} SELECT decode_id, token, round(sqrt(n) / sum(sqrt(n)) OVER (PARTITION BY decode_id), 6) AS p FROM counts"
 SQL["top_ranked"] = f"WITH {_BI} SELECT decode_id, token, rank, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY decode_id ORDER BY p DESC, idx) AS rank FROM dist) WHERE rank <= 5"
-SQL["gauges"] = f"WITH {_BI} SELECT decode_id, round(coalesce(sum(p) FILTER (token IN ('<inaccuracy>', '<mistake>', '<blunder>')), 0), 6) AS label_mass, round(coalesce(sum(p) FILTER (token = '#'), 0), 6) AS mate FROM dist GROUP BY 1"
+SQL["gauges"] = f"WITH {_BI} SELECT decode_id, " + ", ".join(f"round(coalesce(sum(p) FILTER (token IN ({_in(t)})), 0), 6) AS {c}" for c, t in (("label_mass", tuple(V.LABEL_WORDS.values())), ("mate", ("#",)), ("white_resigns", ("<white-resign>",)), ("black_resigns", ("<black-resign>",)), ("draw", ("<draw>",)))) + " FROM dist GROUP BY 1"
+SQL["uniform_fallback"] = f"""WITH {_BI}, said AS (SELECT decode_id, token, CASE WHEN starts_with(decode_id, 'N') THEN 0 ELSE q END AS q, CASE WHEN token IN ({_in(tuple(V.LABEL_WORDS.values()) + V.ENDINGS)}) THEN 0 ELSE 1 END AS plain FROM masked)
+    SELECT decode_id, token, round(CASE WHEN sum(q) OVER w > 0 THEN q / sum(q) OVER w ELSE plain / nullif(sum(plain) OVER w, 0) END, 6) AS p FROM said WINDOW w AS (PARTITION BY decode_id)"""
 SQL["inverse_sample"] = f"WITH {_BI}, run AS (SELECT *, sum(p) OVER (PARTITION BY decode_id ORDER BY idx) AS run FROM dist) SELECT decode_id, arg_min(token, idx) AS token FROM run WHERE run >= {U} GROUP BY 1"
 _SEQ = f"{_GROUPS}, seqs AS (SELECT tokens, substr(tokens[-1], 1, 1) AS decode_id, count(*) AS n FROM moves GROUP BY 1, 2)"
-SQL["prefix_marginals"] = f"WITH {_SEQ} SELECT decode_id, token, round(n / sum(n) OVER (PARTITION BY decode_id), 6) AS p FROM (SELECT decode_id, tokens[2] AS token, sum(n) AS n FROM seqs WHERE len(tokens) > 1 AND tokens[1] = 'x' GROUP BY 1, 2)"
+SQL["prefix_marginals"] = f"WITH {_SEQ}" + " UNION ALL ".join(
+    f""" SELECT decode_id, token, round(n / sum(n) OVER (PARTITION BY decode_id), 6) AS p, '{x}' AS prefix FROM (
+        SELECT decode_id, tokens[{len(x.split()) + 1}] AS token, sum(n) AS n FROM seqs WHERE len(tokens) > {len(x.split())}{''.join(f" AND tokens[{k + 1}] = '{t}'" for k, t in enumerate(x.split()))} GROUP BY 1, 2)"""
+    for x in PREFIXES
+)
 SQL["sequence_scores"] = f"WITH {_SEQ} SELECT decode_id, array_to_string(tokens, ' ') AS seq_id, round(n / sum(n) OVER (PARTITION BY decode_id), 6) AS p FROM seqs"
 _SAN_OF = "concat(CASE WHEN starts_with(core, 'O-O') THEN core ELSE concat(left(core, length(core) - 2), CASE WHEN list_contains(tokens, 'x') THEN 'x' ELSE '' END, right(core, 2), coalesce(list_filter(tokens, lambda t: starts_with(t, '='))[-1], '')) END, coalesce(list_filter(tokens, lambda t: t IN ('+', '#'))[-1], ''))"
 SQL["topk_moves"] = f"""WITH {_SEQ}, sans AS (SELECT decode_id, {_SAN_OF} AS san, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, tokens[-1] AS core FROM seqs) GROUP BY 1, 2)
@@ -280,6 +292,7 @@ SQL["fen_material"] = f"""WITH {_FEN}, m AS (SELECT fen, CAST(round({_SIDE(True)
     SELECT fen, material, balance, CAST(CASE WHEN balance <= -9 THEN 0.35 WHEN balance <= -5 THEN 0.1 ELSE 0 END AS DOUBLE) AS resign, CAST(CASE WHEN material <= 8 AND abs(balance) <= 1 THEN 0.15 ELSE 0 END AS DOUBLE) AS draw FROM m"""
 SQL["fen_dead"] = f"""WITH {_FEN}, cells AS (SELECT fen, unnest(string_split(replace({_EXPANDED.format('place')}, '/', ''), '')) AS c, generate_subscripts(string_split(replace({_EXPANDED.format('place')}, '/', ''), ''), 1) - 1 AS i FROM tested WHERE error IS NULL)
     SELECT fen, count(*) FILTER (c <> '.') = 2 OR (count(*) FILTER (c <> '.') = 3 AND count(*) FILTER (lower(c) IN ('b', 'n')) = 1) OR (count(*) FILTER (c <> '.') = count(*) FILTER (lower(c) = 'b') + 2 AND count(DISTINCT (i + i // 8) % 2) FILTER (lower(c) = 'b') <= 1) AS dead FROM cells GROUP BY fen"""
+SQL["fen_ascii"] = f"WITH {_FEN} SELECT fen, array_to_string(list_transform(string_split({_EXPANDED.format('place')}, '/'), lambda r: array_to_string(string_split(r, ''), ' ')), chr(10)) AS board FROM tested WHERE error IS NULL"
 SQL["square_maths"] = f"WITH {_VOCAB} SELECT word AS token, (8 - CAST(word[2] AS INT)) * 8 + ascii(word) - 97 AS index, CASE WHEN (ascii(word) - 97 + CAST(word[2] AS INT) - 1) % 2 = 0 THEN 'dark' ELSE 'light' END AS colour FROM vocab WHERE regexp_full_match(word, '[a-h][1-8]')"
 SQL["pgn_roundtrip"] = f"""WITH {_PLIES}, n AS (SELECT raw_id, count(*) AS n_moves, count(ev) AS n_comments, count(*) FILTER (glyph IS NOT NULL OR regexp_matches(san, '[!?]$')) AS n_nags FROM plies GROUP BY 1)
     SELECT r.raw_id, r.site, coalesce(n.n_moves, 0) AS n_moves, coalesce(n.n_comments, 0) AS n_comments, coalesce(n.n_nags, 0) AS n_nags, coalesce(r.result, '*') AS result FROM raw_games r LEFT JOIN n USING (raw_id)"""

@@ -15,7 +15,7 @@ from plyforge.functions.streams import tokens_of
 from plyforge.operators import buckets, decode, drift, encode, rules, segments, shaping, stage1
 from plyforge.operators import vocab as V
 from plyforge.operators.ranking import ordered_offset
-from plyforge.sources import binary, pgn, reports, synthetic
+from plyforge.sources import binary, compressed, pgn, reports, synthetic
 from plyforge.sources.tables import materialize, months, shards, shared_dir, spread, table, write_shards
 from plyforge.streaming import stage1 as streaming
 
@@ -25,6 +25,7 @@ FILTERS = {"min_elo": 1000, "max_elo": 2400, "min_plies": 20}
 MONTHS = ("2024-03", "2024-09")
 VAL_SHARE, DROPOUT, SEED = 0.05, 0.15, 1234
 BLOCK, BATCH = 512, 32
+PREFIXES = ("", "x", "+", "+ x", "<blunder>", "<blunder> x")
 TOP_P, MIN_P, TEMPERATURE, U = 0.7013, 0.0503, 0.6, 0.618
 
 
@@ -65,6 +66,19 @@ def p3_readable(spark: SparkSession, d: str) -> DataFrame:
     return drift.readability(table(spark, d, "shard_rows"))
 
 
+@query
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the unified table: every record once, canonical values only, and results that agree with the field ``movetext_result`` where a record has both."""
+    u = drift.unified(table(spark, d, "shard_rows"))
+    return u.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if("readable").alias("n_readable"),
+        F.count_if(~F.col("result").isin("1-0", "0-1", "1/2-1/2")).alias("n_other_results"),
+        F.count_if(~F.col("termination").isin(*drift.TERMINATIONS)).alias("n_other_terminations"),
+        F.count_if(F.col("result") != F.col("movetext_result")).alias("n_different"),
+    )
+
+
 # Stage 1
 
 
@@ -85,6 +99,11 @@ def scan_filter_pushdown(spark: SparkSession, d: str) -> DataFrame:
     return stage1.annotated(table(spark, d, "raw_games"), 1600).select("raw_id", "site", "whiteelo", "blackelo")
 
 
+@query
+def strict_games(spark: SparkSession, d: str) -> DataFrame:
+    return stage1.strict_selection(spread(table(spark, d, "raw_games"))).select("raw_id", F.size("plies").alias("n_plies"), stage1.speed(F.col("timecontrol")).alias("speed"))
+
+
 @query
 def lex_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_games").select("raw_id", F.posexplode(M.lexemes(F.col("movetext"))).alias("i", "lexeme"))
@@ -493,7 +512,7 @@ def top_ranked(spark: SparkSession, d: str) -> DataFrame:
 @query
 def gauges(spark: SparkSession, d: str) -> DataFrame:
     g = shaping.gauges(shaping.tempered(_masked(spark, d), F.lit(1.0)))
-    return g.select("decode_id", F.round("label_mass", 6).alias("label_mass"), F.round("mate", 6).alias("mate"))
+    return g.select("decode_id", *(F.round(c, 6).alias(c) for c in ("label_mass", "mate", "white_resigns", "black_resigns", "draw")))
 
 
 @query
@@ -510,7 +529,22 @@ def _moves(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prefix_marginals(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(shaping.prefix_marginals(_moves(spark, d), ["x"]))
+    """Next-token probabilities after several prefixes, also none."""
+    moves = _moves(spark, d)
+    out = None
+    for prefix in PREFIXES:
+        part = _shown(shaping.prefix_marginals(moves, prefix.split())).withColumn("prefix", F.lit(prefix))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def uniform_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Distributions without any mass on what is allowed: uniform over the tokens that are neither labels nor endings."""
+    rows = _bigrams(spark, d)
+    some = rows.where("idx IS NOT NULL").select("decode_id", "idx", "token")
+    silent = rows.where(~F.col("decode_id").startswith("N"))  # the model says nothing after a knight's move
+    return _shown(shaping.tempered(shaping.masked(silent, some), F.lit(1.0)))
 
 
 @query
@@ -575,6 +609,11 @@ def fen_dead(spark: SparkSession, d: str) -> DataFrame:
     return rules.valid(_spelled(spark, d)).select("fen", P.insufficient_material(F.col("fen")).alias("dead"))
 
 
+@query
+def fen_ascii(spark: SparkSession, d: str) -> DataFrame:
+    return rules.valid(_spelled(spark, d)).select("fen", P.ascii_board(F.col("fen")).alias("board"))
+
+
 @query
 def square_maths(spark: SparkSession, d: str) -> DataFrame:
     squares = V.vocabulary(spark).where(F.length("token") == 2).where(F.col("token").rlike("^[a-h][1-8]$"))
@@ -730,6 +769,16 @@ def pgn_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("headers")["Id"].cast("long").alias("raw_id"), F.col("headers")["Site"].alias("site"), F.size("moves").alias("n_moves"), some("comments").alias("n_comments"), some("nags").alias("n_nags"), "result")
 
 
+@query
+def zst_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Raw games as JSON lines compressed with zstd, read back as streams."""
+    path = _folder(spark, "zst")
+    raw = table(spark, d, "raw_games").select("raw_id", "site", "movetext")
+    reports.write_zst(spread(raw).select(F.to_json(F.struct("raw_id", "site", "movetext")).alias("value")), path)
+    back = compressed.read_zst_json(spark, path, "raw_id long, site string, movetext string")
+    return back.select("raw_id", "site", F.md5("movetext").alias("text_md5"))
+
+
 @query
 def stream_stage1(spark: SparkSession, d: str) -> DataFrame:
     """Stage 1 as a stream over the same files; must give the rows of the batch."""

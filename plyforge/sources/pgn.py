@@ -87,8 +87,18 @@ def read_pgn(spark: SparkSession, path: str, strict: bool = False, first: str =
     return parse_pgn(records.select(F.concat(F.lit(f"[{first} "), "value").alias("value")), strict=strict)
 
 
+def _first(text: Column, old: str, new: str) -> Column:
+    at = F.instr(text, old)
+    return F.when(at > 0, F.concat(F.left(text, at - 1), F.lit(new), F.substring(text, at + 1, F.length(text)))).otherwise(text)
+
+
+def bracketed_comment(text: Column) -> Column:
+    """A comment as it is kept on a position: the first brace of each kind becomes a bracket."""
+    return _first(_first(text, "{", "["), "}", "]")
+
+
 def safe_comment(text: Column) -> Column:
-    """A comment that cannot end early: the first brace of each kind becomes a bracket, as in the surveyed rules, and so do the others, which would end it too."""
+    """A comment as it is written: all braces become brackets, as any of them would end it."""
     return F.translate(text, "{}", "[]")
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.operators import encode, stage1
 from plyforge.operators import vocab as V
+from plyforge.sources.binary import _open
 
 
 def _at(spark: SparkSession, path: str):
@@ -29,6 +33,35 @@ def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
         out.close()
 
 
+def _compressing(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        system, root = _open(path)
+        system.create_dir(root, recursive=True)
+        name, n = f"{root}/{uuid.uuid4().hex}.zst", 0
+        with system.open_output_stream(f"{name}.part", compression=None) as raw, zstandard.ZstdCompressor().stream_writer(raw) as out:
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    out.write((line or "").encode() + b"\n")
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["file", "n"])
+
+    return run
+
+
+def write_zst(lines: DataFrame, path: str) -> int:
+    """Lines of text as files compressed with zstd, one per task; a file gets its name once its task is known to have ended, so repeated tasks leave nothing."""
+    done = lines.mapInArrow(_compressing(path), "file string, n long").collect()  # one row a task
+    system, root = _open(path)
+    for r in done:
+        system.move(f"{r['file']}.part", r["file"])
+    for f in system.get_file_info(fs.FileSelector(root)):
+        if f.path.endswith(".part"):
+            system.delete_file(f.path)
+    return sum(r["n"] for r in done)
+
+
 def read_json(spark: SparkSession, path: str):
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 

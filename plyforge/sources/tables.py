@@ -39,10 +39,10 @@ def write_shards(df: DataFrame, path: str, rows: int = 500_000) -> None:
     df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the scan has fewer parts than there are cores (a small file of one row group); else ``df`` itself, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows in at least ``parts`` partitions (default: one per core): dealt out if the scan has fewer, as a small file of one row group has, else as they are. Only the plan depends on it."""
+    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def even(df: DataFrame) -> DataFrame:

@@ -545,3 +545,43 @@ def test_every_legal_move_is_read_back(spark):
         legal = b.legal()
         for m in legal:
             assert b.read(b.san(m, legal), strict=True) == m and b.read(b.san(m, legal)) == m
+
+
+def test_game_line():
+    g = rules.Game()
+    for san in ("f3", "e5", "g4"):
+        g.apply(san)
+    assert g.comment("a {b} {c}") == "a [b] {c}" and g.undo() is not None and g.comment() is None
+    g.apply("g2-g4")
+    g.apply("Qh4")
+    assert g.sans == ["f3", "e5", "g4", "Qh4#"] and g.status()["checkmate"] and g.status()["over"]
+    with pytest.raises(ValueError):
+        g.apply("e4")
+    while g.undo():
+        pass
+    assert g.board.fen() == rules.START and g.undo() is None
+    for san in ["Nf3", "Nf6", "Ng1", "Ng8"] * 2:
+        g.apply(san)
+    assert g.repeated() == 3 and g.status()["threefold"] and rules.Game("4k3/8/8/8/8/8/8/4K2R w K - 0 1").headers["SetUp"] == "1"
+
+
+def test_zst_pgn(spark, tmp_path):
+    import zstandard
+
+    from plyforge.sources import compressed
+
+    games = "".join(f'[Event "g"]\n[Id "{i}"]\n\n1. e4 e5 {{c {i}}} 2. Nf3 1-0\n\n' for i in range(5000))
+    for k in range(2):
+        (tmp_path / f"{k}.pgn.zst").write_bytes(zstandard.compress(games.encode()))
+    back = compressed.read_zst_pgn(spark, str(tmp_path))
+    assert back.count() == 10000 and back.where("size(moves) = 3 AND result = '1-0'").select(F.col("headers")["Id"]).distinct().count() == 5000
+
+
+def test_dense_logits(spark):
+    row = spark.createDataFrame([([0.0, 1.0, 99.0],)], "z array<double>").select(shaping.softmax_dense(F.col("z"), 2).alias("p")).first().p
+    assert [round(x, 6) for x in row] == [0.268941, 0.731059]
+
+
+def test_comment_forms(spark):
+    row = spark.createDataFrame([("a {b} {c}",), ("plain",), (None,)], "t string")
+    assert [tuple(r) for r in row.select(pgn.bracketed_comment(F.col("t")), pgn.safe_comment(F.col("t"))).collect()] == [("a [b] {c}", "a [b] [c]"), ("plain", "plain"), (None, None)]
