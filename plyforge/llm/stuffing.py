@@ -16,7 +16,7 @@ abnormally low perplexity (one pattern over and over) are flagged. The perplexit
    as its class. The second serves posts most of whose short words are none of the function words: languages of few posts.
    Trigrams are counted exactly; there are at most ``SIZE**3`` of them, whatever the input.
 6. *Scoring*: the mean surprisal of an item and its ``REACH`` neighbours on each side, in standard deviations from the mean of
-   the collection's prose. An item is abnormal above ``HIGH`` or below ``LOW``; a post is, if most of its items are, a link counting as
+   the collection's prose; both follow from the counts. An item is abnormal above ``HIGH`` or below ``LOW``; a post is, if most of its items are, a link counting as
    three. The scale comes from the data at every size; the thresholds are in its units.
 
 Defined results: null, empty and deleted posts, and those with fewer than ``least`` items of own text, are never flagged;
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.sources.tables import gathered, materialize
+from plyforge.sources.tables import materialize
 
 LEAST = 8
 #: Function words learnt, at most; the share of the posts with prose, and the number of posts, that must have one.
@@ -47,7 +47,7 @@ FLOOR = 0.1
 #: Bits an item of prose, and their deviation, at least: a collection of a few set phrases is measured on the scale of ordinary prose.
 LEAST_BITS, LEAST_DEVIATION = 2.0, 2.0
 #: Standard deviations from the prose of the collection.
-HIGH, LOW = 3.0, -3.0
+HIGH, LOW = 4.0, -3.0
 LINK_WEIGHT = 3
 
 _LINKED = re.compile(r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?", re.IGNORECASE)
@@ -269,7 +269,12 @@ def _prepared(kinds: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[
     return kinds, words, np.bincount(post, minlength=len(sizes))
 
 
+_SEEN = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
+_ITEMS = ["key", "kinds", "words", "seen"]
+
+
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per post; and after each batch a row without key that has, in ``seen``, the short words of its prose and in how many of its posts they are."""
     for batch in batches:
         kinds: list[int] = []
         words: list[int] = []
@@ -281,7 +286,11 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(k))
         k, w, n = _prepared(np.array(kinds, np.int64), np.array(words, np.int64), np.array(sizes, np.int64))
         offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(k.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(w))], ["key", "kinds", "words"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(k.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(w))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.nulls(batch.num_rows, _SEEN)], _ITEMS)
+        word, posts = _function_counts(_Posts(pa.RecordBatch.from_arrays(lists, _ITEMS[1:3]), 0))
+        seen = pa.ListArray.from_arrays(pa.array([0, len(word)], pa.int32()), pa.StructArray.from_arrays([pa.array(word), pa.array(posts)], names=["word", "n"])).cast(_SEEN)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.schema.field(0).type), *(pa.nulls(1, x.type) for x in lists), seen], _ITEMS)
 
 
 class _Posts:
@@ -327,19 +336,13 @@ class _Posts:
         return (total[high] - total[low]) / (high - low), high - low
 
 
-_STATS = "model int, n double, s double, q double"
-
-
-def _function_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _function_counts(p: _Posts) -> tuple[np.ndarray, np.ndarray]:
     """Posts that have a short word in their prose; the hash 0 stands for the posts with prose."""
-    for batch in batches:
-        p = _Posts(batch, 0)
-        prose = p.prose()
-        at = prose & ((p.words & 7) <= 5) & (p.words != 0)
-        word, code = np.unique(np.r_[p.words[at], np.zeros(int(prose.sum()), np.int64)], return_inverse=True)
-        pairs = np.unique(code * np.int64(p.n) + np.r_[p.post[at], p.post[prose]])
-        n = np.bincount(pairs // max(p.n, 1), minlength=len(word))
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+    prose = p.prose()
+    at = prose & ((p.words & 7) <= 5) & (p.words != 0)
+    word, code = np.unique(np.r_[p.words[at], np.zeros(int(prose.sum()), np.int64)], return_inverse=True)
+    pairs = np.unique(code * np.int64(p.n) + np.r_[p.post[at], p.post[prose]])
+    return word, np.bincount(pairs // max(p.n, 1), minlength=len(word))
 
 
 _GRAMS = {0: SIZE, 1: _FUNCTION}  # model -> size of its alphabet
@@ -358,7 +361,7 @@ def _gram_counts(function: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Ite
 
 
 class Model:
-    """Interpolated trigram probabilities of the two models; ``moments`` are the mean and deviation of prose once they are known."""
+    """Interpolated trigram probabilities of the two models; ``moments`` are the mean and deviation of the bits of an item of the prose it was trained on."""
 
     def __init__(self, function: np.ndarray, gram: np.ndarray, n: np.ndarray):
         order = np.argsort(gram)
@@ -369,7 +372,14 @@ class Model:
         self.bigram = [np.bincount(at[which == m], self.n[which == m], 1 << 16) for m in (0, 1)]
         self.context = [x.reshape(256, 256).sum(1) for x in self.bigram]
         self.one = [x.reshape(256, 256).sum(0) for x in self.bigram]
-        self.moments = [(0.0, 1.0), (0.0, 1.0)]
+        self.moments = [self._moments(m, self.gram[which == m], self.n[which == m]) for m in (0, 1)]
+
+    def _moments(self, model: int, gram: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+        if not len(n):
+            return LEAST_BITS, LEAST_DEVIATION
+        bits = self._bits(model, n, gram >> 16 & 255, gram >> 8 & 255, gram & 255)
+        mean = float(np.average(bits, weights=n))
+        return mean, max(float(np.average((bits - mean) ** 2, weights=n)) ** 0.5, LEAST_DEVIATION)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_dense", "_small")}
@@ -389,29 +399,15 @@ class Model:
         a, b, c = posts.grams(sequence)
         table = self.dense()
         tri = self._small[(a * 64 + b) * 64 + c] if model else table[(a * 256 + b) * 256 + c]
+        return self._bits(model, tri, a, b, c)
+
+    def _bits(self, model: int, tri: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         pair, bi, context = self.pair[model][a * 256 + b], self.bigram[model][b * 256 + c], self.context[model][b]
         low = (self.one[model] + 0.5) / (self.one[model].sum() + 0.5 * _GRAMS[model])
         mid = (bi + 4 * low[c]) / (context + 4)
         return -np.log2((1 - FLOOR) * (tri + 4 * mid) / (pair + 4) + FLOOR / _GRAMS[model])
 
 
-def _moments(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the surprisal of prose: number, sum and sum of squares of the items, then of the local means, weighted by their length."""
-    model, total = shared.value, np.zeros((4, 3))
-    for batch in batches:
-        p = _Posts(batch, 0)
-        prose = p.prose()
-        for m, sequence in ((0, p.sequences(model.function)[0]), (1, p.kinds)):
-            bits = model.bits(p, m, sequence)
-            mean, n = p.local_mean(bits)
-            for row, x, w in ((m, bits[prose], None), (2 + m, mean[prose], n[prose])):
-                w = np.ones(len(x)) if w is None else w
-                total[row] += len(x), (x * w).sum(), (x * x * w).sum()
-                if row >= 2:
-                    total[row, 0] += w.sum() - len(x)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(4), pa.int32()), *(pa.array(total[:, k]) for k in range(3))], ["model", "n", "s", "q"])
-
-
 def _score(shared, most: float, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
@@ -444,29 +440,17 @@ def scores(df: DataFrame, key: str = "doc_id", column: str = "text", high: float
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("text"))
-    found = materialize(rows.mapInArrow(_classify, f"key {kind}, kinds array<smallint>, words array<bigint>"), "p7-items")
-    seen = found.select("kinds", "words")
+    found = materialize(rows.mapInArrow(_classify, f"key {kind}, kinds array<smallint>, words array<bigint>, seen array<struct<word: bigint, n: bigint>>"), "p7-items")
+    posts = found.where("kinds IS NOT NULL")
 
-    counted = seen.mapInArrow(_function_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = found.where("seen IS NOT NULL").select(F.inline("seen")).groupBy("word").agg(F.sum("n").alias("n"))
     most = counted.orderBy(F.desc("n"), "word").limit(N_FUNCTION + 1).collect()  # the posts with prose come first
-    posts = max((r["n"] for r in most if r["word"] == 0), default=0)
-    function = np.array(sorted(r["word"] for r in most if r["word"] != 0 and r["n"] >= max(FUNCTION_POSTS, FUNCTION_SHARE * posts))[:N_FUNCTION], np.int64)
-
-    grams = seen.mapInArrow(partial(_gram_counts, function), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    model = Model(function, grams.column("gram").to_numpy(), grams.column("n").to_numpy())
-    first = spark.sparkContext.broadcast(model)
-    stats = gathered(seen).mapInArrow(partial(_moments, first), _STATS).groupBy("model").agg(*(F.sum(c).alias(c) for c in "nsq")).collect()
-    by = {r["model"]: r for r in stats if r["n"]}
-    model.moments = [(0.0, 1.0), (0.0, 1.0)]
-    for m in (0, 1):
-        if 2 + m in by and m in by:
-            mu = by[m]["s"] / by[m]["n"]
-            w = by[2 + m]
-            # E[(mean - mu)^2 * n] per window, from sums weighted by n
-            variance = max(0.0, w["q"] - 2 * mu * w["s"] + mu * mu * w["n"]) / by[m]["n"]
-            model.moments[m] = (mu, max(variance**0.5, LEAST_DEVIATION))
-    shared = spark.sparkContext.broadcast(model)
-    return found.mapInArrow(partial(_score, shared, high, low), f"key {kind}, n_items long, bits double, z double, high double, low double").withColumnRenamed("key", key)
+    with_prose = max((r["n"] for r in most if r["word"] == 0), default=0)
+    function = np.array(sorted(r["word"] for r in most if r["word"] != 0 and r["n"] >= max(FUNCTION_POSTS, FUNCTION_SHARE * with_prose))[:N_FUNCTION], np.int64)
+
+    grams = posts.select("kinds", "words").mapInArrow(partial(_gram_counts, function), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    shared = spark.sparkContext.broadcast(Model(function, grams.column("gram").to_numpy(), grams.column("n").to_numpy()))
+    return posts.select("key", "kinds", "words").mapInArrow(partial(_score, shared, high, low), f"key {kind}, n_items long, bits double, z double, high double, low double").withColumnRenamed("key", key)
 
 
 def stuffed(df: DataFrame, key: str = "doc_id", column: str = "text", least: int = LEAST, high: float = HIGH, low: float = LOW) -> DataFrame:
