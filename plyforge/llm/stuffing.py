@@ -49,6 +49,8 @@ LEAST_BITS, LEAST_DEVIATION = 2.0, 2.0
 #: Standard deviations from the prose of the collection.
 HIGH, LOW = 4.0, -3.0
 LINK_WEIGHT = 3
+#: Chunks of text that a task remembers before it starts anew; results do not depend on it.
+MOST_CHUNKS = 300_000
 
 _LINKED = re.compile(r"\[url=?[^\]]*\][^\[]*(?:\[/url\]?)?|<a\s[^>]*>[^<]*(?:</a>)?", re.IGNORECASE)
 _MARKUP = re.compile(r"\[img[^\]\n]*\][^\[\n]*\[/img\]|<[^>\n]{0,200}>|\[/?[a-zA-Z*][^\]\n]{0,60}\]|(?<![\w:]):[a-z]+\d*:(?!\w)", re.IGNORECASE)
@@ -166,30 +168,37 @@ _NAMED = {"link": "Link", "tag": "Tag", "result": "Result", "move": "Move", "cou
 
 
 class _Chunks(dict):
-    """Text between blanks -> its items: classes (for words: length and capital, as at first sight) and hashes of the words; emptied when it grows past a bound."""
+    """Text between blanks -> its number; the items of all chunks lie one after the other: classes (for words: length and capital, as at first sight) and hashes of the words."""
 
-    def __missing__(self, chunk: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        if len(self) > 300_000:
-            self.clear()
-        kinds: list[int] = []
-        words: list[int] = []
+    def __init__(self):
+        self.start, self.kinds, self.words = [0], [], []
+
+    def __missing__(self, chunk: str) -> int:
         for m in _ITEM.finditer(chunk):
             kind = m.lastgroup
             if kind != "word":
-                kinds.append(_ID[_NAMED.get(kind) or (m[0] if m[0] in _ID else "Point")])
-                words.append(0)
+                self.kinds.append(_ID[_NAMED.get(kind) or (m[0] if m[0] in _ID else "Point")])
+                self.words.append(0)
                 continue
             word = m[0]
             low = word.lower()
             if _UNSPACED.match(word):  # no evidence from lengths: pieces of two letters, short and long in turn
                 for k in range(0, len(word), 2):
-                    kinds.append(_WORDS + (k // 2 % 2) * 10)
-                    words.append(_hash(low[k : k + 2]))
+                    self.kinds.append(_WORDS + (k // 2 % 2) * 10)
+                    self.words.append(_hash(low[k : k + 2]))
             else:
-                kinds.append(_WORDS + int(np.searchsorted(_LENGTHS, len(word), "right")) * 10 + word[0].isupper() * 5)
-                words.append(_hash(low))
-        found = self[chunk] = (tuple(kinds), tuple(words))
-        return found
+                self.kinds.append(_WORDS + int(np.searchsorted(_LENGTHS, len(word), "right")) * 10 + word[0].isupper() * 5)
+                self.words.append(_hash(low))
+        self.start.append(len(self.kinds))
+        number = self[chunk] = len(self.start) - 2
+        return number
+
+    def items(self, numbers: list[int], post: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes and word hashes of a row of chunks, and how many items each of the ``n`` posts has."""
+        number, start = np.array(numbers, np.int64), np.array(self.start, np.int64)
+        size = start[number + 1] - start[number]
+        at = np.repeat(start[number] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return np.array(self.kinds, np.int64)[at], np.array(self.words, np.int64)[at], np.bincount(post, size, n).astype(np.int64)
 
 
 def _hash(word: str) -> int:
@@ -198,23 +207,14 @@ def _hash(word: str) -> int:
     return h | min(len(word), 7)
 
 
-_CHUNKS = _Chunks()
-
-
-def items(text: str | None) -> tuple[list[int], list[int]]:
-    """Classes and word hashes of a post's own text, in order."""
-    kinds: list[int] = []
-    words: list[int] = []
-    if text:
-        text = own_text(text)
-        if "[" in text or "<" in text or ":" in text:
-            text = _MARKUP.sub(" ", _LINKED.sub(" \ue000 ", text))
-        for chunk in text.replace("\n", " \n ").split(" "):
-            if chunk:
-                k, w = _CHUNKS[chunk]
-                kinds += k
-                words += w
-    return kinds, words
+def chunks(text: str | None) -> list[str]:
+    """A post's own text between blanks; ends of lines stand alone, links are one sign."""
+    if not text:
+        return []
+    text = own_text(text)
+    if "[" in text or "<" in text or ":" in text:
+        text = _MARKUP.sub(" ", _LINKED.sub(" \ue000 ", text))
+    return text.replace("\n", " \n ").split(" ")
 
 
 def _flags(*names: str) -> np.ndarray:
@@ -275,16 +275,17 @@ _ITEMS = ["key", "kinds", "words", "seen"]
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per post; and after each batch a row without key that has, in ``seen``, the short words of its prose and in how many of its posts they are."""
+    known = _Chunks()
     for batch in batches:
-        kinds: list[int] = []
-        words: list[int] = []
+        if len(known) > MOST_CHUNKS:
+            known = _Chunks()
+        numbers: list[int] = []
         sizes: list[int] = []
         for text in batch.column(1).to_pylist():
-            k, w = items(text)
-            kinds += k
-            words += w
-            sizes.append(len(k))
-        k, w, n = _prepared(np.array(kinds, np.int64), np.array(words, np.int64), np.array(sizes, np.int64))
+            found = chunks(text)
+            numbers += map(known.__getitem__, found)
+            sizes.append(len(found))
+        k, w, n = _prepared(*known.items(numbers, np.repeat(np.arange(len(sizes)), sizes), len(sizes)))
         offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(k.astype(np.int16))), pa.ListArray.from_arrays(offsets, pa.array(w))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.nulls(batch.num_rows, _SEEN)], _ITEMS)
