@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plyforge.functions import movetext as M
 from plyforge.functions.movetext import year_month
-from plyforge.functions.streams import tokens_of
+from plyforge.functions.streams import split_tokens
 from plyforge.operators import vocab as V
 from plyforge.operators.ranking import ordered_offset
 from plyforge.operators.stage1 import once
@@ -56,20 +61,44 @@ def split_of(site: Column, date: Column, fraction: float = 0.05, months: tuple[s
     return F.when(chosen, "val").otherwise("train")
 
 
+class _Numbers(dict):
+    """Stream token -> its id, -1 outside the dictionary; emptied when it grows past a bound."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        bare = token[1:-1] if len(token) >= 2 and token[0] == "[" and token[-1] == "]" else token
+        found = self[token] = V.ids().get(V.LABEL_WORDS.get(bare, bare), -1)
+        return found
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add to ``…, tokens`` the ids of the moves (null for a token outside the dictionary), those tokens, and whether there is a mate; ``tokens`` goes."""
+    known, mate = _Numbers(), V.ids()["#"]
+    for batch in batches:
+        streams = [split_tokens(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        size = np.fromiter(map(len, streams), np.int64, len(streams))
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(streams)), np.int32, int(size.sum()))
+        row = np.repeat(np.arange(len(streams)), size)
+        outside = np.bincount(row[ids < 0], minlength=len(streams))
+        unknown = [sorted({t for t in s if known[t] < 0}) if n else [] for s, n in zip(streams, outside)]
+        offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
+        made = [pa.ListArray.from_arrays(offsets, pa.array(ids, mask=ids < 0)), pa.array(unknown, pa.list_(pa.string())), pa.array(np.bincount(row[ids == mate], minlength=len(streams)) > 0)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "move_ids", "unknown", "mate"])
+
+
 def encoded(games: DataFrame, dropout: float = 0.0, seed: int = 1234, fraction: float = 0.05, months: tuple[str, ...] = ()) -> DataFrame:
     """Every game with its dictionary words, the tokens outside the dictionary (``unknown``), its ids (null if any is outside), end token and split."""
-    g = shard_columns(games)
-    g = once(g, stream=tokens_of(F.col("tokens")))
-    g = once(g, words=F.transform("stream", V.surface))
-    g = g.withColumn("move_ids", V.lookup("words"))
-    mate = F.array_contains("words", "#")
-    end = V.end_token(F.col("result"), F.col("termination"), mate)
-    unknown = F.array_sort(F.array_distinct(F.filter(F.zip_with("stream", "move_ids", lambda t, i: F.when(i.isNull(), t)), lambda t: t.isNotNull())))
-    g = once(g, unknown=unknown, end_token=end, white_token=_slot("white_elo", "w", dropout, seed), black_token=_slot("black_elo", "b", dropout, seed))
-    g = g.withColumn("frame", V.lookup(F.array("white_token", "black_token", "end_token")))
+    rows = shard_columns(games).select("row_id", "site", "utc_date", "white_elo", "black_elo", "result", "termination", "tokens")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "tokens")
+    g = rows.mapInArrow(_numbered, f"{kinds}, move_ids array<int>, unknown array<string>, mate boolean")
+    end = V.end_token(F.col("result"), F.col("termination"), F.col("mate"))
+    g = once(g, end_token=end, white_token=_slot("white_elo", "w", dropout, seed), black_token=_slot("black_elo", "b", dropout, seed))
     number = V.ids()
-    tail = F.when(F.col("end_token").isNotNull(), F.array(F.col("frame")[2], F.lit(number[V.EOS]))).otherwise(F.array(F.lit(number[V.EOS])))
-    ids = F.concat(F.array(F.lit(number[V.BOS]), F.col("frame")[0], F.col("frame")[1]), F.col("move_ids"), tail)
+    of = lambda c, words: F.element_at(F.create_map(*(F.lit(x) for w in words for x in (w, number[w]))), F.col(c))
+    ratings = (*V.ELO_BUCKETS, V.ELO_ANY)
+    tail = F.when(F.col("end_token").isNotNull(), F.array(of("end_token", V.ENDINGS), F.lit(number[V.EOS]))).otherwise(F.array(F.lit(number[V.EOS])))
+    ids = F.concat(F.array(F.lit(number[V.BOS]), of("white_token", ratings), of("black_token", ratings)), F.col("move_ids"), tail)
     return g.select(
         "row_id", "site", "utc_date", "white_token", "black_token", "end_token", "unknown", split_of(F.col("site"), F.col("utc_date"), fraction, months).alias("split"), F.when(F.size("unknown") == 0, ids).alias("ids")
     )
