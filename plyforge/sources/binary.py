@@ -6,6 +6,7 @@ own pair of files, and a file name appears only when the job commits. Reading gi
 
 from __future__ import annotations
 
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,12 +41,13 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         system, root = _open(self.path)
         system.create_dir(root, recursive=True)
-        name, files, starts = uuid.uuid4().hex, {}, {}
+        name, files, starts, paths = uuid.uuid4().hex, {}, {}, {}
         try:
             for row in rows:
                 s = row["split"]
                 if s not in files:
-                    files[s] = system.open_output_stream(f"{root}/.{s}-{name}.bin")
+                    paths[s] = f"{root}/.{s}-{row['start']:020d}-{name}"  # names sort as the stream does
+                    files[s] = system.open_output_stream(f"{paths[s]}.bin")
                     starts[s] = [0]
                 ids = np.asarray(row["ids"], "<u2")
                 files[s].write(ids.tobytes())
@@ -54,9 +56,9 @@ class _Writer(DataSourceWriter):
             for f in files.values():
                 f.close()
         for s, at in starts.items():
-            with system.open_output_stream(f"{root}/.{s}-{name}.idx") as f:
+            with system.open_output_stream(f"{paths[s]}.idx") as f:
                 f.write(np.asarray(at, "<u8").tobytes())
-        return _Written([f"{root}/.{s}-{name}.{kind}" for s in starts for kind in ("bin", "idx")])
+        return _Written([f"{p}.{kind}" for p in paths.values() for kind in ("bin", "idx")])
 
     def commit(self, messages) -> None:
         system, root = _open(self.path)
@@ -137,7 +139,7 @@ class TokenBin(DataSource):
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
-    """Write a packed corpus in its order: ranges of ``start`` per file, so that the files of a split in order of their first game are its stream."""
+    """Write a packed corpus in its order: ranges of ``start`` per file, so that the files of a split in order of their names are its stream."""
     corpus.sparkSession.dataSource.register(TokenBin)
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = corpus.select("split", "row_id", "start", "ids").repartitionByRange(parts, "split", "start").sortWithinPartitions("split", "start")
@@ -147,3 +149,32 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(TokenBin)
     return spark.read.format("token_bin").load(path)
+
+
+def single_streams(path: str, out: str, chunk: int = 1 << 24) -> dict[str, int]:
+    """The corpus as one ``<split>.bin`` per split and its ``<split>.idx.npy`` (game starts and the total), for trainers that map one file; the tokens of each.
+
+    Files are copied one after the other in pieces of ``chunk`` bytes; only the starts (8 bytes a game) are held. For corpora that fit one disk.
+    """
+    system, root = _open(path)
+    target, to = _open(out)
+    target.create_dir(to, recursive=True)
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".bin") and not i.base_name.startswith("."))
+    totals: dict[str, int] = {}
+    for split in dict.fromkeys(n.split("-")[0] for n in names):
+        starts, total = [], 0
+        with target.open_output_stream(f"{to}/{split}.bin") as sink:
+            for n in (n for n in names if n.split("-")[0] == split):
+                with system.open_input_stream(f"{root}/{n[:-4]}.idx") as f:
+                    at = np.frombuffer(f.read(), "<u8").astype(np.int64)
+                starts.append(at[:-1] + total)
+                total += int(at[-1])
+                with system.open_input_stream(f"{root}/{n}") as f:
+                    while data := f.read(chunk):
+                        sink.write(data)
+        held = io.BytesIO()
+        np.save(held, np.concatenate([*starts, [total]]).astype(np.uint64))
+        with target.open_output_stream(f"{to}/{split}.idx.npy") as f:
+            f.write(held.getvalue())
+        totals[split] = total
+    return totals

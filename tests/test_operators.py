@@ -346,14 +346,22 @@ def test_command_line(spark, tmp_path):
     from plyforge import __main__ as cli
 
     raw, out = f"file://{tmp_path}/raw", f"file://{tmp_path}/out"
-    for args in (["synthetic", "--out", raw, "--games", "60"], ["tokenise", "--input", raw, "--out", out, "--min-elo", "0", "--shard-rows", "25"], ["pack", "--input", f"{out}/shards", "--out", out, "--val-frac", "0.2"], ["inspect", "--input", f"{out}/corpus"], ["check", "--input", raw, "--limit", "5"]):
+    for args in (["synthetic", "--out", raw, "--games", "60"], ["tokenise", "--input", "/root/testdata/sf0.01/raw_games.parquet", "--out", out, "--min-elo", "0", "--shard-rows", "25"], ["pack", "--input", f"{out}/shards", "--out", out, "--val-frac", "0.2", "--single"], ["inspect", "--input", f"{out}/corpus"], ["check", "--input", raw, "--limit", "5"]):
         a = cli.parser().parse_args(args)
         a.run(spark, a)
     from plyforge.sources import binary, reports
 
     stats = reports.read_json(spark, f"{out}/pack_stats.json")
-    assert stats["games_seen"] == reports.read_json(spark, f"{out}/stats.json")["games"] > 40 and stats["games_packed"] == binary.read_corpus(spark, f"{out}/corpus").count()
+    assert stats["games_seen"] == reports.read_json(spark, f"{out}/stats.json")["games"] > 100 and stats["games_packed"] == binary.read_corpus(spark, f"{out}/corpus").count()
     assert reports.read_metadata(spark, f"{out}/meta.json")["vocab_size"] == 5273
+    import numpy as np
+
+    for split in ("train", "val"):
+        stream, starts = np.fromfile(f"{tmp_path}/out/{split}.bin", "<u2"), np.load(f"{tmp_path}/out/{split}.idx.npy").astype(int)
+        assert len(stream) == starts[-1] == stats[f"{split}_tokens"] and len(starts) - 1 == stats[f"{split}_games"]
+        assert (stream[starts[:-1]] == V.ids()[V.BOS]).all() and (np.diff(starts) > 0).all()
+    parts = sorted(binary.read_corpus(spark, f"{out}/corpus").where("split = 'train'").collect(), key=lambda r: (r.part, r.game))
+    assert [t for r in parts for t in r.ids] == np.fromfile(f"{tmp_path}/out/train.bin", "<u2").tolist()
 
 
 def test_pgn_text(spark, tmp_path):
