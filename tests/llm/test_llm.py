@@ -12,7 +12,7 @@ from plyforge.llm import chunking, mixing, overlap, packing, queries, stuffing,
 from plyforge.functions.streams import LABELS, MODIFIERS, split_tokens
 from tests.compare import ROOT, database, same
 
-EXTRA = ("key", "text_", "side", "n", "h", "stream", "place", "size", "_h", "_slice", "shard", "repeats", "term", "mark", "window_no", "items")
+EXTRA = ("key", "text_", "side", "n", "h", "stream", "place", "size", "_h", "_slice", "shard", "repeats", "term", "mark", "window_no", "items", "record", "times", "kinds", "words", "seen", "part", "data", "block", "by", "_a", "_b", "piece_no", "stream_a", "_before")
 
 
 @pytest.fixture(scope="module")
