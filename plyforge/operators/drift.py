@@ -15,7 +15,7 @@ Defined results: null, broken and non-object payloads are unreadable: they carry
 table with ``readable`` false; a repeated key in one object makes the record unreadable; a shard without any readable record
 carries no field; a field whose values in a shard are all null has no type there, so it is neither retyped there nor in the
 next shard; between several keys of one field in a shard, and several types, the most frequent counts (ties: the first by
-name); repeated records change nothing but counts; an empty table gives no rows; other columns of the input are never read.
+name); repeated records change nothing but counts; records without a feed or shard number belong to no version and keep their row, without the fields; an empty table gives no rows; other columns of the input are never read.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ def salted_join(a: DataFrame, b: DataFrame, on: str, block: int = BLOCK) -> Data
     row, and the other side's rows of that key are repeated for each of its blocks, so every pair still meets exactly once.
     Which keys are cut follows from the counts alone; the result never depends on them. Both inputs are read twice.
     """
-    counts = [x.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(on, F.ceil(F.col("_n") / block).cast("int").alias(f"_{s}s")) for x, s in ((a, "a"), (b, "b"))]
-    hot = materialize(counts[0].join(counts[1], on, "full").select(on, F.coalesce("_as", F.lit(1)).alias("_as"), F.coalesce("_bs", F.lit(1)).alias("_bs")), "hot")
+    sides = a.select(F.col(on), F.lit(True).alias("_first")).unionByName(b.select(F.col(on), F.lit(False).alias("_first")))
+    n = [F.count_if("_first"), F.count_if(~F.col("_first"))]
+    blocks = [F.greatest(F.lit(1), F.ceil(x / block)).cast("int").alias(f"_{s}s") for x, s in zip(n, "ab")]
+    hot = materialize(sides.where(F.col(on).isNotNull()).groupBy(on).agg(*blocks).where((F.col("_as") > 1) | (F.col("_bs") > 1)), "hot")
     if hot.isEmpty():
         return a.join(b, on)
 
